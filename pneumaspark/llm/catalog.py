@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import licenses, packing, quality, secrets, token_counts
+from pneumaspark.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, token_counts
 from pneumaspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(documents, benchmark).drop("key")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,8 +37,23 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_decontamination,
+    op2_packing,
+    op5_token_counts,
+    op6_license_scans,
+    op8_quality_rules,
+    op9_secret_scans,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_token_counts, op6_license_scans, op8_quality_rules, op9_secret_scans)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
