@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, token_counts
+from pneumaspark.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, substring_dedup, token_counts
 from pneumaspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits_table(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_decontamination,
     op2_packing,
+    op3_substring_dedup,
     op5_token_counts,
     op6_license_scans,
     op8_quality_rules,
