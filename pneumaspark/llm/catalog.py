@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, substring_dedup, token_counts
+from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, token_counts
 from pneumaspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = (
     op3_substring_dedup,
     op5_token_counts,
     op6_license_scans,
+    op7_jaccard_join,
     op8_quality_rules,
     op9_secret_scans,
     op10_line_dedup,
