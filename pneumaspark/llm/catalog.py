@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup, token_counts
+from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, secrets, substring_dedup, token_counts
 from pneumaspark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits_table(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ QUERIES = (
     op1_decontamination,
     op2_packing,
     op3_substring_dedup,
+    op4_lm_scoring,
     op5_token_counts,
     op6_license_scans,
     op7_jaccard_join,
