@@ -1,0 +1,212 @@
+"""Hand-computed results of the DataFrame operators, files and workflows."""
+
+import json
+
+import numpy as np
+import pytest
+
+from pneumaspark import export
+from pneumaspark.functions import vocabulary
+from pneumaspark.operators import linking, metrics, peaks, quality, slicing, validation, windows
+from pneumaspark.plans import steps, workflow
+from pneumaspark.sources import recordings, synthetic
+
+assert steps
+
+
+def signal(spark, values, recording=1):
+    return spark.createDataFrame([(recording, k, float(k), None if v is None else float(v)) for k, v in enumerate(values)], "recording_id long, idx long, t double, value double")
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("idx").collect()]
+
+
+def test_moving_average_edges(spark):
+    assert column(windows.moving_average(signal(spark, [1, 2, 6]), 3), "average") == pytest.approx([4 / 3, 3, 14 / 3])
+
+
+def test_rolling_frames_skip_nulls(spark):
+    out = column(windows.rolling_envelope(signal(spark, [3, None, 4]), 3, "arv"), "envelope")
+    assert out == pytest.approx([3, 3.5, 4])
+    with pytest.raises(ValueError):
+        windows.rolling_envelope(signal(spark, [1]), 3, "other")
+
+
+def test_triangle(spark):
+    s = signal(spark, [0, 1, 2, 1, 0, 1, 2, 1, 0])
+    e = peaks.strict_extrema(s)
+    assert [r.idx for r in e.where("is_peak").orderBy("idx").collect()] == [2, 6]
+    assert [r.idx for r in e.where("is_valley").collect()] == [4]
+    assert column(peaks.baseline_crossings(s.selectExpr("*", "0.5D AS baseline")), "idx") == [0, 3, 4, 7]
+
+
+def test_zero_is_its_own_sign(spark):
+    assert column(peaks.baseline_crossings(signal(spark, [-1, 0, 1]).selectExpr("*", "0D AS baseline")), "idx") == [0, 1]
+
+
+def test_breaths_and_metrics(spark):
+    s = signal(spark, [3, 1, 4, 2, 5, 0, 6])
+    b = peaks.valley_peak_valley(peaks.strict_extrema(s))
+    assert [tuple(r)[2:] for r in b.orderBy("start_idx").collect()] == [(1, 2, 3), (3, 4, 5)]
+    tv = metrics.tidal_variation(s, b, "mean").orderBy("breath_no").collect()
+    assert [r.tidal_variation for r in tv] == [2.5, 4.0]
+    tp = metrics.time_product(s, b, 1.0).orderBy("breath_no").collect()
+    assert [r.time_product for r in tp] == pytest.approx([5.5, 6.0])
+
+
+def test_rate_without_outliers(spark):
+    p = spark.createDataFrame([(1, 0), (1, 60), (1, 120), (1, 130)], "recording_id long, idx long")
+    assert metrics.respiratory_rate(p, 1.0).first().rate == 1.0
+
+
+def test_interval_cv(spark):
+    b = spark.createDataFrame([(1, 0, 1), (1, 1, 3), (1, 3, 6)], "recording_id long, start_idx long, end_idx long")
+    r = metrics.interval_cv(b).first()
+    assert (r.mean, r.n) == (2.0, 3) and r.cv == pytest.approx(0.40824829)
+
+
+def test_interpolation(spark):
+    times = spark.createDataFrame([(1, 0.5), (1, 1.5), (1, 20.0), (1, 3.0)], "recording_id long, t double")
+    out = {r.t: r.value for r in slicing.interpolate_to_time(signal(spark, range(10)), times).collect()}
+    assert out == {0.5: 0.5, 1.5: 1.5, 20.0: None, 3.0: 3.0}
+
+
+def test_slices(spark):
+    s = signal(spark, range(10))
+    assert slicing.slice_by_index(s, 2, 5).count() == 3 and slicing.slice_by_time(s, 2.0, 5.0).count() == 3
+    assert [r.idx for r in slicing.keep_seconds(s, 2, 4).orderBy("idx").collect()] == [0, 1]
+    assert slicing.cut_ends(s, 2, 3).count() == 5
+    with pytest.raises(ValueError):
+        slicing.slice_by_index(s, 3, 3)
+
+
+def test_greedy_links(spark):
+    rows = [(1, "eit", 0, 1.5), (1, "eit", 1, 4.5), (1, "emg", 0, 1.6), (1, "emg", 1, 9.0)]
+    links = linking.link_greedy(spark.createDataFrame(rows, "recording_id long, modality string, event_id long, t double"), ("eit", "emg"), 0.5)
+    got = [(r.t_eit, r.t_emg, r.confidence) for r in links.orderBy("link_no").collect()]
+    assert got[0][:2] == (1.5, 1.6) and got[0][2] == pytest.approx(0.8)
+    assert got[1] == (4.5, None, None) and got[2] == (None, 9.0, None)
+    assert linking.event_agreement(links, ("eit", "emg")).first().agreement == pytest.approx(1 / 3)
+
+
+def test_offsets():
+    assert linking.offsets_from_timestamps("eit", {"eit": 10, "emg": 15, "vent": 8}) == {"eit": 0, "emg": 5, "vent": -2}
+    assert linking.reference_modality(["emg", "eit"]) == "eit"
+
+
+def test_latest_flag_wins(spark):
+    b = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "recording_id long, breath_no long")
+    flags = spark.createDataFrame([(1, 0, "v", 1, False), (1, 0, "v", 2, True), (1, 1, "v", 1, False), (1, 2, "w", 1, False)], "recording_id long, breath_no long, name string, seq long, passed boolean")
+    assert sorted(r.breath_no for r in quality.remove_invalid_breaths(b, flags, ["v"]).collect()) == [0, 2]
+
+
+def test_violations_are_counted(spark):
+    child = spark.createDataFrame([(1, 1, [1, 9]), (2, 7, [2]), (3, None, [])], "id long, parent long, many array<long>")
+    parent = spark.createDataFrame([(1,), (2,)], "pid long")
+    assert validation.check_references({"r": (child, "parent", parent, "pid")}).first().violations == 1
+    assert validation.array_orphans(child, "many", parent, "pid").count() == 1
+    assert {r.rule: r.violations for r in validation.check_complete(child, ["id", "parent"]).collect()} == {"id present": 0, "parent present": 1}
+    kinds = spark.createDataFrame([("a", "1"), ("b", "1"), ("a", "5")], "kind string, key string")
+    assert validation.polymorphic_orphans(kinds, "kind", "key", {"a": (parent, "pid")}).count() == 2
+
+
+def test_vocabulary(spark):
+    v = vocabulary.Vocabulary(vocabulary.UNITS)
+    v.register("Pa", "Pa")
+    df = spark.createDataFrame([(" uV ",), ("PA",), ("other",), (None,)], "u string")
+    assert [r[0] for r in df.select(v.column(df.u)).collect()] == ["µV", "Pa", "other", None]
+    assert vocabulary.Vocabulary.load(v.dump()).normalize("MV") == "mV"
+
+
+def test_files_round_trip(spark, tmp_path):
+    x = np.random.default_rng(1).standard_normal((2, 600)).astype(np.float32)
+    (tmp_path / "a.Poly5").write_bytes(recordings.pack_poly5(x, 100, ["emg one", "ecg"], ["uV", "mV"]))
+    got = recordings.load(spark, str(tmp_path / "a.Poly5"))
+    assert got.count() == 1200 and recordings.choose_channel(got) == "emg one"
+    assert np.allclose([r.value for r in got.where("channel = 'ecg'").orderBy("idx").collect()], x[1])
+    pix = np.random.default_rng(2).random((7, 1024)).astype(np.float32)
+    data = recordings.pack_frames(np.arange(7) / 20, pix, text=b"mark")
+    assert len(data) == 7 * 4358
+    (tmp_path / "b.bin").write_bytes(data)
+    f = recordings.load(spark, str(tmp_path / "b.bin"), first=2, most=3).orderBy("frame_idx").collect()
+    assert [r.frame_idx for r in f] == [2, 3, 4] and np.allclose(f[0].pixels, pix[2]) and f[0].text == "mark"
+    lines = ["header", "10 msec/sample", "2 channels", "Paw", "cmH2O", "EMG", "mV", "sec\tCH1\tCH2", "\t3\t3", "0\t1\t2", "0.01\t3\t4"]
+    (tmp_path / "c.txt").write_text("\n".join(lines))
+    t = recordings.load(spark, str(tmp_path / "c.txt"))
+    assert [(r.channel, r.value, r.fs) for r in t.orderBy("channel", "idx").collect()] == [("EMG", 2, 100), ("EMG", 4, 100), ("Paw", 1, 100), ("Paw", 3, 100)]
+    recordings.register_loader(".xyz", lambda s, p: p)
+    assert recordings.load(spark, "f.xyz") == "f.xyz"
+    recordings.reset_loaders()
+    with pytest.raises(ValueError):
+        recordings.load(spark, "f.xyz")
+
+
+def test_synthetic(spark):
+    s = synthetic.respiratory_signal(spark, 30, 20)
+    assert s.count() == 600
+    t = synthetic.lung_template(8, 8)
+    assert t.max() == 1 and 0 <= t.min() < 0.01
+    assert synthetic.to_frames(s, t).count() == 600
+    assert synthetic.ventilator_channels(s).where("flow IS NULL").count() == 0
+    marks = spark.createDataFrame([(0, 5.0, 3)], "recording_id long, t double, marker int")
+    assert synthetic.event_series(s, marks).where("marker = 3").count() == 500
+
+
+def test_workflow(spark, tmp_path):
+    spec = {"version": 1, "inputs": {"w": 3}, "steps": [{"step": "emg.envelope", "in": {"samples": "raw"}, "with": {"fs": 1, "window_seconds": "@w"}, "out": "e"}], "outputs": {"x": "e"}}
+    out = workflow.run_spec(spec, {"raw": signal(spark, [1, 2, 3])}, str(tmp_path / "m.json"))
+    assert out["x"].count() == 3 and json.loads((tmp_path / "m.json").read_text())["status"] == "succeeded"
+    assert workflow.load_spec(workflow.dump_spec(spec)) == workflow.load_spec(spec)
+    assert workflow.resolve({"a": ["@w", "@@w"]}, {"w": 1}) == {"a": [1, "@w"]}
+    bad = {"steps": [{"step": "no.such"}, {"step": "emg.envelope", "with": {"method": "odd", "fs": "x", "q": 1}, "out": "e"}, {"step": "sync.skip", "in": {"clock": "e"}, "out": "e"}], "outputs": {"y": "z"}}
+    codes = {p["code"] for p in workflow.diagnose(bad)}
+    assert codes == {"unknown_step", "unproduced_context_key", "parameter_choice", "parameter_type", "unknown_parameter", "duplicate_output", "unproduced_output"}
+    with pytest.raises(ValueError):
+        workflow.compile_workflow(bad)
+    assert workflow.get_step("emg.slice").name == "emg.slice_recording"
+    seen = []
+    with pytest.raises(RuntimeError):
+        workflow.run_workflow({"steps": [{"step": "eit.slice", "in": {"signal": "raw"}, "with": {"start": 3, "end": 1}}]}, {"raw": signal(spark, [1])}, seen.append)
+    assert seen[-1]["event"] == "step_failed"
+    assert workflow.from_graph(workflow.to_graph(spec, ("raw",)))["outputs"] == {"x": "e"}
+    assert len(workflow.REGISTRY) >= 60 and workflow.describe_step("emg.envelope")["with"]["method"] == "rms"
+
+
+def test_exports(spark, tmp_path):
+    s = signal(spark, [1, 2])
+    for form in ("csv", "json", "parquet"):
+        export.write_tables({"s": s}, str(tmp_path / form), form)
+    assert spark.read.parquet(str(tmp_path / "parquet/s")).count() == 2
+    assert open(export.write_scalar(1 / 3, str(tmp_path / "x.txt"), 3)).read() == "0.333\n"
+    assert export.union_by_name([s, s.selectExpr("recording_id", "1 AS more")]).columns[-1] == "more"
+
+
+def test_partition_count_changes_nothing(spark):
+    rows = [(r, k, float(k), float((k * 7919 + r * 31) % 97)) for r in range(5) for k in range(50)]
+    s = spark.createDataFrame(rows, "recording_id long, idx long, t double, value double")
+    results = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append(sorted(map(tuple, metrics.tidal_variation(s, peaks.valley_peak_valley(peaks.strict_extrema(s))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1]
+
+
+def test_streaming(spark, tmp_path):
+    from pneumaspark.streaming import signals
+
+    s = signal(spark, [3, 1, 4, 2, 5, 0, 6])
+    s.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = signals.streaming_breaths(spark.readStream.schema(s.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("breaths_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("breaths_out").collect()) == [(1, 1, 2, 3), (1, 3, 4, 5)]
+    ev = s.selectExpr("recording_id", "timestamp_seconds(idx * 400) AS ts", "value")
+    ev.write.parquet(str(tmp_path / "ev"))
+    b = signals.bursts(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")), "7 minutes")
+    q = b.writeStream.format("memory").queryName("bursts_out").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("bursts_out").count() == 1
