@@ -67,6 +67,21 @@ def map_docs(docs: DataFrame, per_block: Callable[[list, list], dict | None], dd
     return id_text(docs).mapInArrow(run, ddl)
 
 
+def _byte_names() -> dict[int, str]:
+    """Byte-level names of the letters U+0080 to U+017F: printable Latin-1 bytes name themselves, others follow from U+0100."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in itself} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in itself)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+def _plain(s: str) -> bool:
+    """Latin lower-case letters only, at least one."""
+    return s.isalpha() and s == s.lower() and max(s) < "\u0180"
+
+
 class WordEncoder:
     """Token ids of a text, by encoding each distinct word once.
 
@@ -78,7 +93,7 @@ class WordEncoder:
 
     _made: dict[str, "WordEncoder"] = {}
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,19 +125,31 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, split))
         except KeyError:
             self.learn({w for w in split if w not in known})
-            if any(w not in known for w in split):  # the table began again
-                self.learn(set(split))
+        try:
             return b"".join(map(known.__getitem__, split))
+        except KeyError:  # the table began again
+            self.learn(set(split))
+        return b"".join(map(known.__getitem__, split))
 
     def learn(self, new: set[bytes]) -> None:
-        """Encode words; one that ends in a stop or comma shares the ids of the letters before it."""
+        """Encode words; one that ends in a stop or comma shares the ids of the text before it.
+
+        The pre-tokenizer leaves a word of Latin lower-case letters whole, so such a
+        word goes straight to the model; all others take the tokenizer's full way.
+        """
         known = self.words
         if len(known) + len(new) > self.most:
             known.clear()
-        stems = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
-        alone = sorted({stems.get(w, w) for w in new} | {b".", b","})
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(alone, encoded, strict=True))
+        stems = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and _plain(w[:-1].decode("utf-8", "replace")[-1:])}
+        tokenize, rest = self.tokenizer.model.tokenize, [b".", b","]
+        for w in {stems.get(w, w) for w in new}:
+            plain = w.decode("utf-8", "replace")
+            if _plain(plain):
+                known[w] = np.array([t.id for t in tokenize(plain.translate(_BYTE_NAMES) if not plain.isascii() else plain)], "<u4").tobytes()
+            else:
+                rest.append(w)
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, encoded, strict=True))
         known.update((w, known[stem] + known[w[-1:]]) for w, stem in stems.items())
 
 
@@ -141,7 +168,7 @@ class WordHash:
     _made: "WordHash | None" = None
 
     def __init__(self, most: int = 1_500_000):
-        self.words: dict[bytes, int] = {}
+        self.words: dict[bytes, bytes] = {}
         self.most = most
 
     @classmethod
