@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, secrets, substring_dedup, token_counts
-from pneumaspark.session import table
+from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, secrets, sql, substring_dedup, token_counts
+from pneumaspark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
