@@ -182,15 +182,15 @@ class WordHash:
 
         known = self.words
         try:
-            return np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+            return np.frombuffer(b"".join(map(known.__getitem__, split)), np.uint64)
         except KeyError:
-            if len(known) > self.most:
+            new = {w for w in split if w not in known}
+            if len(known) + len(new) > self.most:
                 known.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for w in split:
-                if w not in known:
-                    known[w] = digest(w)
-            return np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+                new = set(split)
+            digest = xxhash.xxh3_64_digest
+            known.update((w, digest(w)) for w in new)
+            return np.frombuffer(b"".join(map(known.__getitem__, split)), np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -4,7 +4,9 @@ A document's set holds the hashes of its distinct 5-word shingles.  Two sets tha
 reach similarity 0.8 share a token among the first ``n - ceil(0.8 n) + 1`` of each
 under any order of all tokens.  Postings are made under the first order, in which
 tokens that many sets have come last; a candidate pair must also share a prefix
-token under each further order before its sets are compared.
+token under each further order before its sets are compared.  Before any text
+moves, a bound drops pairs: sets are counted by ranges of the token hash, and the
+smaller counts of the ranges add up to no less than what two sets share.
 
 1. Equal sets become one class, which the smallest doc_id stands for.
 2. Token frequencies over all classes are counted exactly on 32-bit hashes, which
@@ -75,16 +77,48 @@ def linked(common: int, a: int, b: int) -> bool:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Written (doc_id, n_shingles, d1, d2): the set's size and 128 bits of its content."""
+    """Written (doc_id, n_shingles, d1, d2, counts): the set's size, 128 bits of its content, and counts by hash range."""
 
     def digest(ids: list, texts: list) -> dict:
         sets = [shingles(t) for t in texts]
         with np.errstate(over="ignore"):
             d1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             d2 = [int(mix64(s ^ np.uint64(ORDERS[0])).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "d1": d1, "d2": d2}
+        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "d1": d1, "d2": d2, "counts": [range_counts(s) for s in sets]}
 
-    return materialize(map_docs(docs, digest, "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
+    return materialize(map_docs(docs, digest, "doc_id long, n_shingles long, d1 long, d2 long, counts binary"), "sets")
+
+
+def range_counts(tokens: np.ndarray) -> bytes:
+    """Tokens in each of 2**k ranges of the hash, four to eight to a range on average, a byte each (255 stands for more)."""
+    k = max(0, (len(tokens) // 4).bit_length() - 1)
+    if not k:
+        return bytes([min(len(tokens), 255)])
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> float:
+    """Upper bound of the tokens that two sets share, from their counts by range."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if max(x.max(), y.max()) == 255:
+        return float("inf")
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose counts by range leave the similarity in reach, written."""
+    schema = arrow_schema("a long, b long")
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}"))
+    with_counts = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
+            good = [(a, b) for a, b, n, m, x, y in rows if (100 + PERCENT) * most_common(x, y) >= PERCENT * (n + m)]
+            yield record_batch({"a": [g[0] for g in good], "b": [g[1] for g in good]}, schema)
+
+    return materialize(with_counts.mapInArrow(check, "a long, b long").distinct(), "possible_pairs")
 
 
 def heavy_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -179,6 +213,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def verify(pairs: DataFrame, docs: DataFrame, heavy) -> DataFrame:
     """Those of the pairs (a, b) that link, written.  ``docs`` has a class's text under its doc_id."""
     schema = arrow_schema("a long, b long")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = docs.join(small(materialize(ids, "involved")), "doc_id", "left_semi")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     # the side that repeats, a list's first member, joins last: its text then follows each pair once
@@ -256,8 +292,8 @@ def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFra
     return materialize(rows.groupBy("cluster", "block", "block2").applyInArrow(compare, "a long, b long"), "block_links")
 
 
-def links_and_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(v, root) of the classes that have links; ``reps`` has one text per class."""
+def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(v, root) of the classes that have links; ``reps`` has one text per class, ``sets`` what ``classes`` gives."""
     spark = docs.sparkSession
     buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     heavy = spark.sparkContext.broadcast(heavy_tokens(reps, buckets))
@@ -300,14 +336,14 @@ def links_and_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     postings = id_text(reps).mapInArrow(post, ddl).repartition("token").sortWithinPartitions("token")
     lists = materialize(postings.mapInArrow(several, ddl), "lists")
 
-    hubs = lists.groupBy("token").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size"))
-    hubs = materialize(hubs, "list_heads")
-    star = lists.join(hubs.select("token", "a"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    # the head of a list is its first member of the size class that a member can link within
+    hubs = lists.groupBy("token", F.floor(F.log2("n") * 2).alias("class")).agg(F.min(F.struct("doc_id", "n")).alias("head"))
+    hubs = materialize(hubs.select("token", "class", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na")), "list_heads")
+    near = lists.select("token", "doc_id", "n", F.floor(F.log2("n") * 2).alias("class")).join(hubs, ["token", "class"])
+    star = near.where(f"doc_id <> a AND 100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", F.col("doc_id").alias("b")).distinct()
     star = materialize(star, "star_pairs")
     texts = id_text(reps)
-    involved = small(materialize(lists.select("doc_id").distinct(), "involved"))
-    texts = texts.join(involved, "doc_id", "left_semi")
-    links = verify(star, texts, heavy)
+    links = verify(possible(star, sets), texts, heavy)
     comp = materialize(components(links), "components")
 
     # lists that hold more than one component are not settled
@@ -319,7 +355,7 @@ def links_and_components(docs: DataFrame, reps: DataFrame) -> DataFrame:
     two = short.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     fits = f"a < b AND ra <> rb AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
     pairs = one.join(two, "token").where(fits).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(materialize(pairs, "pairs"), texts, heavy))
+    links = links.unionByName(verify(possible(materialize(pairs, "pairs"), sets), texts, heavy))
 
     long = open_lists.where(F.col("size") > LONG)
     if long.limit(1).count():
@@ -341,9 +377,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a doc_id may stand for one class and be a copy in another: it then takes part with each text
     others = small(materialize(others.join(known.where("class_id = doc_id").select("doc_id"), "doc_id", "left_anti"), "copies"))
     reps = docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti")
-    root = links_and_components(docs, reps)
+    root = links_and_components(docs, reps, sets)
+    there = F.col("doc_id").isNotNull()
     return known.join(root.withColumnRenamed("v", "class_id"), "class_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
+        "doc_id",
+        "n_shingles",
+        F.when(there, F.coalesce("root", "class_id", "doc_id")).alias("component_id"),
+        F.when(there, F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
 
 
