@@ -198,8 +198,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) + words[j : j + n]
-        h ^= h >> np.uint64(29)
+    h = words[:n].copy()
+    for j in range(1, k):  # linear in random word hashes, so mixing once at the end is enough
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += words[j : j + n]
     return mix64(h)

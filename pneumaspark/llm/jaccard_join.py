@@ -65,7 +65,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     words = WordHash.of()((text or b"").lower().split())
-    return np.unique(shingle_hashes(words, min(SHINGLE, max(1, len(words)))))
+    h = np.sort(shingle_hashes(words, min(SHINGLE, max(1, len(words)))))
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
 
 
 def prefix_size(n: int) -> int:
