@@ -7,10 +7,12 @@ import os
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from pneumaspark.llm import (
+    catalog,
     components,
     decontaminate,
     jaccard_join,
@@ -282,7 +284,8 @@ def test_scores_of_odd_rows(odd, empty):
 def small_model():
     counts = np.abs(np.random.default_rng(3).standard_normal((2, 60))) + 1
     v = lm_score.Vocabulary(counts, np.arange(59) % 2)
-    return lm_score.Model(lm_score.Model.fresh(v)), v
+    v.count_next(np.random.default_rng(8).random((v.n_classes + 1, v.n_classes)) * 50 * (np.arange(v.n_classes) < 60))
+    return lm_score.Model(lm_score.Model.fresh(v), v.log_next), v
 
 
 def test_model_is_a_distribution_and_causal():
@@ -299,8 +302,8 @@ def test_model_is_a_distribution_and_causal():
 def one_step(m, v, context, wanted):
     rows = np.append(v.begin, v.row[context])[None]
     h = m.states(rows)[0][:, -1]
-    after = np.array([v.ends[context[-1]]])
-    return float(m.log_probabilities(h, after, np.array([v.of_class[wanted]]))[0] + v.log_within[after[0], wanted])
+    last = context[-1]
+    return float(m.log_probabilities(h, v.of_class[[last]], np.array([v.of_class[wanted]]))[0] + v.log_within[v.ends[last], wanted])
 
 
 def test_windows_score_each_id_once():
@@ -313,18 +316,19 @@ def test_windows_score_each_id_once():
         start = 0 if k < lm_score.CONTEXT else ((k - lm_score.CONTEXT) // lm_score.STRIDE + 1) * lm_score.STRIDE
         inputs = np.append(v.begin, v.row[ids])[start : k + 1]
         h = m.states(inputs[None])[0][:, -1]
-        after = np.array([1 if k == 0 else v.ends[ids[k - 1]]])
-        want += float(m.log_probabilities(h, after, v.of_class[[wanted]])[0] + v.log_within[after[0], wanted])
+        after, before = (1, v.n_classes) if k == 0 else (v.ends[ids[k - 1]], v.of_class[ids[k - 1]])
+        want += float(m.log_probabilities(h, np.array([before]), v.of_class[[wanted]])[0] + v.log_within[after, wanted])
     assert got[0] == pytest.approx(want, rel=1e-4) and got[1] == pytest.approx(m.score([ids[:5]], v)[0], rel=1e-5)
 
 
 def test_gradient():
     m, v = small_model()
     m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
+    m.next = m.next.astype(np.float64)
     r = np.random.default_rng(5)
-    rows, after, classes = r.integers(0, 60, (2, 6)), r.integers(0, 2, (2, 6)), r.integers(0, 60, (2, 6))
-    loss = lambda: -m.log_probabilities(m.states(rows)[0].reshape(12, -1), after.ravel(), classes.ravel()).mean()
-    g = m.gradient(rows, after, classes)
+    rows, before, classes = r.integers(0, 60, (2, 6)), r.integers(0, 60, (2, 6)), r.integers(0, 60, (2, 6))
+    loss = lambda: -m.log_probabilities(m.states(rows)[0].reshape(12, -1), before.ravel(), classes.ravel()).mean()
+    g = m.gradient(rows, before, classes)
     for name in m.w:
         at = tuple(int(x) for x in np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape))
         old, eps = m.w[name][at], 1e-5
@@ -338,7 +342,7 @@ def test_gradient():
 
 def test_training_lowers_held_out_loss():
     _, v = small_model()
-    m = lm_score.Model(lm_score.Model.fresh(v))
+    m = lm_score.Model(lm_score.Model.fresh(v), v.log_next)
     r = np.random.default_rng(6)
     chain = (np.arange(59) * 7 + 3) % 59
     def text(n):
@@ -598,3 +602,19 @@ def test_lines_of_odd_rows(spark, odd, empty):
     assert deduped(odd) == brute_lines(ODD) and deduped(empty) == []
     out = line_dedup.dedup_lines(odd)
     assert set(odd.columns) <= set(out.columns) and out.count() == len(ODD)
+
+
+# ---- SQL
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = catalog.queries()[name](spark, SF)
+    cols = sorted(got.columns)
+    result = con.execute(catalog.oracle_sql()[name])
+    place = [[d[0] for d in result.description].index(c) for c in cols]
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=str) == sorted((tuple(r[k] for k in place) for r in result.fetchall()), key=str)
