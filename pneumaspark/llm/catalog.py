@@ -30,7 +30,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.limits_table(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+    return token_counts.limits_table(materialize(token_counts.length_histogram(table(spark, sf_dir, "documents")), "histogram"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
