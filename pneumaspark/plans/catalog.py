@@ -83,6 +83,8 @@ def with_(*parts: str) -> str:
 
 TOLERANCE = 43200.0
 MODALITY = {"view": "eit", "click": "emg", "purchase": "ventilator"}
+#: Moves values with few decimals off the middle between two rounded ones, on both sides.
+NUDGE = 3.3e-9
 OFFSETS = {"eit": 0.0, "emg": 5.0, "ventilator": -2.0}
 
 
@@ -550,11 +552,11 @@ register(
 register(
     "extreme_time_products",
     with_(SAMPLES, EXTREMA, BREATHS, BASE, PRODUCT)
-    + """SELECT recording_id, breath_no, round(0.1 * a, 4) AS low, round(10 * b, 4) AS high, time_product >= 0.1 * a AND time_product <= 10 * b AS passed
+    + """SELECT recording_id, breath_no, round(0.1 * a + 3.3e-9, 6) AS low, round(10 * b + 3.3e-9, 6) AS high, time_product >= 0.1 * a AND time_product <= 10 * b AS passed
 FROM (SELECT *, quantile_cont(time_product, 0.05) OVER (PARTITION BY recording_id) AS a, quantile_cont(time_product, 0.95) OVER (PARTITION BY recording_id) AS b FROM product)""",
 )(
     lambda s, d: quality.extreme_time_products(metrics.time_product(based(s, d), breaths(s, d), 1.0, "baseline")).select(
-        "recording_id", "breath_no", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "passed"
+        "recording_id", "breath_no", r6(F.col("low") + NUDGE, "low"), r6(F.col("high") + NUDGE, "high"), "passed"
     )
 )
 register(
