@@ -9,8 +9,9 @@ within a class, ids after the end of a word and others are counted apart.  One a
 1. Words of all training documents are counted: each block sends a distinct word
    once.  Encoding the distinct words gives the ids' exact corpus counts.
 2. Every training document gives windows for training, one for each
-   ``SAMPLE`` of its words, at places that its content fixes; so what is gathered grows with
-   the corpus.
+   ``SAMPLE`` of its words and one at least, at places that its content fixes; so what is
+   gathered grows with the corpus.  A window has ``CONTEXT + 1`` ids; those that a text's end
+   cuts short are filled up and the filling is masked.
 3. Workers train copies of the model on their share of the windows, and the copies'
    mean starts the next round.  The number of copies is fixed, so what reaches
    the driver doesn't grow.
@@ -48,8 +49,8 @@ EMBEDDED, HASHED = 1536, 512
 SAMPLE = 160
 #: Most copies that train at once; each has this many windows before another is added.
 COPIES, WINDOWS_A_COPY = 64, 10_000
-#: Words that are encoded for a window; a window needs CONTEXT ids and one.
-PIECE = 16
+#: Fills windows that a text's end cuts short; trained with weight 0.
+PAD = -2
 ROUNDS = 2
 #: Steps of a copy in a round that it tries to reach by going over few windows again, but not more often than this.
 STEPS, PASSES = 600, 3
@@ -153,7 +154,8 @@ class Model:
                 out[a : a + rows] = wanted - top - np.log(np.exp(z - top[:, None]) @ ones)
         return out
 
-    def gradient(self, rows: np.ndarray, before: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, rows: np.ndarray, before: np.ndarray, classes: np.ndarray, use: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradient of the mean loss over the places in ``use`` (all by default)."""
         w, n = self.w, rows.size
         h, x, q, k, v, a, o = self.states(rows)
         flat = h.reshape(n, WIDTH)
@@ -162,7 +164,11 @@ class Model:
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(n), classes.ravel()] -= 1
-        z /= n
+        if use is None:
+            z /= n
+        else:
+            z[~use.ravel()] = 0
+            z /= max(1, int(use.sum()))
         g = {"U": flat.T @ z}
         dh = (z @ w["U"].T).reshape(h.shape)
         g["O"] = o.reshape(n, WIDTH).T @ dh.reshape(n, WIDTH)
@@ -185,7 +191,7 @@ class Model:
         return g
 
     def train(self, windows: np.ndarray, vocabulary: Vocabulary, rate: float = RATE) -> None:
-        """Adam over windows of ids; -1 stands for the begin of a text."""
+        """Adam over windows of ids; -1 stands for the begin of a text, PAD for what is behind its end."""
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         r, passes = np.random.default_rng(len(windows)), min(PASSES, max(1, round(STEPS * BATCH / max(1, len(windows)))))
@@ -196,7 +202,7 @@ class Model:
             given, wanted = ids[:, :-1], ids[:, 1:]
             rows = np.where(given < 0, vocabulary.begin, vocabulary.row[np.maximum(given, 0)])
             before = np.where(given < 0, vocabulary.n_classes, vocabulary.of_class[np.maximum(given, 0)])
-            g = self.gradient(rows, before, vocabulary.of_class[wanted])
+            g = self.gradient(rows, before, vocabulary.of_class[np.maximum(wanted, 0)], wanted != PAD)
             now = rate * min(1, (step + 1) / 20) * (1 - 0.7 * step / steps)
             for k in self.w:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -282,7 +288,8 @@ def class_pairs(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             if batch.num_rows:
                 ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, CONTEXT + 1)
                 before = np.where(ids[:, :-1] < 0, n, of_class[np.maximum(ids[:, :-1], 0)])
-                total += np.bincount((before * n + of_class[ids[:, 1:]]).ravel(), minlength=len(total))
+                pairs = before * n + of_class[np.maximum(ids[:, 1:], 0)]
+                total += np.bincount(pairs[ids[:, 1:] != PAD], minlength=len(total))
         seen = np.flatnonzero(total)
         yield record_batch({"place": seen, "n": total[seen]}, schema)
 
@@ -292,6 +299,24 @@ def class_pairs(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return out.reshape(n + 1, n)
 
 
+def windows_of(text: bytes | None, words: list[bytes], encode) -> Iterator[bytes]:
+    """Windows of CONTEXT + 1 ids of a text with these words and an end; -1 is its begin, PAD fills what is behind its end."""
+    size, last = 4 * (CONTEXT + 1), len(words) - 1
+    at = zlib.crc32(text or b"") % min(SAMPLE, max(1, last))
+    first = b"\xff\xff\xff\xff" if at < SAMPLE // 8 else b""
+    at = 0 if first else at
+    while at < last:
+        piece, stop = first, at
+        while len(piece) < size and stop < last:
+            more = min(stop + CONTEXT + 1, last)
+            piece += encode(b" ".join(words[stop:more]))
+            stop = more
+        if len(piece) >= 8:
+            yield piece[:size] + np.full(max(0, size - len(piece)) // 4, PAD, "<i4").tobytes()
+        first = b""
+        at += SAMPLE
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """Written (kind, key, n) of the training documents: words of each block with counts, and windows of ids."""
     schema = arrow_schema("kind string, key binary, n long")
@@ -306,16 +331,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     continue
                 words = tokens_of(text)
                 counts.update(words)
-                step = SAMPLE
-                at = zlib.crc32(text or b"") % step
-                first = b"\xff\xff\xff\xff" if at < step // 8 else b""
-                at = 0 if first else at
-                while at < len(words) - 1:
-                    piece = first + encode(b" ".join(words[at : min(at + PIECE, len(words) - 1)]))
-                    if len(piece) >= 4 * (CONTEXT + 1):
-                        windows.append(piece[: 4 * (CONTEXT + 1)])
-                    first = b""
-                    at += step
+                windows += windows_of(text, words, encode)
             yield record_batch({"kind": ["word"] * len(counts) + ["window"] * len(windows), "key": [*counts, *windows], "n": [*counts.values(), *([1] * len(windows))]}, schema)
 
     return materialize(id_text(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered")

@@ -356,6 +356,41 @@ def test_training_lowers_held_out_loss():
     assert sum(m.score(held, v)) > 0.7 * before
 
 
+PROSE = ("The house stood at the end of the road and nobody had lived there for many years . In the evening the children "
+         "came home from school and told their mother what they had seen on the way back through the old part of the town . ")
+
+
+def windows_of(text):
+    ids = [np.frombuffer(w, "<i4") for w in lm_score.windows_of(text.encode(), lm_score.tokens_of(text.encode()), WordEncoder.of().encode)]
+    assert all(len(w) == lm_score.CONTEXT + 1 for w in ids)
+    return ids
+
+
+def test_prose_and_short_texts_give_windows():
+    text = PROSE * 20
+    full = windows_of(text)
+    assert len(full) >= len(text.split()) // lm_score.SAMPLE
+    assert sum((w != lm_score.PAD).all() for w in full) >= len(full) - 1
+    for short in ("one two", "a few words of prose", PROSE):
+        (w,) = windows_of(short)
+        ids = np.frombuffer(WordEncoder.of().encode(short.encode()), "<i4")
+        held = w[w != lm_score.PAD]
+        held = held[held >= 0]
+        assert len(held) and " ".join(map(str, held[: len(ids)])) in " ".join(map(str, ids)) + f" {WordEncoder.of().tokenizer.get_vocab_size()}"
+
+
+def test_masked_places_have_no_gradient():
+    m, v = small_model()
+    m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
+    m.next = m.next.astype(np.float64)
+    rows = np.random.default_rng(9).integers(0, 60, (3, 2, 6))
+    use = np.ones((2, 6), bool)
+    use[:, 4:] = False
+    want = m.gradient(*(x[:, :4] for x in rows))
+    got = m.gradient(*rows, use)
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
 # ---- 6
 
 
