@@ -11,7 +11,8 @@ within a class, ids after the end of a word and others are counted apart.  One a
 2. Every training document gives windows for training, one for each
    ``SAMPLE`` of its words and one at least, at places that its content fixes; so what is
    gathered grows with the corpus.  A window has ``CONTEXT + 1`` ids; those that a text's end
-   cuts short are filled up and the filling is masked.
+   cuts short are filled up and the filling is masked.  How often a class follows another
+   is counted over all ids of all training documents, not over the windows.
 3. Workers train copies of the model on their share of the windows, and the copies'
    mean starts the next round.  The number of copies is fixed, so what reaches
    the driver doesn't grow.
@@ -42,16 +43,16 @@ from pneumaspark.llm.common import WordEncoder, arrow_schema, blocks, id_text, r
 from pneumaspark.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
-CONTEXT, STRIDE = 24, 20
-WIDTH = 16
-OWN_CLASSES, SHARED_CLASSES = 112, 16
+CONTEXT, STRIDE = 32, 24
+WIDTH = 24
+OWN_CLASSES, SHARED_CLASSES = 288, 64
 EMBEDDED, HASHED = 1536, 512
-SAMPLE = 160
+SAMPLE = 100
 #: Most copies that train at once; each has this many windows before another is added.
 COPIES, WINDOWS_A_COPY = 64, 10_000
 #: Fills windows that a text's end cuts short; trained with weight 0.
 PAD = -2
-ROUNDS = 2
+ROUNDS = 3
 #: Steps of a copy in a round that it tries to reach by going over few windows again, but not more often than this.
 STEPS, PASSES = 600, 3
 BATCH = 16
@@ -244,14 +245,14 @@ class Model:
         return np.add.reduceat(out, base).tolist()
 
 
-def train_model(windows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+def train_model(windows: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Weights after rounds of training in ``COPIES`` tasks and averaging, weighted by windows."""
     weights = Model.fresh(vocabulary)
     names, spark = list(weights), windows.sparkSession
     copies = min(COPIES, 1 + windows.count() // WINDOWS_A_COPY)
     share = materialize(windows.withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")).repartition(copies, "copy"), "windows")
     schema = arrow_schema("n long, weights binary")
-    vocabulary.count_next(class_pairs(share, vocabulary))
+    vocabulary.count_next(class_pairs(docs, vocabulary))
     known = spark.sparkContext.broadcast(vocabulary)
 
     def trainer(held, rate: float):
@@ -278,22 +279,27 @@ def train_model(windows: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndar
     return weights
 
 
-def class_pairs(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts[class before, class] in all windows of ids; the result's size is the classes' square."""
+def class_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Counts[class before, class] over all ids of all training documents; a task holds the classes' square."""
     n, of_class, schema = vocabulary.n_classes, vocabulary.of_class, arrow_schema("place int, n long")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n + 1) * n, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, CONTEXT + 1)
-                before = np.where(ids[:, :-1] < 0, n, of_class[np.maximum(ids[:, :-1], 0)])
-                pairs = before * n + of_class[np.maximum(ids[:, 1:], 0)]
-                total += np.bincount(pairs[ids[:, 1:] != PAD], minlength=len(total))
+        encode, total = WordEncoder.of().encode, np.zeros((n + 1) ** 2, np.int64)
+        for ids, texts in blocks(batches, 4 << 20):
+            coded = [encode(text) for doc_id, text in zip(ids, texts, strict=True) if not is_held_out(doc_id)]
+            sizes = np.array([len(c) // 4 for c in coded], np.int64)
+            # each document is its begin, whose number is n, and its ids
+            seen = np.full(int(sizes.sum()) + len(coded), n, np.int64)
+            inside = np.ones(len(seen), bool)
+            inside[np.cumsum(sizes + 1) - sizes - 1] = False
+            seen[inside] = of_class[np.frombuffer(b"".join(coded), "<u4")]
+            total += np.bincount(seen[:-1] * (n + 1) + seen[1:], minlength=len(total))
+        # what comes before a begin belongs to another document
+        total = total.reshape(n + 1, n + 1)[:, :n].ravel()
         seen = np.flatnonzero(total)
         yield record_batch({"place": seen, "n": total[seen]}, schema)
 
-    rows = windows.select("ids").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    rows = id_text(docs).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((n + 1) * n)
     out[rows["place"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(n + 1, n)
@@ -380,7 +386,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     for name, number in tokenizer.get_vocab(with_added_tokens=True).items():
         ends[number] = name.endswith(("</w>", "|>"))
     vocabulary = Vocabulary(id_counts(words, ends), ends)
-    weights = train_model(gathered.where("kind = 'window'").select(F.col("key").alias("ids")), vocabulary)
+    weights = train_model(gathered.where("kind = 'window'").select(F.col("key").alias("ids")), docs, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, weights))
 
     numbered = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))

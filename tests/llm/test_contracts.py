@@ -379,6 +379,33 @@ def test_prose_and_short_texts_give_windows():
         assert len(held) and " ".join(map(str, held[: len(ids)])) in " ".join(map(str, ids)) + f" {WordEncoder.of().tokenizer.get_vocab_size()}"
 
 
+def brute_pairs(docs, v):
+    want, encode = np.zeros((v.n_classes + 1, v.n_classes)), WordEncoder.of().encode
+    for i, t in docs:
+        if not lm_score.is_held_out(i):
+            before = v.n_classes
+            for k in np.frombuffer(encode((t or "").encode()), "<u4"):
+                want[before, v.of_class[k]] += 1
+                before = v.of_class[k]
+    return want
+
+
+def corpus_vocabulary(docs):
+    size = WordEncoder.of().tokenizer.get_vocab_size(with_added_tokens=True)
+    counts = np.zeros((2, size + 1))
+    for _, t in docs:
+        np.add.at(counts[1], np.frombuffer(WordEncoder.of().encode((t or "").encode()), "<u4"), 1)
+    return lm_score.Vocabulary(counts, np.ones(size, np.int64))
+
+
+def test_class_pairs_count_all_ids(spark, odd, empty):
+    docs = [*ODD, (20, PROSE * 20), (21, PROSE), (22, "a b")]
+    v = corpus_vocabulary(docs)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert (lm_score.class_pairs(rows.repartition(3), v) == brute_pairs(docs, v)).all()
+    assert lm_score.class_pairs(empty, v).sum() == 0
+
+
 def test_masked_places_have_no_gradient():
     m, v = small_model()
     m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
