@@ -10,9 +10,9 @@ within a class, ids after the end of a word and others are counted apart.  One a
    once.  Encoding the distinct words gives the ids' exact corpus counts.
 2. Every training document gives windows for training, one for each
    ``SAMPLE`` of its words and one at least, at places that its content fixes; so what is
-   gathered grows with the corpus.  A window has ``CONTEXT + 1`` ids; those that a text's end
-   cuts short are filled up and the filling is masked.  How often a class follows another
-   is counted over all ids of all training documents, not over the windows.
+   gathered grows with the corpus.  A window has ``CONTEXT + 1`` ids, the end of the text among
+   them where it is reached; those that it cuts short are filled up and the filling is masked.  How often a class follows another
+   is counted over all ids of all training documents and their ends, not over the windows.
 3. Workers train copies of the model on their share of the windows, and the copies'
    mean starts the next round.  The number of copies is fixed, so what reaches
    the driver doesn't grow.
@@ -280,7 +280,7 @@ def train_model(windows: DataFrame, docs: DataFrame, vocabulary: Vocabulary) ->
 
 
 def class_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts[class before, class] over all ids of all training documents; a task holds the classes' square."""
+    """Counts[class before, class] over all ids of all training documents and their ends; a task holds the classes' square."""
     n, of_class, schema = vocabulary.n_classes, vocabulary.of_class, arrow_schema("place int, n long")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +288,11 @@ def class_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         for ids, texts in blocks(batches, 4 << 20):
             coded = [encode(text) for doc_id, text in zip(ids, texts, strict=True) if not is_held_out(doc_id)]
             sizes = np.array([len(c) // 4 for c in coded], np.int64)
-            # each document is its begin, whose number is n, and its ids
-            seen = np.full(int(sizes.sum()) + len(coded), n, np.int64)
-            inside = np.ones(len(seen), bool)
-            inside[np.cumsum(sizes + 1) - sizes - 1] = False
+            # each document is its begin, whose number is n, its ids and its end
+            seen = np.full(int(sizes.sum()) + 2 * len(coded), n, np.int64)
+            inside, stop = np.ones(len(seen), bool), np.cumsum(sizes + 2)
+            inside[stop - 1] = inside[stop - sizes - 2] = False
+            seen[stop - 1] = of_class[vocabulary.end]
             seen[inside] = of_class[np.frombuffer(b"".join(coded), "<u4")]
             total += np.bincount(seen[:-1] * (n + 1) + seen[1:], minlength=len(total))
         # what comes before a begin belongs to another document
@@ -305,18 +306,23 @@ def class_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return out.reshape(n + 1, n)
 
 
-def windows_of(text: bytes | None, words: list[bytes], encode) -> Iterator[bytes]:
-    """Windows of CONTEXT + 1 ids of a text with these words and an end; -1 is its begin, PAD fills what is behind its end."""
+def windows_of(text: bytes | None, words: list[bytes], encode, end: int) -> Iterator[bytes]:
+    """Windows of CONTEXT + 1 ids of a text with these words; -1 is its begin, ``end`` its end, PAD fills what is behind.
+
+    A text without words is its begin and its end.
+    """
     size, last = 4 * (CONTEXT + 1), len(words) - 1
     at = zlib.crc32(text or b"") % min(SAMPLE, max(1, last))
     first = b"\xff\xff\xff\xff" if at < SAMPLE // 8 else b""
     at = 0 if first else at
-    while at < last:
+    while at < max(1, last):
         piece, stop = first, at
         while len(piece) < size and stop < last:
             more = min(stop + CONTEXT + 1, last)
             piece += encode(b" ".join(words[stop:more]))
             stop = more
+        if stop == last:
+            piece += end.to_bytes(4, "little")
         if len(piece) >= 8:
             yield piece[:size] + np.full(max(0, size - len(piece)) // 4, PAD, "<i4").tobytes()
         first = b""
@@ -328,7 +334,8 @@ def gather(docs: DataFrame) -> DataFrame:
     schema = arrow_schema("kind string, key binary, n long")
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder.of().encode
+        encoder = WordEncoder.of()
+        end = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         for ids, texts in blocks(batches, COUNT_BYTES):
             counts: Counter = Counter()
             windows: list[bytes] = []
@@ -337,7 +344,7 @@ def gather(docs: DataFrame) -> DataFrame:
                     continue
                 words = tokens_of(text)
                 counts.update(words)
-                windows += windows_of(text, words, encode)
+                windows += windows_of(text, words, encoder.encode, end)
             yield record_batch({"kind": ["word"] * len(counts) + ["window"] * len(windows), "key": [*counts, *windows], "n": [*counts.values(), *([1] * len(windows))]}, schema)
 
     return materialize(id_text(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered")

@@ -361,7 +361,8 @@ PROSE = ("The house stood at the end of the road and nobody had lived there for
 
 
 def windows_of(text):
-    ids = [np.frombuffer(w, "<i4") for w in lm_score.windows_of(text.encode(), lm_score.tokens_of(text.encode()), WordEncoder.of().encode)]
+    end = WordEncoder.of().tokenizer.get_vocab_size()
+    ids = [np.frombuffer(w, "<i4") for w in lm_score.windows_of(text.encode(), lm_score.tokens_of(text.encode()), WordEncoder.of().encode, end)]
     assert all(len(w) == lm_score.CONTEXT + 1 for w in ids)
     return ids
 
@@ -387,6 +388,7 @@ def brute_pairs(docs, v):
             for k in np.frombuffer(encode((t or "").encode()), "<u4"):
                 want[before, v.of_class[k]] += 1
                 before = v.of_class[k]
+            want[before, v.of_class[v.end]] += 1
     return want
 
 
@@ -394,7 +396,7 @@ def corpus_vocabulary(docs):
     size = WordEncoder.of().tokenizer.get_vocab_size(with_added_tokens=True)
     counts = np.zeros((2, size + 1))
     for _, t in docs:
-        np.add.at(counts[1], np.frombuffer(WordEncoder.of().encode((t or "").encode()), "<u4"), 1)
+        np.add.at(counts[1], [*np.frombuffer(WordEncoder.of().encode((t or "").encode()), "<u4"), size], 1)
     return lm_score.Vocabulary(counts, np.ones(size, np.int64))
 
 
@@ -406,6 +408,20 @@ def test_class_pairs_count_all_ids(spark, odd, empty):
     assert lm_score.class_pairs(empty, v).sum() == 0
 
 
+def test_ends_are_targets(spark):
+    end = WordEncoder.of().tokenizer.get_vocab_size()
+    for text in ("", "one two", PROSE):
+        (w,) = windows_of(text)
+        assert (w == end).sum() == (len(text.split()) <= lm_score.CONTEXT) and (w[0] == -1 or text)
+    assert sum((w == end).sum() for k in range(100) for w in windows_of(f"start{k} " + PROSE * 3)) > 10
+    # however many documents there are, the end is as likely after its class as it is in them
+    docs = [(k, "same words") for k in range(200)]
+    v = corpus_vocabulary(docs)
+    v.count_next(lm_score.class_pairs(spark.createDataFrame(docs, "doc_id long, text string"), v))
+    last = np.frombuffer(WordEncoder.of().encode(b"same words"), "<u4")[-1]
+    assert math.exp(v.log_next[v.of_class[last], v.of_class[v.end]]) > 0.7
+
+
 def test_masked_places_have_no_gradient():
     m, v = small_model()
     m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
