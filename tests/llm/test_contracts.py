@@ -682,6 +682,17 @@ def test_lines_of_odd_rows(spark, odd, empty):
     assert set(odd.columns) <= set(out.columns) and out.count() == len(ODD)
 
 
+NAMES = ["ann", "bob", "cid", "dan", "eve", "fay"]
+
+
+def test_several_templates_in_a_leaf(spark):
+    first = [(k, f"You are now reading {n} in our free archive") for k, n in enumerate(NAMES)]
+    second = [(10 + k, f"You are now leaving the old {n} web site") for k, n in enumerate(NAMES)]
+    others = [(20 + k, f"You are now a{'xyz'[k % 3]}{chr(97 + k)} b{chr(97 + k)} c{chr(97 + k)} d{chr(97 + k)} e{chr(97 + k)} f{chr(97 + k)}") for k in range(20)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(first + second + others, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {*range(1, 6), *range(11, 16)}
+
+
 # ---- SQL
 
 
