@@ -14,7 +14,9 @@ Only DataFrame functions run here.  The steps:
 4. ``exact_matches`` compares the words along each diagonal with the item's;
    runs of equal words that hold a whole window are hits.
 
-``proximity_matches`` intersects the same lists with a tolerance instead.
+``proximity_matches`` intersects the same lists with a tolerance instead; ``proximity_report``
+gives them for each document, and ``drop_contaminated`` acts on those with at least
+``NEAR_LEAST`` anchors and ``NEAR_SHARE`` of the item's.
 
 Words are runs of bytes other than ASCII controls, blanks and punctuation, after
 A-Z is lower-cased; other letters keep their case.  Null and empty texts have no
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from pneumaspark.session import materialize
 
 WINDOW = 10
+#: Anchors that a proximity match needs to drop a document, and their share of the item's.
+NEAR_LEAST, NEAR_SHARE = 5, 0.5
 #: Rows up to which a side is sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,12 +130,35 @@ def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int = 3) -> Dat
     return near.groupBy("key", "item").agg(F.max("near").alias("near"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated."""
+def prepared(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written items, index and anchors, which exact and proximity matches share."""
     items = materialize(test_words(benchmark), "items")
     terms = materialize(items.select(F.explode("words").alias("term")).distinct().select("term", F.xxhash64("term").alias("term_id")), "terms")
     index = build_index(docs, terms)
-    anchor = materialize(anchors(items, terms, index), "anchors")
+    return items, index, materialize(anchors(items, terms, index), "anchors")
+
+
+def supported(index: DataFrame, anchor: DataFrame) -> DataFrame:
+    """(key, item, near, n_anchors): the proximity matches with enough anchors, also of the item's."""
+    sizes = anchor.groupBy("item").agg(F.countDistinct("offset").alias("n_anchors"))
+    near = proximity_matches(index, anchor).where(F.col("near") >= NEAR_LEAST).join(small(materialize(sizes, "anchor_counts")), "item")
+    return near.where(F.col("near") >= NEAR_SHARE * F.col("n_anchors"))
+
+
+def proximity_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, key, item_id, near, n_anchors): documents and the items that they match nearly, with enough anchors."""
+    items, index, anchor = prepared(docs, benchmark)
+    found = materialize(supported(index, anchor), "near")
+    return keyed(docs).select("doc_id", "key").join(small(found), "key").join(small(items.select("item", "item_id")), "item").select("doc_id", "key", "item_id", "near", "n_anchors")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return exact_report(docs, *prepared(docs, benchmark))
+
+
+def exact_report(docs: DataFrame, items: DataFrame, index: DataFrame, anchor: DataFrame) -> DataFrame:
+    """What ``contamination`` gives, from what ``prepared`` gives."""
     found = materialize(candidates(index, anchor), "candidates")
     hits = exact_matches(docs, items, found)
     spans = hits.groupBy("key").agg(
@@ -153,7 +180,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no window of any item."""
-    hit = materialize(contamination(docs, benchmark).where("contaminated").select("key").distinct(), "contaminated")
+    """The rows of ``docs``, all columns, whose text holds no window of any item and matches none nearly."""
+    items, index, anchor = prepared(docs, benchmark)
+    exact = exact_report(docs, items, index, anchor).where("contaminated").select("key")
+    hit = materialize(exact.unionByName(supported(index, anchor).select("key")).distinct(), "contaminated")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.withColumn("_key", key).join(small(hit.withColumnRenamed("key", "_key")), "_key", "left_anti").select(docs.columns)

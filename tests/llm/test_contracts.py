@@ -136,6 +136,16 @@ def test_proximity(spark):
     assert near.count() == 1
 
 
+def test_changed_passages_are_dropped(spark):
+    item = [f"term{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    changed = " ".join("other" if k % 9 == 4 else w for k, w in enumerate(item))
+    docs = spark.createDataFrame([(1, "before " + changed + " after"), (2, " ".join(item[::-1])), (3, "termaa termba"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, bench).collect())
+    assert [(r.doc_id, r.item_id) for r in decontaminate.proximity_report(docs, bench).collect()] == [(1, "7")]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3, 4]
+
+
 # ---- 2 and 5
 
 
