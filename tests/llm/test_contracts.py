@@ -703,6 +703,13 @@ def test_several_templates_in_a_leaf(spark):
     assert {i for i, n in got.items() if n} == {*range(1, 6), *range(11, 16)}
 
 
+def test_long_lines_go_from_the_second_document(spark):
+    long = "a passage of many words that two documents share as a line of their own"
+    docs = spark.createDataFrame([(1, long + "\nshort line"), (2, "short line\n" + long), (3, "alone")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (0, long + "\nshort line"), 2: (1, "short line"), 3: (0, "alone")}
+
+
 # ---- SQL
 
 
