@@ -295,11 +295,8 @@ def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFra
     return materialize(rows.groupBy("cluster", "block", "block2").applyInArrow(compare, "a long, b long"), "block_links")
 
 
-def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(v, root) of the classes that have links; ``reps`` has one text per class, ``sets`` what ``classes`` gives."""
-    spark = docs.sparkSession
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    heavy = spark.sparkContext.broadcast(heavy_tokens(reps, buckets))
+def token_lists(reps: DataFrame, heavy) -> DataFrame:
+    """Written (token, doc_id, n): prefix tokens that several classes have; two classes that link share one."""
     schema = arrow_schema("token long, doc_id long, n int")
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +334,20 @@ def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> D
 
     ddl = "token long, doc_id long, n int"
     postings = id_text(reps).mapInArrow(post, ddl).repartition("token").sortWithinPartitions("token")
-    lists = materialize(postings.mapInArrow(several, ddl), "lists")
+    return materialize(postings.mapInArrow(several, ddl), "lists")
+
+
+def heavy_of(reps: DataFrame):
+    """The broadcast heavy tokens of the classes' texts."""
+    spark = reps.sparkSession
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sparkContext.broadcast(heavy_tokens(reps, buckets))
+
+
+def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(v, root) of the classes that have links; ``reps`` has one text per class, ``sets`` what ``classes`` gives."""
+    heavy = heavy_of(reps)
+    lists = token_lists(reps, heavy)
 
     # the head of a list is its first member of the size class that a member can link within
     hubs = lists.groupBy("token", F.floor(F.log2("n") * 2).alias("class")).agg(F.min(F.struct("doc_id", "n")).alias("head"))
@@ -370,8 +380,8 @@ def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> D
     return materialize(components(links), "components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id (the first document with an equal set)."""
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``classes`` gives, (doc_id, n_shingles, class_id) of all rows, and the rows with one text per class."""
     sets = classes(docs)
     key = ["n_shingles", "d1", "d2"]
     first = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("class_id"))
@@ -379,7 +389,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = known.where("class_id IS NULL OR class_id <> doc_id").select("doc_id").distinct()
     # a doc_id may stand for one class and be a copy in another: it then takes part with each text
     others = small(materialize(others.join(known.where("class_id = doc_id").select("doc_id"), "doc_id", "left_anti"), "copies"))
-    reps = docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti")
+    return sets, known, docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti")
+
+
+def class_links(docs: DataFrame) -> DataFrame:
+    """Every link (a, b), a < b, between first documents of distinct classes, written.
+
+    All pairs that share a prefix token are verified, also inside a component; so the
+    result and the work grow with the square of a group of near copies.  ``class_id``
+    of ``near_duplicates`` tells which documents a class has.
+    """
+    sets, _, reps = classified(docs)
+    heavy = heavy_of(reps)
+    lists = token_lists(reps, heavy)
+    one = lists.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    two = lists.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = one.join(two, "token").where(f"a < b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+    links = materialize(verify(possible(materialize(pairs, "pairs"), sets), id_text(reps), heavy).distinct(), "class_links")
+    heavy.unpersist()
+    return links
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id (the first document with an equal set)."""
+    sets, known, reps = classified(docs)
     root = links_and_components(docs, reps, sets)
     there = F.col("doc_id").isNotNull()
     return known.join(root.withColumnRenamed("v", "class_id"), "class_id", "left").select(

@@ -517,6 +517,13 @@ def test_components_of_a_chain(spark, monkeypatch):
     assert near(df) == brute_components(rows)
 
 
+def test_links_inside_components(spark):
+    base = [f"near{k}" for k in range(120)]
+    docs = [(k, " ".join([*base, f"tail{k}"])) for k in range(6)] + [(6, " ".join([*base, "tail0"])), (7, "far away from all the others")]
+    got = {(r.a, r.b) for r in jaccard_join.class_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
 def test_components_of_odd_rows(odd, empty):
     got = near(odd)
     assert got.pop(None)[1] is None
