@@ -1,14 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by an index of window hashes.
 
-The corpus is parsed against itself.  A reference block is a run of documents
-that one task holds; its index maps the hash of every 20-word window to the
-first place where the window starts.  Greedy parsing goes word by word: where the
-window at hand has an earlier place, a factor begins, and it grows as long as the
-next window has one too; windows that straddle two factors are looked up like
-any other, so nothing is lost at a boundary.  A factor of ``WINDOW`` words or more
-is a duplicate span.
+This stands in place of relative Lempel-Ziv parsing: nothing is parsed greedily and
+no longest match is sought.  A block is a run of documents that one task holds.  The
+hash of every 20-word window is compared with those of all others; a run of windows
+that each have an earlier place is a duplicate span, which ``n_factors`` counts.
+Since every window is compared, there are no boundaries to check.
 
-1. Each block parses its own documents and keeps, of every window, the first.
+1. Each block sorts its windows' hashes and keeps, of every window, the first.
 2. Those first windows make the index over all blocks.  It is dealt by anchors:
    the least hash among the 8-word runs of a window.  Neighbouring windows mostly
    share their anchor, so an index row holds a run of windows, six bytes each.
