@@ -265,6 +265,75 @@ def test_substring_dedup_of_odd_rows(odd, empty):
     assert digests(empty) == {}
 
 
+def test_two_texts_of_a_doc_id_are_two_documents(spark):
+    w, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "wv")
+    df = spark.createDataFrame([(1, w), (2, w + " " + v), (2, v), (2, v)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_digest(df).collect())
+    long, short = (60, 30), (30, 30)  # of the two texts of 2, the later one loses v
+    assert got in ([(1, 30, 0), (2, 30, 0), (2, 30, 0), (2, 60, 60)], [(1, 30, 0), (2, *short), (2, *short), (2, *long[:1], 30)])
+
+
+def shared_runs(n=60):
+    """Documents that share an 8-word run, and with it an anchor, in contexts that recur in some of them."""
+    run = " ".join(f"run{k}" for k in range(8))
+    rows = []
+    for i in range(n):
+        own = [f"d{i % 17}x{k % 23}" for k in range(50)]
+        rows.append((i, " ".join(own[:25]) + f" {run} " + " ".join(own[25:]) + (f" {COPY}" if i % 3 == 0 else "")))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_blocks_chunks_and_split_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 40)
+    if hot:
+        monkeypatch.setattr(substring_dedup, "HOT_ROWS", 3)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0)
+    rows = shared_runs()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if hot:
+        assert len(substring_dedup.hot_buckets(df)) > 5
+    assert digests(df) == substring_dedup.brute_force(rows)
+
+
+def test_factors_are_copies(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 4000)
+    rows = shared_runs() + [(100, LONG), (101, LONG[5:100_000] + " x " + LONG[100_000:])]
+    texts = {i: t.split() for i, t in rows}
+    found = substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(len(r.factors) for r in found) > 40
+    for r in found:
+        for f in r.factors:
+            assert f.n_words >= 20 and (f.src_doc, f.src_start) < (r.doc_id, f.start)
+            assert texts[f.src_doc][f.src_start : f.src_start + f.n_words] == texts[r.doc_id][f.start : f.start + f.n_words]
+    assert max(f.n_words for r in found for f in r.factors) > 5000
+
+
+def test_parse_is_greedy():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        sizes = r.integers(0, 30, 12)
+        keys, piece = r.integers(0, 4, sizes.sum()).astype(np.uint64), np.repeat(np.arange(12), sizes)
+        at, length, source, copied = substring_dedup.parse(keys, piece)
+        cells = list(zip(keys.tolist(), piece.tolist()))
+        longest = []
+        for i in range(len(keys)):
+            runs = [0]
+            for j in range(i):
+                n = 0
+                while i + n < len(keys) and piece[i + n] == piece[i] and piece[j + n] == piece[j] and cells[i + n][0] == cells[j + n][0]:
+                    n += 1
+                runs.append(n)
+            longest.append(max(runs))
+        assert (copied == (np.array(longest, int) > 0)).all()
+        covered = np.zeros(len(keys), int)
+        for a, n, s in zip(at, length, source):
+            assert s < a and longest[a] // 2 < n <= longest[a] and (keys[a : a + n] == keys[s : s + n]).all()
+            covered[a : a + n] += 1
+        assert (covered <= 1).all() and covered[copied].all()
+
+
 # ---- 4
 
 
