@@ -48,7 +48,7 @@ TAG = 6
 #: Text of a block; its windows take about 20 times as much in arrays.
 BLOCK_BYTES = 6 << 20
 #: Windows of a reference block that are parsed at once.
-CHUNK_WINDOWS = 1_000_000
+CHUNK_WINDOWS = 500_000
 #: Anchors are counted in buckets; one with more rows than HOT_ROWS and HOT_SHARE times the mean is split.
 BUCKETS, HOT_ROWS, HOT_SHARE = 1 << 16, 4096, 4
 #: Factors are at most so many doublings long before they are joined.
