@@ -1,21 +1,21 @@
 """Language-model scores from a causal self-attention model, trained in numpy.
 
-The model reads subword ids and predicts the next one in two factors: its class
-from the context, and the id within the class from corpus counts.  The most
-frequent ids are classes of their own; the others share classes of like frequency.
-The layer's output adds to the log frequencies of classes after the class before;
-within a class, ids after the end of a word and others are counted apart.  One attention layer with a residual path looks back over a window of ids.
-
-1. Words of all training documents are counted: each block sends a distinct word
-   once.  Encoding the distinct words gives the ids' exact corpus counts.
-2. Every training document gives windows for training, one for each
-   ``SAMPLE`` of its words and one at least, at places that its content fixes; so what is
-   gathered grows with the corpus.  A window has ``CONTEXT + 1`` ids, the end of the text among
-   them where it is reached; those that it cuts short are filled up and the filling is masked.  How often a class follows another
-   is counted over all ids of all training documents and their ends, not over the windows.
-3. Workers train copies of the model on their share of the windows, and the copies'
-   mean starts the next round.  The number of copies is fixed, so what reaches
-   the driver doesn't grow.
+The model reads subword ids and predicts the next one in three factors: a group of
+classes and a class in it from the context, and the id within the class from corpus
+counts.  The most frequent ids are classes of their own; the others share classes of
+like frequency.  The layer's outputs add to the log frequencies of groups and classes
+after the class before; within a class, ids after the end of a word and others are
+counted apart.  One attention layer with a residual path looks back over a window of ids.
+
+1. One pass over the training documents writes the distinct words of each block with
+   their counts, and every document's ids.
+2. Ids, and how often a class follows another, are counted over all ids of all training
+   documents and their ends.
+3. The model trains on every id of every training document: texts with begin and end
+   are cut to windows of ``CONTEXT`` inputs, the last one filled up and masked.  The
+   documents are dealt to rounds that grow; in a round every task trains a copy on the
+   documents of its partition as they stream by, and the copies' mean starts the next
+   round.  Means are taken in tasks, file by file, until few rows are left for the driver.
 4. All documents are scored in windows that overlap: each id is scored once, with
    at least ``CONTEXT - STRIDE`` ids before it where the document has them.
 
@@ -45,21 +45,24 @@ from pneumaspark.session import materialize
 FOLDS, HELD_OUT = 7, 2
 CONTEXT, STRIDE = 32, 24
 WIDTH = 24
-OWN_CLASSES, SHARED_CLASSES = 288, 64
+#: Classes are dealt to groups; of a group's classes, SHARED hold several ids.
+GROUPS, GROUP_CLASSES, SHARED = 32, 32, 4
 EMBEDDED, HASHED = 1536, 512
-SAMPLE = 100
-#: Most copies that train at once; each has this many windows before another is added.
-COPIES, WINDOWS_A_COPY = 64, 10_000
 #: Fills windows that a text's end cuts short; trained with weight 0.
-PAD = -2
-ROUNDS = 3
-#: Steps of a copy in a round that it tries to reach by going over few windows again, but not more often than this.
-STEPS, PASSES = 600, 3
-BATCH = 16
-RATE = 1.5e-2
+PAD, BEGIN = -2, -1
+#: Sixteenths of the training documents that the rounds take, one after another.
+ROUNDS = (1, 3, 12)
+#: In the last round a task with few windows goes over them again, until it has made so many steps, but not more often than this.
+STEPS, PASSES = 1500, 4
+BATCH = 48
+RATE = 1.2e-2
+#: Rows of weights that reach the driver at most.
+MOST_COPIES = 64
 FREQUENT = 50_000
 COUNT_BYTES = 24 << 20
 END = b""
+#: The ids of word_bpe_49k fit 16 bits, and so does the end behind them.
+ID = "<u2"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -80,14 +83,16 @@ class Vocabulary:
         both = counts + 0.02
         smooth = both.sum(axis=0)
         self.ends = np.append(ends, True).astype(np.int8)
+        self.n_classes = GROUPS * GROUP_CLASSES
         order = np.argsort(-smooth, kind="stable")
-        self.of_class = np.empty(n, np.int32)
-        self.of_class[order[:OWN_CLASSES]] = np.arange(min(OWN_CLASSES, n))
-        rest = order[OWN_CLASSES:]
+        own = min(n, GROUPS * (GROUP_CLASSES - SHARED))
+        number = np.empty(n, np.int32)  # by frequency; the groups get classes in turn
+        number[order[:own]] = np.arange(own)
+        rest = order[own:]
         if len(rest):
             mass = np.cumsum(smooth[rest])
-            self.of_class[rest] = OWN_CLASSES + np.minimum((mass / mass[-1] * SHARED_CLASSES).astype(int), SHARED_CLASSES - 1)
-        self.n_classes = OWN_CLASSES + SHARED_CLASSES
+            number[rest] = own + np.minimum((mass / mass[-1] * GROUPS * SHARED).astype(int), GROUPS * SHARED - 1)
+        self.of_class = number % GROUPS * GROUP_CLASSES + number // GROUPS
         total = np.array([np.bincount(self.of_class, c, self.n_classes) for c in both])
         self.log_within = np.log(both / total[:, self.of_class]).astype(np.float32)
         self.log_class = np.log(np.maximum(total, 1e-9) / total.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -100,115 +105,173 @@ class Vocabulary:
         self.prior = np.exp(np.concatenate([self.log_class[ended.astype(int)], self.log_class[1:]]))
         self.log_next = np.log(self.prior).astype(np.float32)
 
-    def count_next(self, counts: np.ndarray, weight: float = 30.0) -> None:
-        """Take in counts[class before, class], smoothed by what follows the end or the middle of a word."""
+    def count_next(self, counts: np.ndarray, smoothing: float = 2.0) -> None:
+        """Take in counts[class before, class], smoothed by what follows the end or the middle of a word.
+
+        A class before that has many classes behind it leaves more to the smoothing.
+        """
+        weight = smoothing * np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
         self.log_next = np.log((counts + weight * self.prior) / (counts.sum(axis=1, keepdims=True) + weight)).astype(np.float32)
 
+    def inputs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows and classes of ids, among which BEGIN may be."""
+        known = np.maximum(ids, 0)
+        begin = ids == BEGIN
+        return np.where(begin, self.begin, self.row[known]), np.where(begin, self.n_classes, self.of_class[known])
+
 
 class Model:
-    """x = E[id] + P[place]; h = x + softmax(mask(x Q K' x')) x V O; classes = softmax(h U + log_next[class before])."""
+    """x = E[id] + P[place]; h = x + softmax(mask(x Q K' x')) x V O; a group of classes by
+    softmax(h U + log frequency of groups after the class before), a class in it by another softmax alike."""
 
     def __init__(self, weights: dict[str, np.ndarray], log_next: np.ndarray):
         self.w = {k: v.copy() for k, v in weights.items()}
-        self.next = log_next
+        inner = log_next.reshape(len(log_next), GROUPS, GROUP_CLASSES)
+        top = inner.max(axis=2, keepdims=True)
+        total = np.log(np.exp(inner - top).sum(axis=2, keepdims=True)) + top
+        self.next_group, self.next_inner = total[:, :, 0], inner - total
 
     @staticmethod
     def fresh(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         r = np.random.default_rng(7)
         make = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
-        weights = {"E": make(vocabulary.begin + 1, WIDTH) * 3, "P": make(CONTEXT, WIDTH), "U": make(WIDTH, vocabulary.n_classes) * np.float32(0.1)}
-        return weights | {k: make(WIDTH, WIDTH) * 2 for k in "QKVO"}
+        weights = {"E": make(vocabulary.begin + 1, WIDTH) * 3, "P": make(CONTEXT, WIDTH), "QKV": make(WIDTH, 3 * WIDTH) * 2, "O": make(WIDTH, WIDTH) * 2}
+        return weights | {"U": make(WIDTH, GROUPS) * np.float32(0.1), "C": make(GROUPS, WIDTH, GROUP_CLASSES) * np.float32(0.1)}
 
     def states(self, rows: np.ndarray) -> tuple:
         """Hidden states after each place of windows of embedding rows, and what the gradient needs."""
-        w, length = self.w, rows.shape[1]
-        x = w["E"][rows] + w["P"][:length]
-        q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
+        w, (n, length) = self.w, rows.shape
+        x = w["E"][rows]
+        x += w["P"][:length]
+        qkv = (x.reshape(-1, WIDTH) @ w["QKV"]).reshape(n, length, 3 * WIDTH)
+        q, k, v = (qkv[:, :, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += np.triu(np.full((length, length), -1e9, np.float32), 1)
-        s -= s.max(axis=-1, keepdims=True)
+        s *= s.dtype.type(WIDTH**-0.5)
+        np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=-1, keepdims=True)
+        s *= np.tri(length, dtype=s.dtype)
+        s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length, 1)
         o = s @ v
-        return x + o @ w["O"], x, q, k, v, s, o
-
-    def log_probabilities(self, h: np.ndarray, before: np.ndarray, classes: np.ndarray, rows: int = 512) -> np.ndarray:
-        """Log probability of each wanted class, for states in rows and the classes before.
+        return x + (o.reshape(-1, WIDTH) @ w["O"]).reshape(x.shape), x, q, k, v, s, o
 
-        Blocks of rows stay in the cache.  Only a block whose exponentials overflow
-        is shifted by its maxima.
-        """
-        u = self.w["U"]
-        ones = np.ones(u.shape[1], u.dtype)
+    @staticmethod
+    def spread(z: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of the wanted column of rows of logits, and exponentials with their sums."""
+        picked = z[np.arange(len(z)), wanted]
+        ones = np.ones(z.shape[1], z.dtype)
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+            total = e @ ones
+        if not (np.isfinite(total).all() and total.min() > 1e-30):
+            top = z.max(axis=1)
+            e = np.exp(z - top[:, None])
+            total = e @ ones
+            picked = picked - top
+        return picked - np.log(total), e, total
+
+    def outputs(self, h: np.ndarray, before: np.ndarray, classes: np.ndarray) -> tuple:
+        """Rows in the order of their groups: the order, group edges, states, groups, classes in them, log probabilities and what both softmaxes are made of."""
+        group = classes // GROUP_CLASSES
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        h, before, group, slot = h[order], before[order], group[order], classes[order] % GROUP_CLASSES
+        z = h @ self.w["U"]
+        z += self.next_group[before]
+        first, *p = self.spread(z, group)
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        y = self.next_inner[before, group]
+        for g in range(GROUPS):
+            a, b = edges[g], edges[g + 1]
+            if a < b:
+                y[a:b] += h[a:b] @ self.w["C"][g]
+        second, *q = self.spread(y, slot)
+        return order, edges, h, group, slot, first + second, p, q
+
+    def log_probabilities(self, h: np.ndarray, before: np.ndarray, classes: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """Log probability of each wanted class, for states in rows and the classes before."""
         out = np.empty(len(h))
         for a in range(0, len(h), rows):
-            z = h[a : a + rows] @ u
-            z += self.next[before[a : a + rows]]
-            wanted = z[np.arange(len(z)), classes[a : a + rows]]
-            with np.errstate(over="ignore"):
-                total = np.exp(z) @ ones
-            if np.isfinite(total).all() and total.min() > 1e-30:
-                out[a : a + rows] = wanted - np.log(total)
-            else:
-                top = z.max(axis=1)
-                out[a : a + rows] = wanted - top - np.log(np.exp(z - top[:, None]) @ ones)
+            order, *_, found, _, _ = self.outputs(h[a : a + rows], before[a : a + rows], classes[a : a + rows])
+            out[a + order] = found
         return out
 
     def gradient(self, rows: np.ndarray, before: np.ndarray, classes: np.ndarray, use: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Gradient of the mean loss over the places in ``use`` (all by default)."""
         w, n = self.w, rows.size
         h, x, q, k, v, a, o = self.states(rows)
-        flat = h.reshape(n, WIDTH)
-        z = flat @ w["U"] + self.next[before.ravel()]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), classes.ravel()] -= 1
-        if use is None:
-            z /= n
-        else:
-            z[~use.ravel()] = 0
-            z /= max(1, int(use.sum()))
-        g = {"U": flat.T @ z}
-        dh = (z @ w["U"].T).reshape(h.shape)
-        g["O"] = o.reshape(n, WIDTH).T @ dh.reshape(n, WIDTH)
-        do = dh @ w["O"].T
-        dv = a.transpose(0, 2, 1) @ do
+        order, edges, hs, group, slot, _, (p, p_sum), (c, c_sum) = self.outputs(h.reshape(n, WIDTH), before.ravel(), classes.ravel())
+        scale = np.full(n, 1 / n, p.dtype) if use is None else (use.ravel()[order] / max(1, int(use.sum()))).astype(p.dtype)
+        every = np.arange(n)
+        p *= (scale / p_sum)[:, None]
+        c *= (scale / c_sum)[:, None]
+        p[every, group] -= scale
+        c[every, slot] -= scale
+        g = {"U": hs.T @ p, "C": np.zeros_like(w["C"])}
+        ds = p @ w["U"].T
+        for k_group in range(GROUPS):
+            i, j = edges[k_group], edges[k_group + 1]
+            if i < j:
+                g["C"][k_group] = hs[i:j].T @ c[i:j]
+                ds[i:j] += c[i:j] @ w["C"][k_group].T
+        dh = np.empty_like(ds)
+        dh[order] = ds
+        g["O"] = o.reshape(n, WIDTH).T @ dh
+        do = (dh @ w["O"].T).reshape(h.shape)
+        d = np.empty((*rows.shape, 3 * WIDTH), ds.dtype)
+        d[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ do
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh.copy()
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = x.reshape(n, WIDTH).T @ d.reshape(n, WIDTH)
-            dx += d @ w[name].T
+        da -= ((da * a).reshape(-1, a.shape[2]) @ np.ones(a.shape[2], a.dtype)).reshape(*rows.shape, 1)
+        da *= a
+        da *= da.dtype.type(WIDTH**-0.5)
+        d[:, :, :WIDTH], d[:, :, WIDTH : 2 * WIDTH] = da @ k, da.transpose(0, 2, 1) @ q
+        d = d.reshape(n, 3 * WIDTH)
+        g["QKV"] = x.reshape(n, WIDTH).T @ d
+        dx = dh + d @ w["QKV"].T
         g["P"] = np.zeros_like(w["P"])
-        g["P"][: rows.shape[1]] = dx.sum(axis=0)
-        order = np.argsort(rows.ravel(), kind="stable")
-        sorted_rows = rows.ravel()[order]
+        g["P"][: rows.shape[1]] = dx.reshape(h.shape).sum(axis=0)
+        by_row = np.argsort(rows.ravel(), kind="stable")
+        sorted_rows = rows.ravel()[by_row]
         first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
         g["E"] = np.zeros_like(w["E"])
-        g["E"][sorted_rows[first]] = np.add.reduceat(dx.reshape(n, WIDTH)[order], first, axis=0)
+        g["E"][sorted_rows[first]] = np.add.reduceat(dx[by_row], first, axis=0)
         return g
 
-    def train(self, windows: np.ndarray, vocabulary: Vocabulary, rate: float = RATE) -> None:
-        """Adam over windows of ids; -1 stands for the begin of a text, PAD for what is behind its end."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        r, passes = np.random.default_rng(len(windows)), min(PASSES, max(1, round(STEPS * BATCH / max(1, len(windows)))))
-        order = np.concatenate([r.permutation(len(windows)) for _ in range(passes)])
-        steps = -(-len(order) // BATCH)
-        for step in range(steps):
-            ids = windows[order[step * BATCH : (step + 1) * BATCH]]
-            given, wanted = ids[:, :-1], ids[:, 1:]
-            rows = np.where(given < 0, vocabulary.begin, vocabulary.row[np.maximum(given, 0)])
-            before = np.where(given < 0, vocabulary.n_classes, vocabulary.of_class[np.maximum(given, 0)])
-            g = self.gradient(rows, before, vocabulary.of_class[np.maximum(wanted, 0)], wanted != PAD)
-            now = rate * min(1, (step + 1) / 20) * (1 - 0.7 * step / steps)
-            for k in self.w:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] * g[k] - s[k])
-                self.w[k] -= (now / (1 - 0.9 ** (step + 1)) * m[k] / (np.sqrt(s[k] / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(np.float32)
+    def step(self, windows: np.ndarray, vocabulary: Vocabulary, moments: dict, rate: float) -> None:
+        """A step of Adam over windows of ids; ``moments`` carries its state and the number of steps."""
+        given, wanted = windows[:, :-1], windows[:, 1:]
+        rows, before = vocabulary.inputs(given)
+        g = self.gradient(rows, before, vocabulary.of_class[np.maximum(wanted, 0)], wanted != PAD)
+        done = moments["steps"] = moments.get("steps", 0) + 1
+        now = rate * min(1, done / 20) / (1 + done / 400) ** 0.5
+        for k, w in self.w.items():
+            m, s = moments.setdefault(k, (np.zeros_like(w), np.zeros_like(w)))
+            m += 0.1 * (g[k] - m)
+            s += 0.01 * (g[k] * g[k] - s)
+            move = m / (np.sqrt(s / (1 - 0.99**done)) + 1e-8)
+            move *= -now / (1 - 0.9**done)
+            w += move.astype(w.dtype, copy=False)
+
+    def train(self, stream: Iterable[np.ndarray], vocabulary: Vocabulary, rate: float = RATE, passes: int = PASSES) -> int:
+        """Train on a stream of arrays of windows of ids, each taken once; few of them are taken again, at most ``passes`` times in all.
+
+        Returns the number of windows.
+        """
+        moments: dict = {}
+        r, n = np.random.default_rng(11), 0
+        few: list[np.ndarray] = []
+        for windows in stream:
+            if n < STEPS * BATCH:
+                few.append(windows)
+            n += len(windows)
+            self.epoch(windows[r.permutation(len(windows))], vocabulary, moments, rate)
+        if 0 < n < STEPS * BATCH:
+            held = np.concatenate(few)
+            for _ in range(min(passes, round(STEPS * BATCH / n)) - 1):
+                self.epoch(held[r.permutation(n)], vocabulary, moments, rate)
+        return n
+
+    def epoch(self, windows: np.ndarray, vocabulary: Vocabulary, moments: dict, rate: float) -> None:
+        for at in range(0, len(windows), BATCH):
+            self.step(windows[at : at + BATCH], vocabulary, moments, rate)
 
     def score(self, ids: list[np.ndarray], vocabulary: Vocabulary, batch: int = 256) -> list[float]:
         """Natural-log probability of each text's ids and its end.
@@ -216,14 +279,14 @@ class Model:
         The texts' windows of CONTEXT inputs go through the layer in batches; a
         window scores the outputs that no window before it has.
         """
-        begin, rows_of, end = np.array([vocabulary.begin]), vocabulary.row, np.array([vocabulary.end])
-        inputs = np.concatenate([np.concatenate([begin, rows_of[i]]) for i in ids])
-        wanted = np.concatenate([np.concatenate([i, end]) for i in ids])
-        after = np.concatenate([np.concatenate([[1], vocabulary.ends[i]]) for i in ids])
-        before = np.concatenate([np.concatenate([[vocabulary.n_classes], vocabulary.of_class[i]]) for i in ids])
-        classes = vocabulary.of_class[wanted]
         sizes = np.array([len(i) + 1 for i in ids])
         base = np.cumsum(sizes) - sizes
+        every = np.concatenate([part for i in ids for part in ([BEGIN], i)]).astype(np.int32)
+        wanted = np.append(every[1:], vocabulary.end)
+        wanted[base[1:] - 1] = vocabulary.end
+        inputs, before = vocabulary.inputs(every)
+        after = np.where(every == BEGIN, 1, vocabulary.ends[np.maximum(every, 0)])
+        classes = vocabulary.of_class[wanted]
         n_more = np.maximum(0, -(-(sizes - CONTEXT) // STRIDE))
         doc = np.repeat(np.arange(len(ids)), n_more + 1)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(n_more + 1) - (n_more + 1), n_more + 1)
@@ -240,147 +303,171 @@ class Model:
             cells = start[some][:, None] + place[:length]
             h = self.states(inputs[np.minimum(cells, len(inputs) - 1)])[0]
             use = (place[:length] >= fresh[some][:, None]) & (cells < stop[some][:, None])
-            out[cells[use]] = self.log_probabilities(h[use], before[cells[use]], classes[cells[use]])
+            cells = cells[use]
+            out[cells] = self.log_probabilities(h[use], before[cells], classes[cells])
         out += vocabulary.log_within[after, wanted]
         return np.add.reduceat(out, base).tolist()
 
 
-def train_model(windows: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights after rounds of training in ``COPIES`` tasks and averaging, weighted by windows."""
-    weights = Model.fresh(vocabulary)
-    names, spark = list(weights), windows.sparkSession
-    copies = min(COPIES, 1 + windows.count() // WINDOWS_A_COPY)
-    share = materialize(windows.withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")).repartition(copies, "copy"), "windows")
-    schema = arrow_schema("n long, weights binary")
-    vocabulary.count_next(class_pairs(docs, vocabulary))
-    known = spark.sparkContext.broadcast(vocabulary)
+def windows_of(coded: list[np.ndarray], end: int) -> np.ndarray:
+    """Windows of CONTEXT + 1 ids of texts, each with its begin and ``end``; every id and end is the target of one.
 
-    def trainer(held, rate: float):
-        def one(group: pa.Table) -> pa.Table:
-            model = Model(held.value, known.value.log_next)
-            ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<i4").reshape(-1, CONTEXT + 1)
-            model.train(ids, known.value, rate)
-            packed = b"".join(model.w[k].astype("<f4").tobytes() for k in names)
-            return pa.Table.from_batches([record_batch({"n": [len(ids)], "weights": [packed]}, schema)])
+    The last id of a window begins the next; PAD fills what is behind an end.
+    """
+    sizes = np.array([len(c) + 2 for c in coded])
+    every = np.concatenate([part for c in coded for part in ([BEGIN], c, [end])]).astype(np.int32)
+    base = np.cumsum(sizes) - sizes
+    n_windows = -(-(sizes - 1) // CONTEXT)
+    doc = np.repeat(np.arange(len(coded)), n_windows)
+    start = base[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * CONTEXT
+    cells = start[:, None] + np.arange(CONTEXT + 1)
+    return np.where(cells < (base + sizes)[doc][:, None], every[np.minimum(cells, len(every) - 1)], PAD)
 
-        return one
 
-    for k in range(ROUNDS):
-        held = spark.sparkContext.broadcast(weights)
-        got = share.groupBy("copy").applyInArrow(trainer(held, RATE * 0.6**k), "n long, weights binary").collect()
-        if got:
-            flat = sum(np.frombuffer(r.weights, "<f4") * r.n for r in got) / sum(r.n for r in got)
-            at = 0
-            for name in names:
-                size = weights[name].size
-                weights[name] = flat[at : at + size].reshape(weights[name].shape).astype(np.float32)
-                at += size
-        held.unpersist()
-    return weights
+def gather(docs: DataFrame) -> DataFrame:
+    """Written (kind, key, n) of the training documents: each block's distinct words with counts, each document's ids.
+
+    ``kind`` is "word", or "ids" and the round that trains on the document.
+    """
+    schema = arrow_schema("kind string, key binary, n long")
+    rounds = np.repeat(np.arange(len(ROUNDS)), ROUNDS).tolist()
+
+    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = WordEncoder.of().encode
+        for ids, texts in blocks(batches, COUNT_BYTES):
+            counts: Counter = Counter()
+            kinds, coded = [], []
+            for doc_id, text in zip(ids, texts, strict=True):
+                if is_held_out(doc_id):
+                    continue
+                counts.update(tokens_of(text))
+                found = np.frombuffer(encode(text), "<u4").astype(ID).tobytes()
+                kinds.append(f"ids{rounds[zlib.crc32(found) % len(rounds)]}")
+                coded.append(found)
+            for at in range(0, len(coded), 2000):
+                some = coded[at : at + 2000]
+                yield record_batch({"kind": kinds[at : at + 2000], "key": some, "n": [1] * len(some)}, schema)
+            yield record_batch({"kind": ["word"] * len(counts), "key": list(counts), "n": list(counts.values())}, schema)
 
+    return materialize(id_text(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered", "kind")
 
-def class_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts[class before, class] over all ids of all training documents and their ends; a task holds the classes' square."""
-    n, of_class, schema = vocabulary.n_classes, vocabulary.of_class, arrow_schema("place int, n long")
+
+def coded_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The documents' ids, from a batch of the column ``key``."""
+    return [np.frombuffer(c, ID) for c in batch.column(0).to_pylist()]
+
+
+def counted(coded: DataFrame, size: int, places) -> np.ndarray:
+    """Counts of the ``size`` places to which ``places(documents' ids)`` maps ids, over all documents; a task holds one array."""
+    schema = arrow_schema("place int, n long")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = WordEncoder.of().encode, np.zeros((n + 1) ** 2, np.int64)
-        for ids, texts in blocks(batches, 4 << 20):
-            coded = [encode(text) for doc_id, text in zip(ids, texts, strict=True) if not is_held_out(doc_id)]
-            sizes = np.array([len(c) // 4 for c in coded], np.int64)
-            # each document is its begin, whose number is n, its ids and its end
-            seen = np.full(int(sizes.sum()) + 2 * len(coded), n, np.int64)
-            inside, stop = np.ones(len(seen), bool), np.cumsum(sizes + 2)
-            inside[stop - 1] = inside[stop - sizes - 2] = False
-            seen[stop - 1] = of_class[vocabulary.end]
-            seen[inside] = of_class[np.frombuffer(b"".join(coded), "<u4")]
-            total += np.bincount(seen[:-1] * (n + 1) + seen[1:], minlength=len(total))
-        # what comes before a begin belongs to another document
-        total = total.reshape(n + 1, n + 1)[:, :n].ravel()
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                total += np.bincount(places(coded_of(batch.slice(at, 1000))), minlength=size)
         seen = np.flatnonzero(total)
         yield record_batch({"place": seen, "n": total[seen]}, schema)
 
-    rows = id_text(docs).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((n + 1) * n)
+    rows = coded.select("key").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
     out[rows["place"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(n + 1, n)
+    return out
 
 
-def windows_of(text: bytes | None, words: list[bytes], encode, end: int) -> Iterator[bytes]:
-    """Windows of CONTEXT + 1 ids of a text with these words; -1 is its begin, ``end`` its end, PAD fills what is behind.
+def id_counts(coded: DataFrame, ends: np.ndarray) -> np.ndarray:
+    """Counts[after, id] of subword ids over all training documents, the end of a text behind them."""
+    n = len(ends) + 1
+    ended = np.append(ends, 1).astype(np.int64)
 
-    A text without words is its begin and its end.
-    """
-    size, last = 4 * (CONTEXT + 1), len(words) - 1
-    at = zlib.crc32(text or b"") % min(SAMPLE, max(1, last))
-    first = b"\xff\xff\xff\xff" if at < SAMPLE // 8 else b""
-    at = 0 if first else at
-    while at < max(1, last):
-        piece, stop = first, at
-        while len(piece) < size and stop < last:
-            more = min(stop + CONTEXT + 1, last)
-            piece += encode(b" ".join(words[stop:more]))
-            stop = more
-        if stop == last:
-            piece += end.to_bytes(4, "little")
-        if len(piece) >= 8:
-            yield piece[:size] + np.full(max(0, size - len(piece)) // 4, PAD, "<i4").tobytes()
-        first = b""
-        at += SAMPLE
+    def places(docs: list[np.ndarray]) -> np.ndarray:
+        every = np.concatenate([part for c in docs for part in (c, [n - 1])]).astype(np.int64)
+        return np.append(1, ended[every[:-1]]) * n + every  # a text begins after an end
 
+    return counted(coded, 2 * n, places).reshape(2, n)
 
-def gather(docs: DataFrame) -> DataFrame:
-    """Written (kind, key, n) of the training documents: words of each block with counts, and windows of ids."""
-    schema = arrow_schema("kind string, key binary, n long")
 
-    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of()
-        end = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
-        for ids, texts in blocks(batches, COUNT_BYTES):
-            counts: Counter = Counter()
-            windows: list[bytes] = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                if is_held_out(doc_id):
-                    continue
-                words = tokens_of(text)
-                counts.update(words)
-                windows += windows_of(text, words, encoder.encode, end)
-            yield record_batch({"kind": ["word"] * len(counts) + ["window"] * len(windows), "key": [*counts, *windows], "n": [*counts.values(), *([1] * len(windows))]}, schema)
+def class_pairs(coded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Counts[class before, class] over all ids of all training documents and their ends; the begin is the last class before."""
+    n, end, of_class = vocabulary.n_classes, vocabulary.end, vocabulary.of_class
 
-    return materialize(id_text(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered")
+    def places(docs: list[np.ndarray]) -> np.ndarray:
+        every = np.concatenate([part for c in docs for part in (c, [end])]).astype(np.int64)
+        classes = of_class[every].astype(np.int64)
+        before = np.append(n, np.where(every[:-1] == end, n, classes[:-1]))
+        return before * n + classes
 
+    return counted(coded, (n + 1) * n, places).reshape(n + 1, n)
 
-def id_counts(words: DataFrame, ends: np.ndarray) -> np.ndarray:
-    """Corpus counts[after, id] of subword ids, the end of a text behind them; the result's size is the vocabulary's."""
-    n_ids = len(ends)
-    schema = arrow_schema("place int, n long")
 
-    def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = WordEncoder.of(), np.zeros(2 * (n_ids + 1))
+def mean_weights(copies: DataFrame, size: int) -> np.ndarray | None:
+    """The mean of the copies' weights (n, weights), weighted by windows: in tasks first, while there are many."""
+    schema = arrow_schema("n long, weights binary")
+
+    def mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size), 0
         for batch in batches:
-            words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for at in range(0, len(words), 10_000):
-                encoder.learn({w for w in words[at : at + 10_000] if w})
-                coded = [encoder.encode(w) if w else np.array([n_ids], "<u4").tobytes() for w in words[at : at + 10_000]]
-                sizes = np.array([len(c) // 4 for c in coded])
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-                after = np.ones(len(ids), np.int64)
-                after[1:] = ends[np.minimum(ids[:-1], n_ids - 1)]
-                after[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1
-                np.add.at(total, after * (n_ids + 1) + ids, np.repeat(times[at : at + 10_000], sizes))
-        seen = np.flatnonzero(total)
-        yield record_batch({"place": seen, "n": total[seen].astype(np.int64)}, schema)
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += np.frombuffer(packed, "<f4") * k
+                n += k
+        if n:
+            yield record_batch({"n": [n], "weights": [(total / n).astype("<f4").tobytes()]}, schema)
+
+    while copies.count() > MOST_COPIES:
+        copies = materialize(copies.coalesce(max(1, copies.rdd.getNumPartitions() // 16)).mapInArrow(mean, "n long, weights binary"), "copies")
+    got = copies.collect()
+    return sum(np.frombuffer(r.weights, "<f4") * r.n for r in got) / sum(r.n for r in got) if got else None
+
+
+def train_model(gathered: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights after the rounds of training."""
+    spark = gathered.sparkSession
+    known = spark.sparkContext.broadcast(vocabulary)
+    weights = Model.fresh(vocabulary)
+    names, schema = list(weights), arrow_schema("n long, weights binary")
+
+    def trainer(held, rate: float, passes: int):
+        def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            coded, size = [], 0
+            for batch in batches:
+                for c in coded_of(batch):
+                    coded.append(c)
+                    size += len(c) + 2
+                    if size >= 1_000_000:
+                        yield windows_of(coded, known.value.end)
+                        coded, size = [], 0
+            if coded:
+                yield windows_of(coded, known.value.end)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Model(held.value, known.value.log_next)
+            n = model.train(windows(batches), known.value, rate, passes)
+            if n:
+                yield record_batch({"n": [n], "weights": [b"".join(model.w[k].astype("<f4").tobytes() for k in names)]}, schema)
 
-    rows = words.select("key", "n").mapInArrow(encode_words, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * (n_ids + 1))
-    counts[rows["place"].to_numpy()] = rows["n"].to_numpy()
-    return counts.reshape(2, -1)
+        return run
+
+    for k in range(len(ROUNDS)):
+        held = spark.sparkContext.broadcast(weights)
+        share = gathered.where(F.col("kind") == f"ids{k}").select("key")
+        copies = materialize(share.mapInArrow(trainer(held, RATE * 0.6**k, PASSES if k == len(ROUNDS) - 1 else 1), "n long, weights binary"), "copies")
+        flat, at = mean_weights(copies, sum(w.size for w in weights.values())), 0
+        if flat is not None:
+            new = {}
+            for name in names:
+                size = weights[name].size
+                new[name] = flat[at : at + size].reshape(weights[name].shape).astype(np.float32)
+                at += size
+            weights = new
+        held.unpersist()
+    return weights
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     gathered = gather(docs)
+    coded = gathered.where("kind <> 'word'")
     words = gathered.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n"))
     words = materialize(words.select("key", F.xxhash64("key").alias("h"), "n"), "word_counts")
     n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -392,8 +479,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
     for name, number in tokenizer.get_vocab(with_added_tokens=True).items():
         ends[number] = name.endswith(("</w>", "|>"))
-    vocabulary = Vocabulary(id_counts(words, ends), ends)
-    weights = train_model(gathered.where("kind = 'window'").select(F.col("key").alias("ids")), docs, vocabulary)
+    vocabulary = Vocabulary(id_counts(coded, ends), ends)
+    vocabulary.count_next(class_pairs(coded, vocabulary))
+    weights = train_model(gathered, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, weights))
 
     numbered = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))

@@ -355,6 +355,49 @@ def test_scores_of_tables(documents):
     check_scores(lm_score.lm_scores(documents).collect(), pairs(documents))
 
 
+def brute_score(m, v, ids):
+    """One id after another, each with its own window, in plain sums; natural log."""
+    full, given, total = [*ids.tolist(), v.end], [v.begin, *v.row[ids].tolist()], 0.0
+    w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    for k, wanted in enumerate(full):
+        first = 0 if k < lm_score.CONTEXT else ((k - lm_score.CONTEXT) // lm_score.STRIDE + 1) * lm_score.STRIDE
+        x = w["E"][given[first : k + 1]] + w["P"][: k + 1 - first]
+        q, keys, values = np.split(x @ w["QKV"], 3, axis=1)
+        a = np.exp(keys @ q[-1] / math.sqrt(lm_score.WIDTH))
+        h = x[-1] + (a / a.sum()) @ values @ w["O"]
+        before, c = (v.n_classes, 1) if k == 0 else (v.of_class[full[k - 1]], v.ends[full[k - 1]])
+        g, slot = divmod(int(v.of_class[wanted]), lm_score.GROUP_CLASSES)
+        next_class = np.exp(v.log_next[before].astype(float)).reshape(lm_score.GROUPS, -1)
+        for z, at in ((h @ w["U"] + np.log(next_class.sum(axis=1)), g), (h @ w["C"][g] + np.log(next_class[g] / next_class[g].sum()), slot)):
+            total += z[at] - math.log(np.exp(z).sum())
+        total += float(v.log_within[c, wanted])
+    return total
+
+
+def test_scores_of_texts_by_brute_force():
+    m, v = small_model()
+    r = np.random.default_rng(12)
+    m.w = {k: w + r.standard_normal(w.shape).astype(np.float32) * 0.3 for k, w in m.w.items()}
+    ids = [r.integers(0, 59, n) for n in (0, 1, 31, 32, 33, 200)]
+    assert m.score(ids, v) == pytest.approx([brute_score(m, v, i) for i in ids], rel=1e-4)
+
+
+def test_means_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "MOST_COPIES", 4)
+    r = np.random.default_rng(2)
+    n, w = r.integers(1, 9, 40), r.random((40, 6)).astype("<f4")
+    rows = [(int(k), bytearray(x.tobytes())) for k, x in zip(n, w)]
+    copies = spark.createDataFrame(rows, "n long, weights binary").repartition(20)
+    assert lm_score.mean_weights(copies, 6) == pytest.approx((w * n[:, None]).sum(axis=0) / n.sum(), rel=1e-5)
+    assert lm_score.mean_weights(copies.where("n < 0"), 6) is None
+
+
+@needs_tables
+def test_held_out_texts_score_above_words(spark):
+    rows = lm_score.lm_scores(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_scores_of_odd_rows(odd, empty):
     check_scores(lm_score.lm_scores(odd).collect(), ODD)
     assert lm_score.lm_scores(empty).count() == 0
@@ -363,7 +406,7 @@ def test_scores_of_odd_rows(odd, empty):
 def small_model():
     counts = np.abs(np.random.default_rng(3).standard_normal((2, 60))) + 1
     v = lm_score.Vocabulary(counts, np.arange(59) % 2)
-    v.count_next(np.random.default_rng(8).random((v.n_classes + 1, v.n_classes)) * 50 * (np.arange(v.n_classes) < 60))
+    v.count_next(np.random.default_rng(8).random((v.n_classes + 1, v.n_classes)) * 50 * np.isin(np.arange(v.n_classes), v.of_class))
     return lm_score.Model(lm_score.Model.fresh(v), v.log_next), v
 
 
@@ -403,9 +446,9 @@ def test_windows_score_each_id_once():
 def test_gradient():
     m, v = small_model()
     m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
-    m.next = m.next.astype(np.float64)
+    m.next_group, m.next_inner = m.next_group.astype(np.float64), m.next_inner.astype(np.float64)
     r = np.random.default_rng(5)
-    rows, before, classes = r.integers(0, 60, (2, 6)), r.integers(0, 60, (2, 6)), r.integers(0, 60, (2, 6))
+    rows, before, classes = r.integers(0, 60, (2, 6)), r.integers(0, 60, (2, 6)), v.of_class[r.integers(0, 60, (2, 6))]
     loss = lambda: -m.log_probabilities(m.states(rows)[0].reshape(12, -1), before.ravel(), classes.ravel()).mean()
     g = m.gradient(rows, before, classes)
     for name in m.w:
@@ -431,7 +474,7 @@ def test_training_lowers_held_out_loss():
         return np.array(ids)
     held = [text(60) for _ in range(5)]
     before = sum(m.score(held, v))
-    m.train(np.stack([text(lm_score.CONTEXT + 1) for _ in range(4000)]), v)
+    m.train([np.stack([text(lm_score.CONTEXT + 1) for _ in range(4000)])], v)
     assert sum(m.score(held, v)) > 0.7 * before
 
 
@@ -439,24 +482,20 @@ PROSE = ("The house stood at the end of the road and nobody had lived there for
          "came home from school and told their mother what they had seen on the way back through the old part of the town . ")
 
 
-def windows_of(text):
-    end = WordEncoder.of().tokenizer.get_vocab_size()
-    ids = [np.frombuffer(w, "<i4") for w in lm_score.windows_of(text.encode(), lm_score.tokens_of(text.encode()), WordEncoder.of().encode, end)]
-    assert all(len(w) == lm_score.CONTEXT + 1 for w in ids)
-    return ids
+def coded(text):
+    return np.frombuffer(WordEncoder.of().encode((text or "").encode()), "<u4").astype(np.uint16)
 
 
-def test_prose_and_short_texts_give_windows():
-    text = PROSE * 20
-    full = windows_of(text)
-    assert len(full) >= len(text.split()) // lm_score.SAMPLE
-    assert sum((w != lm_score.PAD).all() for w in full) >= len(full) - 1
-    for short in ("one two", "a few words of prose", PROSE):
-        (w,) = windows_of(short)
-        ids = np.frombuffer(WordEncoder.of().encode(short.encode()), "<i4")
-        held = w[w != lm_score.PAD]
-        held = held[held >= 0]
-        assert len(held) and " ".join(map(str, held[: len(ids)])) in " ".join(map(str, ids)) + f" {WordEncoder.of().tokenizer.get_vocab_size()}"
+def test_every_id_is_the_target_of_one_window():
+    texts = ["", "one two", PROSE, "\u65e5\u672c", PROSE * 20, " ".join(["word"] * lm_score.CONTEXT), " ".join(["word"] * (lm_score.CONTEXT - 1))]
+    end = WordEncoder.of().tokenizer.get_vocab_size()
+    ids = [coded(t) for t in texts]
+    windows = lm_score.windows_of(ids, end)
+    assert windows.shape[1] == lm_score.CONTEXT + 1
+    targets, given = windows[:, 1:], windows[:, :-1]
+    assert targets[targets != lm_score.PAD].tolist() == [k for i in ids for k in [*i.tolist(), end]]
+    assert given[targets != lm_score.PAD].tolist() == [k for i in ids for k in [lm_score.BEGIN, *i.tolist()]]
+    assert (targets != lm_score.PAD).any(axis=1).all()
 
 
 def brute_pairs(docs, v):
@@ -479,24 +518,31 @@ def corpus_vocabulary(docs):
     return lm_score.Vocabulary(counts, np.ones(size, np.int64))
 
 
+def gathered_ids(docs):
+    return lm_score.gather(docs).where("kind <> 'word'")
+
+
 def test_class_pairs_count_all_ids(spark, odd, empty):
     docs = [*ODD, (20, PROSE * 20), (21, PROSE), (22, "a b")]
     v = corpus_vocabulary(docs)
-    rows = spark.createDataFrame(docs, "doc_id long, text string")
-    assert (lm_score.class_pairs(rows.repartition(3), v) == brute_pairs(docs, v)).all()
-    assert lm_score.class_pairs(empty, v).sum() == 0
+    rows = gathered_ids(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert (lm_score.class_pairs(rows, v) == brute_pairs(docs, v)).all()
+    assert lm_score.class_pairs(gathered_ids(empty), v).sum() == 0
+    counts = lm_score.id_counts(rows, v.ends[:-1])
+    want = np.zeros_like(counts)
+    for i, t in docs:
+        after = 1
+        for k in [*coded(t).tolist(), v.end] if not lm_score.is_held_out(i) else []:
+            want[after, k] += 1
+            after = v.ends[k]
+    assert (counts == want).all() and lm_score.id_counts(gathered_ids(empty), v.ends[:-1]).sum() == 0
 
 
-def test_ends_are_targets(spark):
-    end = WordEncoder.of().tokenizer.get_vocab_size()
-    for text in ("", "one two", PROSE):
-        (w,) = windows_of(text)
-        assert (w == end).sum() == (len(text.split()) <= lm_score.CONTEXT) and (w[0] == -1 or text)
-    assert sum((w == end).sum() for k in range(100) for w in windows_of(f"start{k} " + PROSE * 3)) > 10
+def test_the_end_is_as_likely_as_it_is(spark):
     # however many documents there are, the end is as likely after its class as it is in them
     docs = [(k, "same words") for k in range(200)]
     v = corpus_vocabulary(docs)
-    v.count_next(lm_score.class_pairs(spark.createDataFrame(docs, "doc_id long, text string"), v))
+    v.count_next(lm_score.class_pairs(gathered_ids(spark.createDataFrame(docs, "doc_id long, text string")), v))
     last = np.frombuffer(WordEncoder.of().encode(b"same words"), "<u4")[-1]
     assert math.exp(v.log_next[v.of_class[last], v.of_class[v.end]]) > 0.7
 
@@ -504,8 +550,9 @@ def test_ends_are_targets(spark):
 def test_masked_places_have_no_gradient():
     m, v = small_model()
     m.w = {k: w.astype(np.float64) for k, w in m.w.items()}
-    m.next = m.next.astype(np.float64)
+    m.next_group, m.next_inner = m.next_group.astype(np.float64), m.next_inner.astype(np.float64)
     rows = np.random.default_rng(9).integers(0, 60, (3, 2, 6))
+    rows[2] = v.of_class[rows[2]]
     use = np.ones((2, 6), bool)
     use[:, 4:] = False
     want = m.gradient(*(x[:, :4] for x in rows))
