@@ -53,9 +53,9 @@ PAD, BEGIN = -2, -1
 #: Sixteenths of the training documents that the rounds take, one after another.
 ROUNDS = (1, 3, 12)
 #: In the last round a task with few windows goes over them again, until it has made so many steps, but not more often than this.
-STEPS, PASSES = 1500, 4
-BATCH = 48
-RATE = 1.2e-2
+STEPS, PASSES = 600, 4
+BATCH = 128
+RATE = 2e-2
 #: Rows of weights that reach the driver at most.
 MOST_COPIES = 64
 FREQUENT = 50_000
@@ -273,7 +273,7 @@ class Model:
         for at in range(0, len(windows), BATCH):
             self.step(windows[at : at + BATCH], vocabulary, moments, rate)
 
-    def score(self, ids: list[np.ndarray], vocabulary: Vocabulary, batch: int = 256) -> list[float]:
+    def score(self, ids: list[np.ndarray], vocabulary: Vocabulary, batch: int = 384) -> list[float]:
         """Natural-log probability of each text's ids and its end.
 
         The texts' windows of CONTEXT inputs go through the layer in batches; a
