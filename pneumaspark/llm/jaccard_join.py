@@ -23,9 +23,9 @@ smaller counts of the ranges add up to no less than what two sets share.
 
 Words are runs of bytes other than blanks after A-Z is lower-cased.  A text of
 fewer than five words has its whole sequence as one shingle; null and empty texts
-have empty sets, which link with nothing.  Rows that share a doc_id are one vertex
-with the links of each of their texts.  A null doc_id is a vertex of its own that
-links with nothing and has a null component.
+have empty sets, which link with nothing.  Texts that share a doc_id are compared under
+ids of their own; their components are then one, with the links of each.  A null doc_id
+is a vertex of its own that links with nothing and has a null component.
 """
 
 from __future__ import annotations
@@ -243,14 +243,19 @@ def verify(pairs: DataFrame, docs: DataFrame, heavy) -> DataFrame:
 def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame:
     """Links between components among the members (cluster, doc_id, n), blocks of documents against blocks.
 
-    Within a cluster documents are sorted by size and cut to blocks; two blocks
-    meet only if sizes in them can reach the similarity.  A task gets two blocks.
+    Documents of a cluster are dealt by size, in steps in which sizes grow to 1 / 0.8, and
+    then by hash to blocks of about ``BLOCK_DOCS``.  Only blocks of the same or of
+    neighbouring steps can hold links, and meet.  A task gets two blocks.
     """
-    numbered = members.withColumn("block", F.expr(f"(row_number() over (partition by cluster order by n, doc_id) - 1) div {BLOCK_DOCS}"))
-    numbered = materialize(numbered, "members")
-    spans = numbered.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = spans.select("cluster", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meet = spans.join(other, "cluster").where(f"block2 >= block AND 100 * high >= {PERCENT} * low2").select("cluster", "block", "block2")
+    step = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
+    sized = members.withColumn("step", step)
+    parts = sized.groupBy("cluster", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
+    parts = materialize(parts, "block_parts")
+    block = F.struct("step", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    numbered = materialize(sized.join(parts, ["cluster", "step"]).select("cluster", "doc_id", "n", block.alias("block")), "members")
+    every = parts.select("cluster", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("cluster", F.struct("step", "part").alias("block"))
+    near = every.select("cluster", F.explode(F.array(F.col("block.step"), F.col("block.step") - 1)).alias("step"), F.col("block").alias("block2"))
+    meet = every.withColumn("step", F.col("block.step")).join(near, ["cluster", "step"]).where("block2 >= block").select("cluster", "block", "block2")
     meet = materialize(meet, "block_pairs")
     firsts = numbered.join(meet, ["cluster", "block"]).select("cluster", "block", "block2", "doc_id", F.lit(0).alias("side"))
     seconds = meet.where("block < block2").join(numbered.withColumnRenamed("block", "block2"), ["cluster", "block2"]).select("cluster", "block", "block2", "doc_id", F.lit(1).alias("side"))
@@ -410,8 +415,49 @@ def class_links(docs: DataFrame) -> DataFrame:
     return links
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text), where each of several texts of one doc_id has an id of its own, and a table (doc_id, real, h) of those and the text's hash.
+
+    The table is None if no doc_id has several texts.
+    """
+    rows = id_text(docs)
+    # nulls and empty texts are alike: sets without shingles
+    seen = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h1"), F.max(F.xxhash64("text")).alias("h2"))
+    several = materialize(seen.where("h1 <> h2").select("doc_id"), "several_texts")
+    if not several.limit(1).count():
+        return rows, None
+    marked = rows.join(small(several.withColumn("several", F.lit(True))), "doc_id", "left")
+    for salt in range(100):
+        own = F.xxhash64(F.lit(salt), "doc_id", "text")
+        apart = marked.select(F.when(F.col("several"), own).otherwise(F.col("doc_id")).alias("id"), "doc_id", "text", "several")
+        names = materialize(apart.where("several").select("id", "doc_id", F.xxhash64("text").alias("h")).distinct(), "names")
+        # an id must neither stand for two texts nor be another document's
+        texts = names.count() < apart.where("several").select("doc_id", "text").distinct().count()
+        if not texts and not names.select("id").join(seen.select(F.col("doc_id").alias("id")), "id", "left_semi").limit(1).count():
+            return apart.select(F.col("id").alias("doc_id"), "text"), names.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("real"), "h")
+    raise RuntimeError("no salt keeps the ids apart")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id (the first document with an equal set)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id (the first document with an equal set)."""
+    rows, names = told_apart(docs)
+    if names is None:
+        return linked_rows(rows)
+    found = materialize(linked_rows(rows).join(names.drop("h"), "doc_id", "left").withColumn("real", F.coalesce("real", "doc_id")), "told_apart")
+    # texts of one doc_id join their components; the smallest doc_id names what comes out
+    head = found.where("real IS NOT NULL").groupBy("real").agg(F.min("component_id").alias("a"))
+    edges = found.join(head, "real").select("a", F.col("component_id").alias("b")).distinct()
+    joined = components(edges).select(F.col("v").alias("component_id"), "root")
+    placed = materialize(found.join(joined, "component_id", "left").withColumn("root", F.coalesce("root", "component_id")), "placed")
+    first = placed.groupBy("root").agg(F.min("real").alias("first"))
+    alike = placed.groupBy("class_id").agg(F.min("real").alias("first_alike"))
+    named = placed.join(first, placed["root"].eqNullSafe(first["root"]), "left").drop(first["root"])
+    named = named.join(alike, named["class_id"].eqNullSafe(alike["class_id"]), "left")
+    return named.select(F.col("real").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"), F.col("first_alike").alias("class_id"))
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` gives, where each doc_id has one text."""
     sets, known, reps = classified(docs)
     root = links_and_components(docs, reps, sets)
     there = F.col("doc_id").isNotNull()
@@ -424,7 +470,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are first of their group; rows with empty sets all stay."""
-    found = near_duplicates(docs)
-    copies = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "later_copies")
-    return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, whose text is first of its group; rows with empty sets or a null doc_id all stay.
+
+    Where a doc_id has several texts, each stays or goes for itself.
+    """
+    rows, names = told_apart(docs)
+    copies = linked_rows(rows).where("component_id <> doc_id").select("doc_id").distinct()
+    if names is None:
+        copies = small(materialize(copies, "later_copies"))
+        return docs.join(copies, docs["doc_id"].cast("long") == copies["doc_id"], "left_anti")
+    copies = copies.join(names, "doc_id", "left").select(F.coalesce("real", "doc_id").alias("doc_id"), "h")
+    copies = materialize(copies, "later_copies")
+    this = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(copies, (docs["doc_id"].cast("long") == copies["doc_id"]) & (copies["h"].isNull() | (copies["h"] == this)), "left_anti")

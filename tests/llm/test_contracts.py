@@ -649,6 +649,54 @@ def test_components_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 7, 9, 10, 11, None}
 
 
+def brute_rows(rows):
+    """doc_id, size and component of each row; texts of one doc_id are one vertex."""
+    by_text = brute_components(list(enumerate(t for _, t in rows)))
+    root = {i: i for i, _ in rows}
+
+    def join(i, j):
+        low, gone = min(root[i], root[j]), {root[i], root[j]}
+        root.update({k: low for k, r in root.items() if r in gone})
+
+    for n, (_, first) in by_text.items():
+        join(rows[n][0], rows[first][0])
+    return sorted((i, by_text[n][0], root[i]) for n, (i, _) in enumerate(rows))
+
+
+def test_several_texts_of_a_doc_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a.replace("a40 ", "x ")), (3, b.replace("b40 ", "x "))]
+    r = np.random.default_rng(1)
+    for n in range(60):  # ids that repeat with texts alike, unlike, empty and null
+        base = [f"t{n % 9}x{k}" for k in range(70)]
+        base[int(r.integers(70))] = "new"
+        rows.append((int(r.integers(4, 40)), [None, "", a][n % 3] if n % 7 == 0 else " ".join(base)))
+    rows.append(rows[-1])
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((g.doc_id, g.n_shingles, g.component_id) for g in got) == brute_rows(rows)
+    assert {g.component_id for g in got if g.doc_id < 4} == {1}
+
+
+def test_keep_one_goes_by_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, a, "x"), (2, a + " tail", "y"), (2, b, "z"), (3, b, "z"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, real string")
+    assert {(r.doc_id, r.text[:1]) for r in jaccard_join.keep_one(docs).collect()} in ({(1, "a"), (2, "b"), (None, "a")}, {(1, "a"), (3, "b"), (None, "a")}, {(2, "a"), (2, "b"), (None, "a")}, {(2, "a"), (3, "b"), (None, "a")})
+    assert jaccard_join.keep_one(docs.where("doc_id <> 3 OR doc_id IS NULL").where("real <> 'z'")).columns == docs.columns
+
+
+def test_blocks_without_numbering(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 16)
+    rows = [(i, 10 + i % 90) for i in range(1200)]
+    texts = spark.createDataFrame([(i, " ".join(f"w{i // 50}x{k}" for k in range(n + 4)) + (f" end{i}" if i % 2 else "")) for i, n in rows], "doc_id long, text string")
+    members = spark.createDataFrame([(0, i, n) for i, n in rows], "cluster long, doc_id long, n int")
+    none = spark.createDataFrame([], "v long, root long")
+    links = components.components(jaccard_join.block_links(members, texts, none))
+    got = {r.v: r.root for r in links.collect()}
+    want = brute_components([(r.doc_id, r.text) for r in texts.collect()])
+    assert {i: got.get(i, i) for i, _ in rows} == {i: first for i, (_, first) in want.items()}
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 103), (103, 101), (200, 200)]
     got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
