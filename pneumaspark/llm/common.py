@@ -17,6 +17,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows and bytes of files up to which a written table is sent to every executor; beyond either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast only if it has at most ``rows`` rows and its files few bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def id_text(docs: DataFrame) -> DataFrame:

@@ -31,13 +31,12 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pneumaspark.llm.common import small
 from pneumaspark.session import materialize
 
 WINDOW = 10
 #: Anchors that a proximity match needs to drop a document, and their share of the item's.
 NEAR_LEAST, NEAR_SHARE = 5, 0.5
-#: Rows up to which a side is sent to every executor; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -55,11 +54,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("key"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast only if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def test_words(benchmark: DataFrame) -> DataFrame:
     """(item_id, n, words) of the items that have words, rows that repeat taken once."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("words"))
@@ -103,10 +97,11 @@ def candidates(index: DataFrame, anchor: DataFrame) -> DataFrame:
 
 def exact_matches(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     """(key, item_id, start, length): runs of words equal to an item's that hold a whole window."""
-    lined = found.join(small(items), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", F.col("words").alias("item_words"))).alias("lines"))
+    lined = found.groupBy("key").agg(F.collect_list(F.struct("item", "diagonal")).alias("lines"))
     lined = materialize(lined, "diagonals")
-    rows = keyed(docs).join(small(lined), "key").select("key", words(F.col("text")).alias("doc_words"), "lines")
-    rows = rows.select("key", "doc_words", F.explode("lines").alias("line"))
+    rows = keyed(docs).join(small(lined), "key").select("key", words(F.col("text")).alias("doc_words"), F.explode("lines").alias("at"))
+    rows = rows.join(small(items), rows["at.item"] == items["item"])
+    rows = rows.select("key", "doc_words", F.struct("item_id", "at.diagonal", F.col("words").alias("item_words")).alias("line"))
     offset_equal = F.expr("transform(line.item_words, (w, i) -> get(doc_words, line.diagonal + i) <=> w)")
     need = F.least(F.lit(WINDOW), F.size("line.item_words"))
     starts = F.filter(
@@ -184,5 +179,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, index, anchor = prepared(docs, benchmark)
     exact = exact_report(docs, items, index, anchor).where("contaminated").select("key")
     hit = materialize(exact.unionByName(supported(index, anchor).select("key")).distinct(), "contaminated")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("_key", key).join(small(hit.withColumnRenamed("key", "_key")), "_key", "left_anti").select(docs.columns)
+    hit = small(hit)
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return docs.join(hit, key == hit["key"], "left_anti")

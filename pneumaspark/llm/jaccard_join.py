@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pneumaspark.llm.common import WordHash, arrow_schema, blocks, id_text, map_docs, mix64, record_batch, shingle_hashes
+from pneumaspark.llm.common import WordHash, arrow_schema, blocks, id_text, map_docs, mix64, record_batch, shingle_hashes, small as small_table
 from pneumaspark.llm.components import components
 from pneumaspark.session import materialize
 
@@ -53,13 +53,12 @@ LONG = 48
 MOST_HEAVY = 1_000_000
 #: Documents in a block of the long lists' verification.
 BLOCK_DOCS = 512
-BROADCAST_ROWS = 1_000_000
 COUNT_BYTES = 24 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast only if it has at most ``rows`` rows (one long each)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a long or two, marked for broadcast only if it is small."""
+    return small_table(df, 1_000_000)
 
 
 def shingles(text: bytes | None) -> np.ndarray:

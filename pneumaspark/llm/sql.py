@@ -22,7 +22,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-_MASK = "CASE WHEN regexp_matches(trim(x), '[0-9]') THEN regexp_replace(trim(x), '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE trim(x) END"
+_TRIM = "trim(x, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13)))"
+_MASK = f"CASE WHEN regexp_matches({_TRIM}, '[0-9]') THEN regexp_replace({_TRIM}, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE {_TRIM} END"
 
 LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS k FROM documents),

@@ -808,7 +808,7 @@ def test_automaton_equals_regexes():
 
 def brute_lines(docs, depth=line_dedup.DEPTH, share=line_dedup.SIMILARITY, least=line_dedup.MIN_DOCS):
     def mask(line):
-        return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", line.strip(" "))
+        return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", line.strip(line_dedup.BLANKS))
 
     lines = {m for _, t in docs if t is not None for x in t.split("\n") if (m := mask(x))}
     leaves = collections.defaultdict(list)
@@ -866,6 +866,22 @@ def test_lines_of_odd_rows(spark, odd, empty):
 NAMES = ["ann", "bob", "cid", "dan", "eve", "fay"]
 
 
+def test_lines_of_blanks_stay(spark):
+    rows = [(i, f"own words of {'abcdefgh'[i]}\r\n\r\n\t\n \x0b \r\nthe same line\r\n") for i in range(6)]
+    got = deduped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_lines(rows) and [r[2] for r in got] == [0, 1, 1, 1, 1, 1]
+
+
+def test_clashing_columns_of_line_dedup(spark):
+    rows = [(i, "the same line\nown " + "abcdefgh"[i], "k", 5, [9], 7) for i in range(4)] + [(9, "the same line", "k", 5, [9], 7), (10, None, "k", 5, [9], 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, n_lines int, drop array<int>, n_chars long")
+    got = line_dedup.strip_lines(df)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 10} and {(r._key, r.n_lines, r.drop[0]) for r in got} == {("k", 5, 9)}
+    assert {r.doc_id: (r.text, r.n_chars) for r in got}[2] == ("own c", 5)
+
+
 def test_several_templates_in_a_leaf(spark):
     first = [(k, f"You are now reading {n} in our free archive") for k, n in enumerate(NAMES)]
     second = [(10 + k, f"You are now leaving the old {n} web site") for k, n in enumerate(NAMES)]
