@@ -8,7 +8,6 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pneumaspark.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from pneumaspark.session import materialize, table
@@ -18,32 +17,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts have no words and go with them."""
     return quality.keep_good(docs)
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; so does a document of which no line stays.  n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
-    kept = kept.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    out = {c: F.col(c) for c in docs.columns}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.select(*[v.alias(c) for c, v in out.items()])
+    """Recurring lines go; so does a document of which no line with a word stays.  n_chars follows the text; null texts stay."""
+    return line_dedup.strip_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays; texts without words and rows with a null doc_id all stay."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences; a null text is its end alone."""
     return packing.pack(docs)
 
 
