@@ -39,12 +39,12 @@ TEMPLATES: dict[str, str] = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
         "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
-    "mit": (
+    "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
     ),
-    "bsd-2-clause": (
+    "bsd-conditions": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
@@ -52,6 +52,33 @@ TEMPLATES: dict[str, str] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
 }
 K = 3
 WINNOW = 2
@@ -129,23 +156,42 @@ class Index:
             above = row
         return best
 
+    def accepted(self, ids: np.ndarray, t: int, diagonal: int, kept: list[tuple]) -> list[tuple]:
+        """The best alignment near a diagonal in each stretch that accepted spans leave free, if it covers enough."""
+        low, high = max(0, diagonal - 2 * BAND), min(len(ids), diagonal + len(self.words[t]) + 3 * BAND)
+        taken = sorted((max(a, low), min(b, high)) for _, a, b, *_ in kept if a < high and b > low)
+        out = []
+        for a, b in zip([low, *(b for _, b in taken)], [*(a for a, _ in taken), high]):
+            if b - a >= MIN_WORDS:
+                score, matched, first, end = self.align(ids[a:b].astype(int).tolist(), t, diagonal - a)
+                coverage = matched / len(self.words[t])
+                if matched >= MIN_WORDS and coverage >= MIN_COVERAGE:
+                    out.append((-score, first + a, end + a, t, matched, coverage))
+        return out
+
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, matched words, start byte, end byte); of overlapping spans the best score stays."""
+        """(template, coverage, matched words, start byte, end byte); of overlapping spans the best score stays.
+
+        What lies around the accepted spans is aligned again, until nothing more is accepted.
+        """
         split = words_of(text) if text else []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in split), np.uint64, len(split))
-        found = []
-        for t, d in self.candidates(ids):
-            at = max(0, d - 2 * BAND)
-            near = ids[at : d + len(self.words[t]) + 3 * BAND].astype(int).tolist()
-            score, matched, first, end = self.align(near, t, d - at)
-            coverage = matched / len(self.words[t])
-            if matched >= MIN_WORDS and coverage >= MIN_COVERAGE:
-                found.append((-score, first + at, end + at, t, matched, coverage))
         kept: list[tuple] = []
-        for hit in sorted(found):
-            if all(hit[2] <= k[1] or hit[1] >= k[2] for k in kept):
-                kept.append(hit)
+        open_ones = set(self.candidates(ids))
+        while open_ones:
+            found = []
+            for t, d in sorted(open_ones):
+                hits = self.accepted(ids, t, d, kept)
+                found += hits
+                if not hits:
+                    open_ones.discard((t, d))
+            before = len(kept)
+            for hit in sorted(found):
+                if all(hit[2] <= k[1] or hit[1] >= k[2] for k in kept):
+                    kept.append(hit)
+            if len(kept) == before:
+                break
         if not kept:
             return []
         spans = [m.span() for m in _WORD.finditer(text.lower())]

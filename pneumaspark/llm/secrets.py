@@ -1,12 +1,14 @@
-"""Secret scanning with one automaton for all rules.
+"""Secret scanning with deterministic automata compiled from the rules.
 
 Each rule has a trigger, a regular expression over bytes that every match of the
 rule contains; it is kept short, since counters of several rules multiply the states.
 All triggers together become one nondeterministic automaton,
 made deterministic by subset construction over byte classes and minimised by
 partition refinement; its states are arrays of next states.  One pass over a
-text's UTF-8 bytes tells which rules can match.  Only for those, the exact
-expression then finds the spans, in code points.
+text's UTF-8 bytes tells which rules can match.  For those, the rule's own automaton,
+compiled alike from the whole expression but bound to its start, is walked from
+where a match can begin to its last accepting byte; that gives the spans, whose
+ends are then counted in code points.
 
 Spans of a kind are leftmost and don't overlap; kinds may overlap each other.
 Null and empty texts have no spans.  Repeated rows are scanned each time.
@@ -30,17 +32,17 @@ def _either_case(pattern: str) -> str:
     return re.sub(r"(?<![\\a-zA-Z0-9])[a-z]+|(?<=[|_?])[a-z]+", lambda m: "".join(f"[{c.upper()}{c}]" for c in m[0]), pattern)
 
 
-#: kind, trigger for the automaton, exact expression, test of a match.
-RULES: list[tuple] = [
-    ("assign", None, re.compile(rf"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?({_VALUE}+)", re.ASCII), lambda m: len(m[2]) >= 6),
-    ("access", r"AKIA[A-Z0-9]", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    ("hex", r"[0-9a-f]{24}", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
-    ("private_key", r"-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True),
-    ("forge_token", r"gh[pousr]_[A-Za-z0-9]", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), lambda m: True),
-    ("chat_token", r"xox[abprs]-", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), lambda m: True),
-    ("web_token", r"eyJ[A-Za-z0-9_-]", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), lambda m: True),
+_NAME = _either_case(_ASSIGN)
+#: kind, trigger for the combined automaton, whole expression, what comes before the part that counts, least bytes of that part.
+RULES: list[tuple[str, str, str, str | None, int]] = [
+    ("assign", _NAME + _VALUE + "{6}", _NAME + _VALUE + "+", _NAME, 6),
+    ("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", None, 20),
+    ("hex", "[0-9a-f]{24}", "[0-9a-f]+", None, 24),
+    ("private_key", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----", None, 0),
+    ("forge_token", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]{36,}", None, 0),
+    ("chat_token", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]{10,}", None, 0),
+    ("web_token", "eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", None, 0),
 ]
-RULES[0] = ("assign", _either_case(_ASSIGN) + _VALUE + "{6}", *RULES[0][2:])
 BASE = ("assign", "access", "hex")
 
 
@@ -119,8 +121,8 @@ class _Nfa:
             if end < len(pattern) and pattern[end] in "?*+{":
                 if pattern[end] == "{":
                     close = pattern.index("}", end)
-                    low, _, most = pattern[end + 1 : close].partition(",")
-                    low, high = int(low), int(most or low)
+                    least, comma, most = pattern[end + 1 : close].partition(",")
+                    low, high = int(least), int(most) if most else None if comma else int(least)
                     end = close + 1
                 else:
                     low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[pattern[end]]
@@ -162,11 +164,11 @@ class _Nfa:
         return choice()
 
 
-def compile_dfa(patterns: list[str]) -> tuple[list[list[int]], list[int], list[int]]:
+def compile_dfa(patterns: list[str], anywhere: bool = True) -> tuple[list[list[int]], list[int], list[int]]:
     """(next state by state and byte class, accepted rules as bits by state, class by byte).
 
-    State 0 starts.  The automaton looks for the patterns anywhere; a state's
-    bits are those of the patterns that end there.
+    State 0 starts.  A state's bits are those of the patterns that end there.  The
+    automaton looks for the patterns anywhere, or only where it starts.
     """
     nfa = _Nfa()
     root = nfa.state()
@@ -190,11 +192,12 @@ def compile_dfa(patterns: list[str]) -> tuple[list[list[int]], list[int], list[i
         return frozenset(s for s in seen if nfa.edges[s] or s in ends)
 
     begin = closed([root])
+    again = begin if anywhere else frozenset()
     number, order, moves = {begin: 0}, [begin], []
     for subset in order:
         row = []
         for b in sample:
-            target = closed([t for s in subset for chars, t in nfa.edges[s] if b in chars]) | begin
+            target = closed([t for s in subset for chars, t in nfa.edges[s] if b in chars]) | again
             if target not in number:
                 number[target] = len(order)
                 order.append(target)
@@ -248,13 +251,72 @@ class Scanner:
         return found
 
 
+class Walker:
+    """One expression's automaton from a start; a row is None where nothing can follow."""
+
+    _made: "list[tuple[Walker, Walker | None, int]] | None" = None
+
+    def __init__(self, pattern: str):
+        moves, accept, classes = compile_dfa([pattern], anywhere=False)
+        dead = {s for s, m in enumerate(moves) if not accept[s] and set(m) == {s}}
+        rows: list[list] = [[] for _ in moves]
+        for row, m, bits in zip(rows, moves, accept, strict=True):
+            row.extend(None if m[c] in dead else rows[m[c]] for c in classes)
+            row.append(bits)
+        self.start = rows[0]
+
+    @classmethod
+    def of_rules(cls) -> "list[tuple[Walker, Walker | None, int]]":
+        if cls._made is None:
+            cls._made = [(cls(whole), cls(before) if before else None, least) for _, _, whole, before, least in RULES]
+        return cls._made
+
+    def end(self, data: bytes, at: int) -> int:
+        """End of the longest match that starts at ``at``, or -1."""
+        row, found = self.start, -1
+        for i in range(at, len(data)):
+            row = row[data[i]]
+            if row is None:
+                break
+            if row[256]:
+                found = i + 1
+        return found
+
+    def matches(self, data: bytes):
+        """(start, end) of leftmost matches that don't overlap."""
+        at, first = 0, self.start
+        while at < len(data):
+            if first[data[at]] is None:
+                at += 1
+                continue
+            end = self.end(data, at)
+            if end > at:
+                yield at, end
+                at = end
+            else:
+                at += 1
+
+
 def find_secrets(text: bytes | None) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) of every span, in order."""
+    """(start, kind's number, end) of every span in code points, in order."""
     flags = Scanner.of().rules_in(text) if text else 0
     if not flags:
         return []
-    plain = text.decode("utf-8", "replace")
-    return sorted((m.start(), k, m.end()) for k, (_, _, exact, good) in enumerate(RULES) if flags >> k & 1 for m in exact.finditer(plain) if good(m))
+    found = []
+    for k, (walker, before, least) in enumerate(Walker.of_rules()):
+        if flags >> k & 1:
+            for a, b in walker.matches(text):
+                if b - (before.end(text, a) if before else a) >= least:
+                    found.append((a, k, b))
+    if text.isascii():
+        return sorted(found)
+    # code points before a byte: bytes that don't go on from the one before
+    point = dict.fromkeys(x for a, _, b in found for x in (a, b))
+    last = count = 0
+    for x in sorted(point):
+        count += len(text[last:x].decode("utf-8", "replace"))
+        point[x], last = count, x
+    return sorted((point[a], k, point[b]) for a, k, b in found)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

@@ -750,6 +750,52 @@ def test_repetition_is_rejected():
 _ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
+def best_alignment(ids, template):
+    """Full Smith-Waterman: (score, matched) of the best local alignment, by plain sums."""
+    above, best = [(0, 0)] * (len(template) + 1), (0, 0)
+    for x in ids:
+        row = [(0, 0)]
+        for j, y in enumerate(template):
+            step = licenses.MATCH if x == y else licenses.MISMATCH
+            s, m = above[j]
+            cell = max((s + step, m + (x == y)), (above[j + 1][0] + licenses.GAP, above[j + 1][1]), (row[j][0] + licenses.GAP, row[j][1]))
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1])
+        above = row
+    return best
+
+
+@needs_tables
+def test_licenses_by_full_alignment(documents):
+    index, n = licenses.Index(licenses.TEMPLATES), 0
+    shorter = [t for t in range(len(index.names)) if len(index.words[t]) < 20]
+    rows = sorted(((t or "").encode() for _, t in pairs(documents)), key=len)[:130]
+    texts = [t for t in rows if re.search(rb"(?i)licen[sc]e|rights", t)] + rows[::9]
+    for text in texts:
+        found = {f[0]: f for f in index.scan(text)}
+        ids = [index.vocabulary.get(w, 0) for w in licenses.words_of(text)]
+        passing = {}
+        for t in shorter:
+            score, matched = best_alignment(ids, index.words[t])
+            if matched >= licenses.MIN_WORDS and matched / len(index.words[t]) >= licenses.MIN_COVERAGE:
+                passing[index.names[t]] = score, matched
+        # the best of all alignments is always reported, with its matched words
+        assert bool(passing) == bool(set(found) & {index.names[t] for t in shorter})
+        if passing:
+            top = max(score for score, _ in passing.values())
+            assert any(name in found and found[name][2] == m for name, (score, m) in passing.items() if score == top)
+            n += 1
+    assert n
+
+
+def test_copies_side_by_side_are_spans_each(spark):
+    notice = "Released under the MIT License."
+    for gap, copies in (("", 2), ("", 5), (" x", 3), (" " + "w " * 10, 2)):
+        text = (notice + gap + " ") * copies
+        found = licenses.Index(licenses.TEMPLATES).scan(text.encode())
+        assert [f[0] for f in found] == ["mit-notice"] * copies and all(text[a:b] == notice[:-1] for *_, a, b in found)
+
+
 def brute_secrets(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -790,6 +836,30 @@ def test_more_secrets_and_redaction(spark):
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [SECRET] b [SECRET] c [SECRET]", 2: None}
 
 
+def regex_spans(text):
+    """All spans of the rules by regular expressions over the decoded text."""
+    plain, out = text.decode("utf-8", "replace"), []
+    for k, (_, _, whole, before, least) in enumerate(secrets.RULES):
+        for m in re.finditer(whole, plain, re.ASCII):
+            counted = m[0][re.match(before, m[0]).end() :] if before else m[0]
+            if len(counted) >= least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_spans_equal_regexes_on_fuzzed_bytes():
+    r = np.random.default_rng(17)
+    parts = [b"password", b"Secret", b"api_key", b"APIKEY", b"token", b":", b"=", b" ", b"  ", b"'", b'"', b"abcdef", b"AKIA", b"0123456789ABCDEF", b"0123456789abcdef01234567", b"-----BEGIN ",
+             b"RSA PRIVATE KEY-----", b"PRIVATE KEY-----", b"ghp_", b"a1B2" * 9, b"xoxb-", b"1234567890-x", b"eyJ", b"eyJabcdefgh_", b".", b"\xc3\xa9", b"\xe6\x97\xa5", b"\n", b"\x00", b"z", b"=="]
+    n = 0
+    for _ in range(4000):
+        text = b"".join(parts[k] for k in r.integers(0, len(parts), int(r.integers(1, 14))))
+        want = regex_spans(text)
+        assert secrets.find_secrets(text) == want, text
+        n += len(want)
+    assert n > 1000
+
+
 def test_automaton_equals_regexes():
     r = np.random.default_rng(7)
     patterns = ["ab*c", "(a|bc)+d", "[a-c]{3}x", "a?b{2,4}c", r"\x61[^b]c"]
