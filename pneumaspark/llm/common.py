@@ -175,7 +175,7 @@ class WordHash:
 
     _made: "WordHash | None" = None
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 500_000):
         self.words: dict[bytes, bytes] = {}
         self.most = most
 

@@ -53,7 +53,7 @@ LONG = 48
 MOST_HEAVY = 1_000_000
 #: Documents in a block of the long lists' verification.
 BLOCK_DOCS = 512
-COUNT_BYTES = 24 << 20
+COUNT_BYTES = 8 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -393,7 +393,8 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     others = known.where("class_id IS NULL OR class_id <> doc_id").select("doc_id").distinct()
     # a doc_id may stand for one class and be a copy in another: it then takes part with each text
     others = small(materialize(others.join(known.where("class_id = doc_id").select("doc_id"), "doc_id", "left_anti"), "copies"))
-    return sets, known, docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti")
+    # every later pass reads these texts, so they are joined once and written
+    return sets, known, materialize(id_text(docs).where("doc_id IS NOT NULL").join(others, "doc_id", "left_anti"), "representatives")
 
 
 def class_links(docs: DataFrame) -> DataFrame:
