@@ -27,15 +27,18 @@ def local_session(cpus: int = 8, name: str = "pneumaspark", memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``, or the application has set a
+    checkpoint folder.  Only a local session, as in tests, may do without: a temporary
+    folder takes its place.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), f"pneumaspark-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), f"pneumaspark-{context.applicationId}")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
