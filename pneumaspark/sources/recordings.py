@@ -203,7 +203,12 @@ def join_sequences(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0].withColumn("part", F.lit(0))
     for k, p in enumerate(parts[1:], 1):
         whole = whole.unionByName(p.withColumn("part", F.lit(k)), allowMissingColumns=True)
-    w = Window.orderBy("part", "frame_idx")
-    new = (F.lag("part").over(w) != F.col("part")) & F.lag("part").over(w).isNotNull()
-    step = F.col("t") - F.lag("t").over(w)
-    return whole.withColumn("gap", F.when(new, step)).withColumn("in_order", F.when(new, step > 0)).withColumn("frame_idx", (F.row_number().over(w) - 1).cast("long"))
+    # one row a file gives the frames before it and the time at which the file before ends
+    by_file = Window.orderBy("part")
+    files = whole.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.max_by("t", "frame_idx").alias("_last"))
+    before = F.coalesce(F.sum("_n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("part", before.alias("_before"), F.lag("_last").over(by_file).alias("_ended"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("frame_idx")) - 1
+    placed = whole.withColumn("_number", number).join(files, "part")
+    step = F.when(F.col("_number") == 0, F.col("t") - F.col("_ended"))
+    return placed.withColumn("gap", step).withColumn("in_order", step > 0).withColumn("frame_idx", (F.col("_number") + F.col("_before")).cast("long")).drop("_number", "_before", "_ended")

@@ -68,10 +68,11 @@ def drift(kind: str, t: Column, amplitude: float, period: float = 60.0) -> Colum
 
 
 def shift_samples(samples: DataFrame, n: int) -> DataFrame:
-    """Shift values by n samples and crop: sample i takes the value of i - n, without filling."""
+    """Shift values by n samples and crop: sample i takes the value of i - n, without filling; nulls are shifted like values."""
     w = Window.partitionBy("recording_id").orderBy("idx")
-    moved = F.lag("value", n).over(w) if n >= 0 else F.lead("value", -n).over(w)
-    return samples.withColumn("value", moved).where("value IS NOT NULL")
+    source = F.struct("value")
+    moved = F.lag(source, n).over(w) if n >= 0 else F.lead(source, -n).over(w)
+    return samples.withColumn("_moved", moved).where("_moved IS NOT NULL").withColumn("value", F.col("_moved.value")).drop("_moved")
 
 
 def event_series(samples: DataFrame, events: DataFrame) -> DataFrame:
