@@ -54,8 +54,9 @@ def channel_label(c: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """A deterministic id of its parts."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """A deterministic id of its parts: each is written as its length, a colon and itself, a null as a hyphen, so that no two lists of parts look alike."""
+    written = [F.coalesce(F.concat(F.char_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*written), 256)
 
 
 def round_half_even(seconds: Column, fs: float) -> Column:

@@ -105,18 +105,17 @@ def merge_close_peaks(packed: DataFrame, distance: float) -> DataFrame:
 
 
 def onoff_slope(packed: DataFrame, fs: float, window: int, prominence: float) -> DataFrame:
-    """(recording_id, peak_idx, start_idx, end_idx, valid)."""
+    """(recording_id, peak_idx, start_idx, end_idx, start_valid, end_valid, valid)."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
             for r, v in zip(pdf[BY], pdf["values"], strict=True):
                 x = np.asarray(v, float)
                 p = peaks.find(x, prominence=prominence)
-                rows += [(r, int(k), *o) for k, o in zip(p, peaks.onoff_slope(x, fs, p, window), strict=True)]
-            yield pd.DataFrame(rows, columns=[BY, "peak_idx", "start_idx", "end_idx", "valid"])
+                start, end, start_valid, end_valid = peaks.onoff_slope(x, fs, p, window)
+                yield pd.DataFrame({BY: r, "peak_idx": p, "start_idx": start, "end_idx": end, "start_valid": start_valid, "end_valid": end_valid, "valid": start_valid & end_valid})
 
-    return packed.select(F.col(BY).cast("long").alias(BY), "values").mapInPandas(run, f"{BY} long, peak_idx long, start_idx long, end_idx long, valid boolean")
+    return packed.select(F.col(BY).cast("long").alias(BY), "values").mapInPandas(run, f"{BY} long, peak_idx long, start_idx long, end_idx long, start_valid boolean, end_valid boolean, valid boolean")
 
 
 def gate_ecg(packed: DataFrame, fs: float, width: int = 205, fill: int = 1) -> DataFrame:

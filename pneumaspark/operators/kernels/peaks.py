@@ -107,35 +107,54 @@ def occluded_breaths(pressure: np.ndarray, fs: float, peep: float, factor: float
 
 
 def pressure_dips(pressure: np.ndarray, fs: float, smooth: float = 0.2, depth: float = 0.15, interval: float = 2.0) -> np.ndarray:
-    """Dips of the box-smoothed pressure; missing samples are bridged, dips on them dropped."""
-    missing = np.isnan(pressure)
+    """Dips of the box-smoothed pressure; samples that aren't finite are bridged, dips on them dropped.  Without a finite sample there are none."""
+    missing = ~np.isfinite(pressure)
+    if missing.all():
+        return np.empty(0, int)
     x = np.where(missing, np.interp(np.arange(len(pressure)), np.flatnonzero(~missing), pressure[~missing]), pressure)
     n = max(1, round(smooth * fs))
     p = find(np.convolve(x, np.ones(n) / n, "same"), prominence=depth, distance=max(1, round(interval * fs)), invert=True)
     return p[~missing[p]]
 
 
-def onoff_slope(x: np.ndarray, fs: float, peaks: np.ndarray, window: int) -> list[tuple[int, int, bool]]:
-    """(start, end, valid) of each peak: tangents at the steepest place before and after it, drawn to zero."""
+def _steepest(d: np.ndarray, window: int) -> np.ndarray:
+    """Places where the derivative is greater than everywhere within the window around them; never the ends."""
+    k, ok = np.arange(len(d)), np.ones(len(d), bool)
+    for s in range(1, window + 1):
+        ok &= (d > d[np.maximum(k - s, 0)]) & (d > d[np.minimum(k + s, len(d) - 1)])
+    return np.flatnonzero(ok)
+
+
+def onoff_slope(x: np.ndarray, fs: float, peaks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, start valid, end valid) of each peak: tangents at the steepest place before and after it, drawn to zero.
+
+    Without such a place the start is 0 and the end the last sample.  A start after its
+    peak, and an end before its peak or after the next one, isn't valid.  Where a start lies
+    before a valid end of the peak before, the side with the flatter tangent (the start, if
+    they are alike) isn't valid either; a missing tangent is flat.
+    """
+    peaks, n = np.asarray(peaks, int), len(x)
+    if not len(peaks):
+        return np.empty(0, int), np.empty(0, int), np.empty(0, bool), np.empty(0, bool)
     d = np.diff(x) * fs
 
-    def extreme(sign: int) -> np.ndarray:
-        k = np.arange(len(d))
-        ok = np.ones(len(d), bool)
-        for s in range(1, window + 1):
-            ok &= (sign * d > sign * d[np.maximum(k - s, 0)]) & (sign * d > sign * d[np.minimum(k + s, len(d) - 1)])
-        return np.flatnonzero(ok)
-
-    up, down, out = extreme(1), extreme(-1), []
-    for k, p in enumerate(peaks):
-        before, after = up[up < p], down[down > p]
-        start = max(0, int(before[-1] - x[before[-1]] * fs // d[before[-1]])) if len(before) else 0
-        end = min(len(x) - 1, int(after[0] + x[after[0]] * fs // -d[after[0]])) if len(after) else len(x) - 1
-        valid = start <= p <= end and not (k + 1 < len(peaks) and end > peaks[k + 1])
-        if out and valid and out[-1][1] > start and out[-1][2]:
-            if (p - start) > (out[-1][1] - peaks[k - 1]):
-                valid = False
-            else:
-                out[-1] = (*out[-1][:2], False)
-        out.append((start, end, bool(valid)))
-    return out
+    def tangent(places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = (found >= 0) & (found < len(places))
+        at = places[np.clip(found, 0, len(places) - 1)] if len(places) else np.zeros(len(peaks), int)
+        slope = np.where(there, d[at], 0.0)
+        # a level place has no crossing: it stands for itself
+        back = np.where(slope == 0, 0, np.floor_divide(x[at] * fs, np.where(slope == 0, 1, slope)))
+        return there, at - np.clip(back, -(2.0**40), 2.0**40).astype(int), slope
+
+    up, down = _steepest(d, window), _steepest(-d, window)
+    there, at, rise = tangent(up, np.searchsorted(up, peaks) - 1)
+    start = np.where(there, np.maximum(at, 0), 0)
+    there, at, fall = tangent(down, np.searchsorted(down, peaks, "right"))
+    end = np.where(there, np.minimum(at, n - 1), n - 1)
+
+    start_valid, end_valid = start <= peaks, (end >= peaks) & (end <= np.append(peaks[1:], n))
+    clash = (start[1:] < end[:-1]) & end_valid[:-1]
+    steeper = rise[1:] > -fall[:-1]
+    end_valid[:-1] &= ~(clash & steeper)
+    start_valid[1:] &= ~(clash & ~steeper)
+    return start, end, start_valid, end_valid

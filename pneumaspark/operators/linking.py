@@ -6,15 +6,18 @@ time per modality.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BY = "recording_id"
 DEFAULT_TOLERANCE = 0.5
+PIECE = 10_000  # events of a recording that are linked in one group, or more where no gap cuts them
 
 
 def shift(events: DataFrame, seconds: float, columns: Sequence[str] = ("t",)) -> DataFrame:
@@ -70,12 +73,37 @@ def mutual_nearest(left: DataFrame, right: DataFrame, tolerance: float) -> DataF
     return both.where(gap <= tolerance).select(BY, "left_t", "right_t", confidence.alias("confidence"))
 
 
+def in_pieces(events: DataFrame, tolerance: float) -> DataFrame:
+    """Events with ``piece``: about PIECE neighbours in time, cut only where two events are further apart than the tolerance.
+
+    No link crosses such a gap, so pieces of a long recording are linked apart from each other.
+    """
+    w = Window.partitionBy(BY).orderBy("t")
+    apart = F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance, F.lit(True))
+    numbered = events.withColumns({"_apart": apart, "_number": F.row_number().over(w)})
+    piece = F.max(F.when(F.col("_apart"), F.floor(F.col("_number") / PIECE))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return numbered.withColumn("piece", piece.cast("long")).drop("_apart", "_number")
+
+
+def _nearest_free(times: list[float], used: list[bool], t: float, tolerance: float) -> tuple[float, int] | None:
+    """(distance, place) of the nearest unused time within the tolerance, the earlier on a tie."""
+    best, middle = None, bisect_left(times, t)
+    for places in (range(middle - 1, -1, -1), range(middle, len(times))):
+        for j in places:
+            gap = abs(times[j] - t)
+            if not gap <= tolerance or (best and gap > best[0]):
+                break
+            if not used[j] and (best is None or (gap, j) < best):
+                best = (gap, j)
+    return best
+
+
 def link_greedy(events: DataFrame, modalities: Sequence[str], tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
     """Greedy links of a recording's events: (recording_id, link_no, one time per modality, confidence).
 
     Modalities are taken in order, their events by time; each unused event takes the
     nearest unused one of every other modality within the tolerance.  Singletons
-    have a null confidence.  A recording's events are one group, as the rule needs.
+    have a null confidence.  A piece of a recording is one group, see ``in_pieces``.
     """
     names = [f"t_{m}" for m in modalities]
 
@@ -91,19 +119,21 @@ def link_greedy(events: DataFrame, modalities: Sequence[str], tolerance: float =
                 used[m][k] = True
                 row, worst = {m: t}, 0.0
                 for o in modalities:
-                    free = [(abs(u - t), j) for j, u in enumerate(left[o]) if not used[o][j] and abs(u - t) <= tolerance] if o != m else []
+                    free = _nearest_free(left[o], used[o], t, tolerance) if o != m else None
                     if free:
-                        gap, j = min(free)
+                        gap, j = free
                         used[o][j] = True
                         row[o] = left[o][j]
                         worst = max(worst, gap)
                 conf = None if len(row) == 1 else 1.0 if tolerance == 0 else max(0.0, 1 - worst / tolerance)
                 out.append((t, [row.get(o) for o in modalities], conf))
         out.sort(key=lambda r: next(v for v in r[1] if v is not None))
-        return pd.DataFrame([(pdf[BY].iloc[0], n, *r[1], r[2]) for n, r in enumerate(out)], columns=[BY, "link_no", *names, "confidence"])
+        return pd.DataFrame([(pdf[BY].iloc[0], pdf["piece"].iloc[0], n, *r[1], r[2]) for n, r in enumerate(out)], columns=[BY, "piece", "n", *names, "confidence"])
 
-    ddl = f"{BY} long, link_no long, " + ", ".join(f"{n} double" for n in names) + ", confidence double"
-    return events.select(BY, "modality", "event_id", "t").groupBy(BY).applyInPandas(link, ddl)
+    ddl = f"{BY} long, piece long, n long, " + ", ".join(f"{n} double" for n in names) + ", confidence double"
+    linked = in_pieces(events.select(BY, "modality", "event_id", "t"), tolerance).groupBy(BY, "piece").applyInPandas(link, ddl)
+    number = F.row_number().over(Window.partitionBy(BY).orderBy("piece", "n")) - 1
+    return linked.select(BY, number.cast("long").alias("link_no"), *names, "confidence")
 
 
 def timing_delay(links: DataFrame, first: str, second: str, name: str = "delay") -> DataFrame:
@@ -134,19 +164,22 @@ def timing_parameters(links: DataFrame, modalities: Sequence[str]) -> DataFrame:
 
 
 def match_events(detected: DataFrame, reference: DataFrame, tolerance: float) -> DataFrame:
-    """(recording_id, matched, extra, missed, f1): one-to-one pairs, the closest pairs first."""
-
-    def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d, r = sorted(a["t"]) if len(a) else [], sorted(b["t"]) if len(b) else []
-        near = sorted((abs(x - y), i, j) for i, x in enumerate(d) for j, y in enumerate(r) if abs(x - y) <= tolerance)
+    """(recording_id, matched, extra, missed, f1): one-to-one pairs, the closest pairs first.  Pieces are counted apart and summed."""
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, r = np.sort(pdf.loc[pdf["detected"], "t"].to_numpy(float)), np.sort(pdf.loc[~pdf["detected"], "t"].to_numpy(float))
+        # bounds a little wider than the tolerance; the difference itself decides
+        slack = tolerance * (1 + 1e-9) + 1e-9 * np.abs(d)
+        low, high = np.searchsorted(r, d - slack), np.searchsorted(r, d + slack, "right")
+        near = sorted((abs(d[i] - r[j]), i, j) for i in range(len(d)) for j in range(low[i], high[i]) if abs(d[i] - r[j]) <= tolerance)
         did, dref = set(), set()
         for _, i, j in near:
             if i not in did and j not in dref:
                 did.add(i)
                 dref.add(j)
-        m = len(did)
-        total = len(d) + len(r)
-        return pd.DataFrame({BY: [key[0]], "matched": [m], "extra": [len(d) - m], "missed": [len(r) - m], "f1": [2 * m / total if total else 0.0]})
+        return pd.DataFrame({BY: [pdf[BY].iloc[0]], "m": [len(did)], "d": [len(d)], "r": [len(r)]})
 
-    a, b = detected.select(BY, "t").groupBy(BY), reference.select(BY, "t").groupBy(BY)
-    return a.cogroup(b).applyInPandas(pair, f"{BY} long, matched long, extra long, missed long, f1 double")
+    both = detected.select(BY, "t", F.lit(True).alias("detected")).unionByName(reference.select(BY, "t", F.lit(False).alias("detected")))
+    counts = in_pieces(both, tolerance).groupBy(BY, "piece").applyInPandas(pair, f"{BY} long, m long, d long, r long")
+    m, d, r = F.sum("m"), F.sum("d"), F.sum("r")
+    return counts.groupBy(BY).agg(m.alias("matched"), (d - m).alias("extra"), (r - m).alias("missed"), (2 * m / (d + r)).alias("f1"))

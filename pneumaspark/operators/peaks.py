@@ -41,7 +41,11 @@ def valley_peak_valley(extrema: DataFrame) -> DataFrame:
 
 
 def onoff_from_crossings(crossings: DataFrame, peaks: DataFrame, samples: DataFrame) -> DataFrame:
-    """(recording_id, peak_idx, start_idx, end_idx): the last crossing before a peak, else 0; the first from it on, else the last sample.
+    """(recording_id, peak_idx, start_idx, end_idx, start_valid, end_valid, valid): last crossing before a peak, else 0; the next one, else the last sample.
+
+    The next one may be at the peak itself, unless no crossing lies before.  An end after the
+    next peak isn't valid.  Where a start isn't after a valid end of the peak before, the one
+    further from its own peak isn't valid; at equal distances that is the end.
 
     One union of peaks and crossings, two growing windows; no range join.
     """
@@ -49,15 +53,29 @@ def onoff_from_crossings(crossings: DataFrame, peaks: DataFrame, samples: DataFr
     crossing = F.when(~F.col("is_peak"), F.col("idx"))
     # ``rangeBetween(.., -1)`` is strict: a crossing at the peak itself counts as after it
     before = F.max(crossing).over(Window.partitionBy(BY).orderBy("idx").rangeBetween(Window.unboundedPreceding, -1))
-    after = F.min(crossing).over(Window.partitionBy(BY).orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    downwards = Window.partitionBy(BY).orderBy(F.desc("idx"))
+    after = F.min(crossing).over(downwards.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    beyond = F.min(crossing).over(downwards.rangeBetween(Window.unboundedPreceding, -1))
     last = samples.groupBy(BY).agg(F.max("idx").alias("last_idx"))
-    return (
-        both.withColumn("b", before)
-        .withColumn("a", after)
+    placed = (
+        both.withColumns({"b": before, "a": after, "c": beyond})
         .where("is_peak")
         .join(last, BY)
-        .select(BY, F.col("idx").alias("peak_idx"), F.coalesce("b", F.lit(0)).cast("long").alias("start_idx"), F.coalesce("a", "last_idx").alias("end_idx"))
+        .select(
+            BY,
+            F.col("idx").alias("peak_idx"),
+            F.coalesce("b", F.lit(0)).cast("long").alias("start_idx"),
+            F.coalesce(F.when(F.col("b").isNull(), F.col("c")).otherwise(F.col("a")), "last_idx").alias("end_idx"),
+        )
     )
+    w = Window.partitionBy(BY).orderBy("peak_idx")
+    p, start, end = F.col("peak_idx"), F.col("start_idx"), F.col("end_idx")
+    placed = placed.withColumn("in_turn", F.coalesce(end <= F.lead(p).over(w), F.lit(True)))
+    # positive where the start is further from its peak than the end before it from its own
+    placed = placed.withColumn("excess", F.when((start <= F.lag(end).over(w)) & F.lag("in_turn").over(w), p - start - (F.lag(end).over(w) - F.lag(p).over(w))))
+    start_valid, end_valid = F.coalesce(F.col("excess") <= 0, F.lit(True)), F.col("in_turn") & F.coalesce(F.lead("excess").over(w) > 0, F.lit(True))
+    placed = placed.withColumns({"start_valid": start_valid, "end_valid": end_valid})
+    return placed.select(BY, "peak_idx", "start_idx", "end_idx", "start_valid", "end_valid", (F.col("start_valid") & F.col("end_valid")).alias("valid"))
 
 
 def closest_event(references: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -108,13 +108,18 @@ def rate_agreement(counts: DataFrame, minimum: float = 0.1) -> DataFrame:
 
 
 def event_timing(first: DataFrame, second: DataFrame, low: float = -0.5, high: float = 2.0) -> DataFrame:
-    """Pairs by position: (recording_id, position, delta, passed); events beyond the shorter list have no row."""
+    """Pairs by position: (recording_id, position, paired, delta, passed); events beyond the shorter list aren't paired, have no delta and don't pass."""
 
     def placed(e: DataFrame, name: str) -> DataFrame:
         return e.select(BY, F.col("t").alias(name), (F.row_number().over(Window.partitionBy(BY).orderBy("t")) - 1).cast("long").alias("position"))
 
-    both = placed(first, "t1").join(placed(second, "t2"), [BY, "position"]).withColumn("delta", F.col("t2") - F.col("t1"))
-    return both.select(BY, "position", "delta", F.col("delta").between(low, high).alias("passed"))
+    both = placed(first, "t1").join(placed(second, "t2"), [BY, "position"], "full_outer").withColumn("delta", F.col("t2") - F.col("t1"))
+    return both.select(BY, "position", F.col("delta").isNotNull().alias("paired"), "delta", F.coalesce(F.col("delta").between(low, high), F.lit(False)).alias("passed"))
+
+
+def unpaired_events(timing: DataFrame) -> DataFrame:
+    """Per recording with unpaired events in ``event_timing``: their number, as a flag that failed with a warning."""
+    return timing.where("NOT paired").groupBy(BY).agg(F.count(F.lit(1)).alias("n_unpaired")).withColumns({"flag": F.lit("event_timing_unpaired"), "passed": F.lit(False), "severity": F.lit("warning")})
 
 
 def pocc_quality(samples: DataFrame, manoeuvres: DataFrame, limits: Sequence[float] = (0.0, 2.0, 0.8)) -> DataFrame:

@@ -241,11 +241,19 @@ register("baseline_crossings", with_(SAMPLES, AVERAGE, CROSSINGS) + "SELECT reco
 register("valley_peak_valley", with_(SAMPLES, EXTREMA, BREATHS) + "SELECT recording_id, breath_no, start_idx, peak_idx, end_idx FROM breaths")(breaths)
 register(
     "onoff_baseline_crossing",
-    with_(SAMPLES, AVERAGE, CROSSINGS, EXTREMA)
-    + """SELECT p.recording_id, p.idx AS peak_idx,
-  coalesce((SELECT max(c.idx) FROM crossings c WHERE c.recording_id = p.recording_id AND c.idx < p.idx), 0) AS start_idx,
-  coalesce((SELECT min(c.idx) FROM crossings c WHERE c.recording_id = p.recording_id AND c.idx >= p.idx), l.last_idx) AS end_idx
-FROM extrema p JOIN (SELECT recording_id, max(idx) AS last_idx FROM samples GROUP BY 1) l ON l.recording_id = p.recording_id WHERE p.is_peak""",
+    with_(SAMPLES, AVERAGE, CROSSINGS, EXTREMA)[:-1]
+    + """,
+near AS (SELECT p.recording_id, p.idx AS peak_idx, l.last_idx,
+  (SELECT max(c.idx) FROM crossings c WHERE c.recording_id = p.recording_id AND c.idx < p.idx) AS b,
+  (SELECT min(c.idx) FROM crossings c WHERE c.recording_id = p.recording_id AND c.idx >= p.idx) AS a,
+  (SELECT min(c.idx) FROM crossings c WHERE c.recording_id = p.recording_id AND c.idx > p.idx) AS beyond
+FROM extrema p JOIN (SELECT recording_id, max(idx) AS last_idx FROM samples GROUP BY 1) l ON l.recording_id = p.recording_id WHERE p.is_peak),
+placed AS (SELECT recording_id, peak_idx, coalesce(b, 0) AS start_idx, coalesce(CASE WHEN b IS NULL THEN beyond ELSE a END, last_idx) AS end_idx,
+  row_number() OVER (PARTITION BY recording_id ORDER BY peak_idx) AS k FROM near)
+SELECT *, start_valid AND end_valid AS valid FROM (SELECT q.recording_id, q.peak_idx, q.start_idx, q.end_idx,
+  NOT coalesce(q.start_idx <= y.end_idx AND y.end_idx <= q.peak_idx AND q.peak_idx - q.start_idx > y.end_idx - y.peak_idx, false) AS start_valid,
+  NOT coalesce(q.end_idx > z.peak_idx OR (z.start_idx <= q.end_idx AND z.peak_idx - z.start_idx <= q.end_idx - q.peak_idx), false) AS end_valid
+FROM placed q LEFT JOIN placed y ON y.recording_id = q.recording_id AND y.k = q.k - 1 LEFT JOIN placed z ON z.recording_id = q.recording_id AND z.k = q.k + 1)""",
 )(lambda s, d: peaks.onoff_from_crossings(peaks.baseline_crossings(averaged(s, d), "average"), peak_rows(s, d), samples(s, d)))
 register(
     "remove_duplicate_extrema",
@@ -506,9 +514,9 @@ CAST(count(*) AS BIGINT) AS n_any FROM links GROUP BY 1)""",
 register(
     "event_timing",
     with_(SAMPLES, EVENTS)
-    + """SELECT recording_id, a.position, round(b.t - a.t, 6) AS delta, b.t - a.t BETWEEN -86400 AND 86400 AS passed FROM (SELECT recording_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS position FROM eit) a
-JOIN (SELECT recording_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS position FROM emg) b USING (recording_id, position)""".replace("a.position", "position"),
-)(lambda s, d: quality.event_timing(modality(s, d, "eit"), modality(s, d, "emg"), -86400, 86400).select("recording_id", "position", r6("delta", "delta"), "passed"))
+    + """SELECT recording_id, a.position, b.t - a.t IS NOT NULL AS paired, round(b.t - a.t, 6) AS delta, coalesce(b.t - a.t BETWEEN -86400 AND 86400, false) AS passed FROM (SELECT recording_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS position FROM eit) a
+FULL JOIN (SELECT recording_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS position FROM emg) b USING (recording_id, position)""".replace("a.position", "position"),
+)(lambda s, d: quality.event_timing(modality(s, d, "eit"), modality(s, d, "emg"), -86400, 86400).select("recording_id", "position", "paired", r6("delta", "delta"), "passed"))
 register(
     "align_by_modality_offset",
     with_(SAMPLES, EVENTS) + "SELECT recording_id, modality, event_id, round(t + CASE modality WHEN 'emg' THEN 5 WHEN 'ventilator' THEN -2 ELSE 0 END, 6) AS t FROM modal",
@@ -690,7 +698,7 @@ register(
 )(lambda s, d: table(s, d, "events").select("event_id", EVENT_NAMES.column(F.col("event_type")).alias("category")))
 register(
     "stable_ids",
-    "SELECT event_id, sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type)) AS id FROM events",
+    "SELECT event_id, sha256(concat(" + ", ".join(f"coalesce(concat(length({c}), ':', {c}), '-')" for c in ("CAST(user_id AS VARCHAR)", "event_type")) + ")) AS id FROM events",
 )(lambda s, d: table(s, d, "events").select("event_id", vocabulary.stable_id(F.col("user_id").cast("string"), F.col("event_type")).alias("id")))
 
 # ---- filters and other kernels

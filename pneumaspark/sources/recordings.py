@@ -2,7 +2,8 @@
 
 Files are read with Spark's own readers (``text``, ``binaryFile``), so any path
 that Spark can open will do.  A binary recording is one row of its file; frames
-are unpacked on the executors, a partition of files at a time.
+are unpacked on the executors, a partition of files at a time.  ``recording_id`` is a
+hash of path and channel: operators go by it, so channels of a file never mix.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BY = "recording_id"
 SAMPLES = "path string, channel string, unit string, fs double, idx long, t double, value double"
 
+def _identified(rows: DataFrame, *parts: str) -> DataFrame:
+    return rows.select(F.xxhash64(*parts).alias(BY), "*")
+
+
 # ---- tab-separated text with a header of label and unit lines
 
 
 def read_tab_text(spark: SparkSession, path: str) -> DataFrame:
-    """Samples (path, channel, unit, fs, idx, t, value) of tab text files.
+    """Samples (recording_id, path, channel, unit, fs, idx, t, value) of tab text files.
 
     Line 2 gives ``<ms> msec/sample``, line 3 ``<n> channels``; then a label and a
     unit line for each channel, a column header, a line to skip and the rows.  A
@@ -43,7 +49,7 @@ def read_tab_text(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(n):
                     yield pd.DataFrame({"path": name, "channel": labels[k].strip(), "unit": units[k].strip(), "fs": fs, "idx": idx, "t": idx / fs, "value": rows[:, k]})
 
-    return files.mapInPandas(parse, SAMPLES)
+    return _identified(files.mapInPandas(parse, SAMPLES), "path", "channel")
 
 
 # ---- binary frames: fixed values of the format, little endian
@@ -72,7 +78,7 @@ def pack_frames(t: np.ndarray, pixels: np.ndarray, min_max=None, marker=None, te
 
 
 def read_frames(spark: SparkSession, path: str, n_extra: int = 52, first: int = 0, most: int | None = None) -> DataFrame:
-    """(path, frame_idx, t, min_max, marker, text, pixels, extra) of binary frame files; ``first`` and ``most`` cut by frame."""
+    """(recording_id, path, frame_idx, t, min_max, marker, text, pixels, extra) of binary frame files; ``first`` and ``most`` cut by frame."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kind, size = frame_dtype(n_extra), frame_size(n_extra)
     assert kind.itemsize == size
@@ -90,13 +96,13 @@ def read_frames(spark: SparkSession, path: str, n_extra: int = 52, first: int =
                         "text": [x.decode("ascii", "replace") for x in g["text"]], "pixels": list(g["pixels"].astype(float)), "extra": list(g["extra"].astype(float)),
                     })
 
-    return files.mapInPandas(parse, "path string, frame_idx long, t double, min_max int, marker int, text string, pixels array<double>, extra array<double>")
+    return _identified(files.mapInPandas(parse, "path string, frame_idx long, t double, min_max int, marker int, text string, pixels array<double>, extra array<double>"), "path")
 
 
 def embedded_channels(frames: DataFrame, channels: dict[str, int]) -> DataFrame:
-    """Samples (path, channel, idx, t, value) of channels that a frame file carries beside its pixels."""
+    """Samples (recording_id, path, channel, idx, t, value) of channels that a frame file carries beside its pixels."""
     pairs = F.array(*[F.struct(F.lit(n).alias("channel"), F.get("extra", F.lit(k)).alias("value")) for n, k in channels.items()])
-    return frames.select("path", F.explode(pairs).alias("c"), F.col("frame_idx").alias("idx"), "t").select("path", "c.channel", "idx", "t", "c.value")
+    return _identified(frames.select("path", F.explode(pairs).alias("c"), F.col("frame_idx").alias("idx"), "t").select("path", "c.channel", "idx", "t", "c.value"), "path", "channel")
 
 
 # ---- Poly5, version 2.03: fixed values of the format, little endian
@@ -141,7 +147,7 @@ def unpack_poly5(data: bytes) -> tuple[np.ndarray, float, list[str], list[str]]:
 
 
 def read_poly5(spark: SparkSession, path: str) -> DataFrame:
-    """Samples (path, channel, unit, fs, idx, t, value) of Poly5 files."""
+    """Samples (recording_id, path, channel, unit, fs, idx, t, value) of Poly5 files."""
 
     def parse(batches):
         for pdf in batches:
@@ -151,7 +157,7 @@ def read_poly5(spark: SparkSession, path: str) -> DataFrame:
                 for k, label in enumerate(labels):
                     yield pd.DataFrame({"path": name, "channel": label, "unit": units[k], "fs": fs, "idx": idx, "t": idx / fs, "value": array[k]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SAMPLES)
+    return _identified(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SAMPLES), "path", "channel")
 
 
 # ---- loaders by extension
@@ -199,15 +205,19 @@ def join_sequences(parts: list[DataFrame]) -> DataFrame:
     """Frames of consecutive files as one recording: ``part`` and a running ``frame_idx`` in file order.
 
     Adds ``gap`` (seconds since the file before) and ``in_order`` at each file's first frame.
+    All frames take the first file's ``recording_id``, where files have one.
     """
     whole = parts[0].withColumn("part", F.lit(0))
     for k, p in enumerate(parts[1:], 1):
         whole = whole.unionByName(p.withColumn("part", F.lit(k)), allowMissingColumns=True)
     # one row a file gives the frames before it and the time at which the file before ends
     by_file = Window.orderBy("part")
-    files = whole.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.max_by("t", "frame_idx").alias("_last"))
+    ids = [F.min(BY).alias("_id")] if BY in whole.columns else []
+    files = whole.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.max_by("t", "frame_idx").alias("_last"), *ids)
     before = F.coalesce(F.sum("_n").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("part", before.alias("_before"), F.lag("_last").over(by_file).alias("_ended"))
+    first = [F.first("_id", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(BY)] if ids else []
+    files = files.select("part", before.alias("_before"), F.lag("_last").over(by_file).alias("_ended"), *first)
+    whole = whole.drop(BY)
     number = F.row_number().over(Window.partitionBy("part").orderBy("frame_idx")) - 1
     placed = whole.withColumn("_number", number).join(files, "part")
     step = F.when(F.col("_number") == 0, F.col("t") - F.col("_ended"))

@@ -98,6 +98,66 @@ def test_pressure_dips():
     assert len(peaks.pressure_dips(x, FS)) == 10
 
 
+def test_pressure_dips_without_finite_samples():
+    assert peaks.pressure_dips(np.full(50, np.nan), FS).tolist() == [] and peaks.pressure_dips(np.full(50, np.inf), FS).tolist() == []
+    x = np.where(np.abs(np.arange(600) - 300) < 60, -1.0, 0.0)
+    x[10], x[20] = np.inf, -np.inf
+    assert len(peaks.pressure_dips(x, FS)) == 1
+
+
+def test_slope_onsets_by_hand():
+    # derivative 0 1 3 1 -1 -4 -1 0: steepest at 2 (value 1) and 5 (value 4); 1 * 1 // 3 = 0, 4 * 1 // -4 = -1
+    x = np.array([0, 0, 1, 4, 5, 4, 0, -1, -1.0])
+    start, end, start_valid, end_valid = peaks.onoff_slope(x, 1.0, np.array([4]), 1)
+    assert (start[0], end[0], start_valid[0], end_valid[0]) == (2, 6, True, True)
+    # the quotient 5 / -2 goes down to -3, so the end moves three samples
+    x = np.array([0, 0, 2, 6, 6.5, 5, 3, 2, 2, 2.0])
+    assert peaks.onoff_slope(x, 1.0, np.array([4]), 1)[1][0] == 8
+    # nothing steep on either side
+    flat = peaks.onoff_slope(np.array([0, 1, 0.0]), 1.0, np.array([1]), 1)
+    assert (flat[0][0], flat[1][0]) == (0, 2)
+    assert [len(v) for v in peaks.onoff_slope(x, 1.0, np.empty(0, int), 1)] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("steep", [True, False])
+def test_slope_overlap_goes_to_the_steeper_side(steep):
+    # the first peak falls by 1 a sample at most, the second rises by 5 or by .5 at most; their tangents cross
+    rise = [10, 12, 17, 19] if steep else [9.6, 9.9, 10.4, 10.6]
+    x = np.array([0, 1, 5, 9, 10, 9.8, 8.8, 8.6, 8.5, *rise, 19 if steep else 10.6, 18, 0, 0, 0.0])
+    p = np.array([4, 12])
+    start, end, start_valid, end_valid = peaks.onoff_slope(x, 1.0, p, 1)
+    assert start[1] < end[0]
+    if end[0] <= p[1]:
+        assert (end_valid[0], start_valid[1]) == ((False, True) if steep else (True, False))
+    else:
+        assert not end_valid[0] and start_valid[1]
+
+
+def test_slope_validity_against_a_loop():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        x = np.cumsum(rng.standard_normal(120)) + 8
+        p, fs, w = peaks.find(x, prominence=1.0), 10.0, int(rng.integers(1, 4))
+        start, end, start_valid, end_valid = peaks.onoff_slope(x, fs, p, w)
+        d = np.diff(x) * fs
+        inner = range(len(d))
+        top = [k for k in inner if all(d[k] > d[max(k - s, 0)] and d[k] > d[min(k + s, len(d) - 1)] for s in range(1, w + 1))]
+        low = [k for k in inner if all(d[k] < d[max(k - s, 0)] and d[k] < d[min(k + s, len(d) - 1)] for s in range(1, w + 1))]
+        sides = []
+        for k, at in enumerate(p):
+            a, b = max((u for u in top if u < at), default=None), min((u for u in low if u > at), default=None)
+            s = 0 if a is None else max(0, a - int(x[a] * fs // d[a]))
+            e = len(x) - 1 if b is None else min(len(x) - 1, b - int(x[b] * fs // d[b]))
+            late = k + 1 < len(p) and e > p[k + 1]
+            sides.append([s, e, bool(s <= at), bool(e >= at and not late), 0.0 if a is None else d[a], 0.0 if b is None else d[b]])
+            if k and s < sides[-2][1] and sides[-2][3]:
+                if sides[-1][4] > -sides[-2][5]:
+                    sides[-2][3] = False
+                else:
+                    sides[-1][2] = False
+        assert [tuple(v[:4]) for v in sides] == list(zip(start.tolist(), end.tolist(), start_valid.tolist(), end_valid.tolist(), strict=True))
+
+
 def test_volume_and_occluded():
     v = np.clip(np.sin(2 * np.pi * 0.25 * T), 0, None)
     assert len(peaks.volume_breaths(v, 10)) == 5
