@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, secrets, sql, substring_dedup, token_counts
+from pneumaspark.llm import conversations, decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, resampling, secrets, sql, substring_dedup, token_counts
 from pneumaspark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged_rows(table(spark, sf_dir, "conversations")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = (
     op1_decontamination,
     op2_packing,
@@ -64,6 +72,8 @@ QUERIES = (
     op8_quality_rules,
     op9_secret_scans,
     op10_line_dedup,
+    op12_conversation_repair,
+    op13_importance_resampling,
 )
 
 

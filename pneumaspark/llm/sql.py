@@ -90,4 +90,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND dup_ngram_share <= 0.25 AND share7 <= 0.22 AND share10 <= 0.2 AND dup_line_share <= 0.3 AND n_symbols <= CAST(0.2 AS DOUBLE) * n_words AS kept, dup_line_share, dup_ngram_share FROM b
 """
 
-ORACLES = {"op1_decontamination": CONTAMINATION, "op3_substring_dedup": SUBSTRINGS, "op7_jaccard_join": COMPONENTS, "op8_quality_rules": QUALITY, "op10_line_dedup": LINES}
+_CRC_TABLE = "(SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n)))"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 1 + length(hex(encode({s}))), 2), lambda i: CAST('0x' || substr(hex(encode({s})), i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _edit(x: str, cost: str, initial: str) -> str:
+    """Cost in nine digits, then the audit: the least string is the cheapest, and of those the ASCII-least."""
+    return f"(lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{initial}')"
+
+
+_KEEPS = {k: f"CASE WHEN NOT gone AND initial = '{k}' THEN " for k in "sua"}
+_STAYS = "CASE WHEN truncated THEN 5 ELSE 0 END"
+_ROLED = "CASE WHEN NOT gone THEN {} END"
+_TO_USER = ", ".join([_edit("x2", "2", "D"), *(_ROLED.format(_edit(x, f"1 + {_STAYS}", "R")) for x in ("x0", "x1", "x3")), *(_KEEPS["u"] + _edit(x, _STAYS, "K") + " END" for x in ("x0", "x1", "x3"))])
+
+CONVERSATIONS = f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+fate AS (SELECT conv_id, turn, role, text, {_CRC.format(s="id")} % 20 AS f FROM raw, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fate WHERE f <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+said AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM pos),
+judged AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, pair, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, again AND regexp_matches(text, '[^\x20\x09-\x0D]') AS duplicate,
+  NOT again AND regexp_matches(text, '[^\x20\x09-\x0D]') AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated FROM said),
+line AS (SELECT *, blank OR duplicate AS gone, count(*) OVER (PARTITION BY conv_id) AS n FROM judged),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS x0, CAST(NULL AS VARCHAR) AS x1, '000000005I' AS x2, '000000010II' AS x3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, y0, y1, y2, least(y3, {_edit("y2", "5", "I")}) FROM (
+    SELECT conv_id, i, y0, y1, least(y2, {_edit("y0", "5", "I")}, {_edit("y1", "5", "I")}, {_edit("y3", "5", "I")}) AS y2, y3 FROM (
+      SELECT walk.conv_id, line.i, {_edit("x0", "2", "D")} AS y0, least({_edit("x1", "2", "D")}, {_KEEPS["s"]}{_edit("x0", _STAYS, "K")} END) AS y1, least({_TO_USER}) AS y2,
+        least({_edit("x3", "2", "D")}, {_ROLED.format(_edit("x2", f"1 + {_STAYS}", "R"))}, {_KEEPS["a"]}{_edit("x2", _STAYS, "K")} END) AS y3
+      FROM walk JOIN line ON line.conv_id IS NOT DISTINCT FROM walk.conv_id AND line.i = walk.i + 1))),
+ends AS (SELECT conv_id, CAST(substr(x, 1, 9) AS BIGINT) AS cost, substr(x, 10) AS audit FROM (SELECT conv_id, arg_max(least(x0, x3), i) AS x FROM walk GROUP BY conv_id)),
+edits AS (SELECT conv_id, u.k AS k, substr(audit, u.k, 1) AS e, length(replace(left(audit, u.k), 'I', '')) AS i FROM ends, unnest(range(1, length(audit) + 1)) AS u(k)),
+done AS (SELECT edits.*, line.role, line.text, row_number() OVER (PARTITION BY edits.conv_id ORDER BY k) AS m, first_value(e = 'K' AND coalesce(line.initial = 's', false)) OVER (PARTITION BY edits.conv_id ORDER BY k) AS led
+  FROM edits LEFT JOIN line ON line.conv_id IS NOT DISTINCT FROM edits.conv_id AND line.i = edits.i AND e <> 'I' WHERE e <> 'D'),
+fixed AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS body FROM done GROUP BY conv_id),
+facts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM line GROUP BY conv_id)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ends LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ends.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+RESAMPLING = f"""
+WITH crc AS {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+hashed AS (SELECT word, {_CRC.format(s="word")} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT b.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * (SELECT coalesce(sum(n), 0) + 10000 FROM s) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * (SELECT coalesce(sum(n), 0) + 10000 FROM t)))) AS BIGINT) AS g
+  FROM range(10000) AS b(bucket) LEFT JOIN s ON s.bucket = b.bucket LEFT JOIN t ON t.bucket = b.bucket),
+f AS (SELECT r, count(*) AS n, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN f USING (r)),
+ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) END AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+"""
+
+ORACLES = {"op1_decontamination": CONTAMINATION, "op3_substring_dedup": SUBSTRINGS, "op7_jaccard_join": COMPONENTS, "op8_quality_rules": QUALITY, "op10_line_dedup": LINES, "op12_conversation_repair": CONVERSATIONS, "op13_importance_resampling": RESAMPLING}
