@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pneumaspark.llm import conversations, decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, resampling, secrets, sql, substring_dedup, token_counts
+from pneumaspark.llm import conversations, decontaminate, jaccard_join, licenses, line_dedup, lm_score, packing, quality, resampling, secrets, sql, substring_dedup, token_counts, token_files
 from pneumaspark.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(conversations.damaged_rows(table(spark, sf_dir, "conversations")))
 
@@ -72,6 +76,7 @@ QUERIES = (
     op8_quality_rules,
     op9_secret_scans,
     op10_line_dedup,
+    op11_token_files,
     op12_conversation_repair,
     op13_importance_resampling,
 )
