@@ -1,23 +1,26 @@
 """Readers and writers of recording files: tab text, binary frames and Poly5.
 
-Files are read with Spark's own readers (``text``, ``binaryFile``), so any path
-that Spark can open will do.  A binary recording is one row of its file; frames
-are unpacked on the executors, a partition of files at a time.  ``recording_id`` is a
-hash of path and channel: operators go by it, so channels of a file never mix.
+Text files are read with Spark's own reader.  Binary files are data sources of their
+own (``binary_files``): a file is cut into ranges of frames or blocks, each a task's.
+``recording_id`` is a hash of path and channel: operators go by it, so channels of a
+file never mix.
 """
 
 from __future__ import annotations
 
-import struct
+import json
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pneumaspark.sources import binary_files
+
 BY = "recording_id"
 SAMPLES = "path string, channel string, unit string, fs double, idx long, t double, value double"
 
+
 def _identified(rows: DataFrame, *parts: str) -> DataFrame:
     return rows.select(F.xxhash64(*parts).alias(BY), "*")
 
@@ -52,112 +55,66 @@ def read_tab_text(spark: SparkSession, path: str) -> DataFrame:
     return _identified(files.mapInPandas(parse, SAMPLES), "path", "channel")
 
 
-# ---- binary frames: fixed values of the format, little endian
-FRAME_HEAD, FRAME_PIXELS, FRAME_TAIL, TEXT_BYTES = "<df", 1024, "<ii", 30
+# ---- binary frames and Poly5: see ``binary_files``
 
 
-def frame_size(n_extra: int) -> int:
-    return struct.calcsize(FRAME_HEAD) + 4 * FRAME_PIXELS + struct.calcsize(FRAME_TAIL) + TEXT_BYTES + 4 + 4 * n_extra
+def read_frames(spark: SparkSession, path: str, n_extra: int = 52, first: int = 0, most: int | None = None, task_bytes: int = binary_files.TASK_BYTES) -> DataFrame:
+    """(recording_id, path, frame_idx, t, min_max, marker, text, pixels, extra) of binary frame files.
 
+    A file is read by many tasks, each a range of frames; ``first`` and ``most`` cut every
+    file by frame, and frames outside aren't touched.
+    """
+    spark.dataSource.register(binary_files.FrameFiles)
+    source = spark.read.format("recording_frames").option("n_extra", n_extra).option("first", first).option("task_bytes", task_bytes)
+    return _identified((source if most is None else source.option("most", most)).load(path), "path")
 
-def frame_dtype(n_extra: int) -> np.dtype:
-    return np.dtype(
-        [("day", "<f8"), ("unused", "<f4"), ("pixels", "<f4", FRAME_PIXELS), ("min_max", "<i4"), ("marker", "<i4"), ("text", f"S{TEXT_BYTES}"), ("timing_error", "<i4"), ("extra", "<f4", n_extra)]
-    )
 
+def embedded_channels(frames: DataFrame, channels: dict[str, int]) -> DataFrame:
+    """Samples (recording_id, path, channel, idx, t, value) of channels that a frame file carries beside its pixels."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("channel"), F.get("extra", F.lit(k)).alias("value")) for n, k in channels.items()])
+    return _identified(frames.select("path", F.explode(pairs).alias("c"), F.col("frame_idx").alias("idx"), "t").select("path", "c.channel", "idx", "t", "c.value"), "path", "channel")
 
-def pack_frames(t: np.ndarray, pixels: np.ndarray, min_max=None, marker=None, text=None, extra: np.ndarray | None = None) -> bytes:
-    """Frames as bytes: time as a fraction of a day, 32 x 32 pixels, flags, event text, extra channels."""
-    extra = np.zeros((len(t), 52), np.float32) if extra is None else extra
-    out = np.zeros(len(t), frame_dtype(extra.shape[1]))
-    out["day"], out["pixels"], out["extra"] = np.asarray(t) / 86400, pixels.reshape(len(t), -1), extra
-    out["min_max"], out["marker"] = 0 if min_max is None else min_max, 0 if marker is None else marker
-    if text is not None:
-        out["text"] = text
-    return out.tobytes()
 
+def read_poly5(spark: SparkSession, path: str, first: int = 0, most: int | None = None, channels: list[str] | None = None, task_bytes: int = binary_files.TASK_BYTES) -> DataFrame:
+    """Samples (recording_id, path, channel, unit, fs, idx, t, value) of Poly5 files.
 
-def read_frames(spark: SparkSession, path: str, n_extra: int = 52, first: int = 0, most: int | None = None) -> DataFrame:
-    """(recording_id, path, frame_idx, t, min_max, marker, text, pixels, extra) of binary frame files; ``first`` and ``most`` cut by frame."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    kind, size = frame_dtype(n_extra), frame_size(n_extra)
-    assert kind.itemsize == size
+    A file is read by many tasks, each a range of blocks; ``first`` and ``most`` cut every file
+    by sample, and blocks outside aren't touched.  ``channels``: rows of these labels alone.
+    """
+    spark.dataSource.register(binary_files.Poly5Files)
+    source = spark.read.format("poly5").option("first", first).option("task_bytes", task_bytes)
+    source = source if most is None else source.option("most", most)
+    return _identified((source if channels is None else source.option("channels", json.dumps(channels))).load(path), "path", "channel")
 
-    def parse(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                if len(data) % size:
-                    raise ValueError(f"{name}: {len(data)} bytes aren't whole frames of {size}")
-                f = np.frombuffer(data, kind)[first : None if most is None else first + most]
-                for a in range(0, len(f), 500):
-                    g = f[a : a + 500]
-                    yield pd.DataFrame({
-                        "path": name, "frame_idx": np.arange(first + a, first + a + len(g)), "t": g["day"] * 86400, "min_max": g["min_max"].astype(int), "marker": g["marker"].astype(int),
-                        "text": [x.decode("ascii", "replace") for x in g["text"]], "pixels": list(g["pixels"].astype(float)), "extra": list(g["extra"].astype(float)),
-                    })
 
-    return _identified(files.mapInPandas(parse, "path string, frame_idx long, t double, min_max int, marker int, text string, pixels array<double>, extra array<double>"), "path")
+def poly5_channels(spark: SparkSession, path: str) -> DataFrame:
+    """(recording_id, path, channel, number, unit, fs, n_samples) of Poly5 files, from their heads alone."""
+    spark.dataSource.register(binary_files.Poly5Heads)
+    return _identified(spark.read.format("poly5_heads").load(path), "path", "channel")
 
 
-def embedded_channels(frames: DataFrame, channels: dict[str, int]) -> DataFrame:
-    """Samples (recording_id, path, channel, idx, t, value) of channels that a frame file carries beside its pixels."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("channel"), F.get("extra", F.lit(k)).alias("value")) for n, k in channels.items()])
-    return _identified(frames.select("path", F.explode(pairs).alias("c"), F.col("frame_idx").alias("idx"), "t").select("path", "c.channel", "idx", "t", "c.value"), "path", "channel")
+def write_frames(frames: DataFrame, path: str, n_extra: int = 52) -> None:
+    """One binary frame file for each recording_id of (recording_id, frame_idx, t, pixels, and min_max, marker, text, extra where there are any).
 
+    A recording is written by one task, frame by frame; pixels have to be 1024.
+    """
+    frames.sparkSession.dataSource.register(binary_files.FrameFiles)
+    optional = {"min_max": F.lit(0), "marker": F.lit(0), "text": F.lit(""), "extra": F.array_repeat(F.lit(0.0), n_extra)}
+    own = frames.select(F.col(BY).cast("long").alias(BY), "t", F.col("pixels").cast("array<double>").alias("pixels"), *[F.coalesce(F.col(c), d).alias(c) if c in frames.columns else d.alias(c) for c, d in optional.items()], "frame_idx")
+    own.repartition(BY).sortWithinPartitions(BY, "frame_idx").drop("frame_idx").write.format("recording_frames").option("n_extra", n_extra).mode("append").save(path)
 
-# ---- Poly5, version 2.03: fixed values of the format, little endian
-POLY_HEAD, POLY_ID, CHANNEL_BYTES, BLOCK_HEAD, BLOCK_SAMPLES = 217, b"POLY SAMPLE FILEversion 2.03\r\n\x1a", 136, 86, 256
-
-
-def pack_poly5(array: np.ndarray, fs: int, labels: list[str], units: list[str]) -> bytes:
-    """A (channel, sample) array as a Poly5 file; each channel takes two descriptors, samples are 32-bit floats."""
-    n_channels, n = array.shape
-    blocks = -(-n // BLOCK_SAMPLES)
-    name = b"recording"
-    head = POLY_ID + struct.pack("<H81shhBHi4xHHHHHHHiHHH64x", 203, bytes([len(name)]) + name, fs, fs, 0, 2 * n_channels, n, 2024, 1, 1, 1, 0, 0, 0, blocks, BLOCK_SAMPLES, n_channels * BLOCK_SAMPLES * 4, 0)
-    head = head.ljust(POLY_HEAD, b"\0")[:POLY_HEAD]
-    out = [head]
-    for label, unit in zip(labels, units, strict=True):
-        for part in (b"(Lo) ", b"(Hi) "):
-            text = (part + label.encode("latin-1", "replace"))[:40]
-            out.append(struct.pack("<41s4x11sffffh62x", bytes([len(text)]) + text, bytes([len(unit.encode()[:10])]) + unit.encode()[:10], -1000.0, 1000.0, -1000.0, 1000.0, 0))
-    padded = np.zeros((blocks * BLOCK_SAMPLES, n_channels), "<f4")
-    padded[:n] = array.T
-    for b in range(blocks):
-        out.append(struct.pack("<i4xHHHHHHH64x", b * BLOCK_SAMPLES, 2024, 1, 1, 1, 0, 0, 0))
-        out.append(padded[b * BLOCK_SAMPLES : (b + 1) * BLOCK_SAMPLES].tobytes())
-    return b"".join(out)
-
-
-def unpack_poly5(data: bytes) -> tuple[np.ndarray, float, list[str], list[str]]:
-    """((channel, sample) array, fs, labels, units) of a Poly5 file."""
-    at = len(POLY_ID)
-    fields = struct.unpack_from("<H81shhBHi4xHHHHHHHiHHH", data, at)
-    fs, n_double, n, blocks, per_block = fields[2], fields[5], fields[6], fields[14], fields[15]
-    labels, units = [], []
-    for k in range(0, n_double, 2):
-        label, unit = struct.unpack_from("<41s4x11s", data, POLY_HEAD + CHANNEL_BYTES * k)
-        labels.append(label[1 : 1 + label[0]].decode("latin-1")[5:])
-        units.append(unit[1 : 1 + unit[0]].decode("utf-8", "replace"))
-    at, parts = POLY_HEAD + CHANNEL_BYTES * n_double, []
-    for _ in range(blocks):
-        parts.append(np.frombuffer(data, "<f4", per_block * len(labels), at + BLOCK_HEAD).reshape(per_block, -1))
-        at += BLOCK_HEAD + 4 * per_block * len(labels)
-    return np.concatenate(parts)[:n].T.astype(float), float(fs), labels, units
-
-
-def read_poly5(spark: SparkSession, path: str) -> DataFrame:
-    """Samples (recording_id, path, channel, unit, fs, idx, t, value) of Poly5 files."""
 
-    def parse(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                array, fs, labels, units = unpack_poly5(data)
-                idx = np.arange(array.shape[1])
-                for k, label in enumerate(labels):
-                    yield pd.DataFrame({"path": name, "channel": label, "unit": units[k], "fs": fs, "idx": idx, "t": idx / fs, "value": array[k]})
+def write_poly5(samples: DataFrame, path: str, fs: float, channels: dict[str, str]) -> None:
+    """One Poly5 file for each recording_id of (recording_id, channel, idx, value); ``channels``: unit by label, in the file's order.
 
-    return _identified(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SAMPLES), "path", "channel")
+    A recording is written by one task, block by block; a value that isn't there is a NaN.
+    """
+    samples.sparkSession.dataSource.register(binary_files.Poly5Files)
+    values = F.array(*[F.max(F.when(F.col("channel") == c, F.col("value").cast("double"))) for c in channels])
+    rows = samples.where(F.col("channel").isin(*channels)).groupBy(F.col(BY).cast("long").alias(BY), F.col("idx").cast("long").alias("idx")).agg(values.alias("values"))
+    sizes = rows.groupBy(BY).agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.join(sizes, BY).repartition(BY).sortWithinPartitions(BY, "idx").select(BY, "n", "values")
+    placed.write.format("poly5").option("fs", fs).option("channels", json.dumps(channels)).mode("append").save(path)
 
 
 # ---- loaders by extension

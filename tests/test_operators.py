@@ -11,7 +11,7 @@ from pneumaspark.functions import vocabulary
 from pneumaspark.operators import linking, metrics, peaks, quality, slicing, validation, windows
 from pneumaspark.plans import steps, workflow
 from pneumaspark.recording_session import RecordingSession
-from pneumaspark.sources import recordings, synthetic
+from pneumaspark.sources import binary_files, recordings, synthetic
 
 assert steps
 
@@ -198,12 +198,12 @@ def test_vocabulary(spark):
 
 def test_files_round_trip(spark, tmp_path):
     x = np.random.default_rng(1).standard_normal((2, 600)).astype(np.float32)
-    (tmp_path / "a.Poly5").write_bytes(recordings.pack_poly5(x, 100, ["emg one", "ecg"], ["uV", "mV"]))
+    (tmp_path / "a.Poly5").write_bytes(binary_files.pack_poly5(x, 100, ["emg one", "ecg"], ["uV", "mV"]))
     got = recordings.load(spark, str(tmp_path / "a.Poly5"))
     assert got.count() == 1200 and recordings.choose_channel(got) == "emg one"
     assert np.allclose([r.value for r in got.where("channel = 'ecg'").orderBy("idx").collect()], x[1])
     pix = np.random.default_rng(2).random((7, 1024)).astype(np.float32)
-    data = recordings.pack_frames(np.arange(7) / 20, pix, text=b"mark")
+    data = binary_files.pack_frames(np.arange(7) / 20, pix, text=b"mark")
     assert len(data) == 7 * 4358
     (tmp_path / "b.bin").write_bytes(data)
     f = recordings.load(spark, str(tmp_path / "b.bin"), first=2, most=3).orderBy("frame_idx").collect()
@@ -223,7 +223,7 @@ def test_files_round_trip(spark, tmp_path):
 def test_file_to_envelope(spark, tmp_path):
     x = np.random.default_rng(3).standard_normal((2, 2000)).astype(np.float32)
     x[1] *= 1000
-    (tmp_path / "a.poly5").write_bytes(recordings.pack_poly5(x, 1000, ["left", "right"], ["uV", "uV"]))
+    (tmp_path / "a.poly5").write_bytes(binary_files.pack_poly5(x, 1000, ["left", "right"], ["uV", "uV"]))
     session = RecordingSession(spark).load_emg(str(tmp_path / "a.poly5"), fs=1000.0)
     envelope = session.preprocess_emg(remove_ecg=None).processed["emg"]
     level = {r.recording_id: (r.n, r.m) for r in envelope.groupBy("recording_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
