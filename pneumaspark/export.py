@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pneumaspark.sources import storage
+
 
 def write_tables(tables: dict[str, DataFrame], out: str, form: str = "parquet") -> str:
     """Each table in a folder of its own.  CSV and JSON hold arrays and structs as JSON text."""
@@ -24,16 +25,19 @@ def write_tables(tables: dict[str, DataFrame], out: str, form: str = "parquet")
 
 def write_scalar(value: float, path: str, precision: int = 8) -> str:
     """One number as text with fixed decimals, on the driver."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"{float(value):.{precision}f}\n")
-    return path
+    return _write(f"{float(value):.{precision}f}\n", path)
 
 
 def write_json(payload, path: str) -> str:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, ensure_ascii=False, default=str)
+    return _write(json.dumps(payload, indent=2, ensure_ascii=False, default=str), path)
+
+
+def _write(text: str, path: str) -> str:
+    """A small file on the file system that the path names, beside the tables that Spark writes there."""
+    system, inner, _ = storage.opened(path)
+    system.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(text.encode())
     return path
 
 

@@ -73,12 +73,12 @@ def mutual_nearest(left: DataFrame, right: DataFrame, tolerance: float) -> DataF
     return both.where(gap <= tolerance).select(BY, "left_t", "right_t", confidence.alias("confidence"))
 
 
-def in_pieces(events: DataFrame, tolerance: float) -> DataFrame:
+def in_pieces(events: DataFrame, tolerance: float, by: str = BY) -> DataFrame:
     """Events with ``piece``: about PIECE neighbours in time, cut only where two events are further apart than the tolerance.
 
     No link crosses such a gap, so pieces of a long recording are linked apart from each other.
     """
-    w = Window.partitionBy(BY).orderBy("t")
+    w = Window.partitionBy(by).orderBy("t")
     apart = F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance, F.lit(True))
     numbered = events.withColumns({"_apart": apart, "_number": F.row_number().over(w)})
     piece = F.max(F.when(F.col("_apart"), F.floor(F.col("_number") / PIECE))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -98,42 +98,54 @@ def _nearest_free(times: list[float], used: list[bool], t: float, tolerance: flo
     return best
 
 
-def link_greedy(events: DataFrame, modalities: Sequence[str], tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
+def link_greedy(events: DataFrame, modalities: Sequence[str], tolerance: float = DEFAULT_TOLERANCE, by: str = BY, carry: Sequence[str] = ()) -> DataFrame:
     """Greedy links of a recording's events: (recording_id, link_no, one time per modality, confidence).
 
     Modalities are taken in order, their events by time; each unused event takes the
     nearest unused one of every other modality within the tolerance.  Singletons
     have a null confidence.  A piece of a recording is one group, see ``in_pieces``.
+    ``by``: what events have in common to be linked, such as a session.  ``carry``: columns of
+    the events that each modality's event brings along, as name_modality.
     """
     names = [f"t_{m}" for m in modalities]
+    carried = [f"{c}_{m}" for m in modalities for c in carry]
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["modality", "t", "event_id"])
-        left = {m: list(pdf.loc[pdf["modality"] == m, "t"]) for m in modalities}
+        own = {m: pdf.loc[pdf["modality"] == m] for m in modalities}
+        left = {m: list(own[m]["t"]) for m in modalities}
         used = {m: [False] * len(left[m]) for m in modalities}
-        out = []
+        found = []
         for m in modalities:
             for k, t in enumerate(left[m]):
                 if used[m][k]:
                     continue
                 used[m][k] = True
-                row, worst = {m: t}, 0.0
+                row, worst = {m: k}, 0.0
                 for o in modalities:
                     free = _nearest_free(left[o], used[o], t, tolerance) if o != m else None
                     if free:
                         gap, j = free
                         used[o][j] = True
-                        row[o] = left[o][j]
+                        row[o] = j
                         worst = max(worst, gap)
                 conf = None if len(row) == 1 else 1.0 if tolerance == 0 else max(0.0, 1 - worst / tolerance)
-                out.append((t, [row.get(o) for o in modalities], conf))
-        out.sort(key=lambda r: next(v for v in r[1] if v is not None))
-        return pd.DataFrame([(pdf[BY].iloc[0], pdf["piece"].iloc[0], n, *r[1], r[2]) for n, r in enumerate(out)], columns=[BY, "piece", "n", *names, "confidence"])
-
-    ddl = f"{BY} long, piece long, n long, " + ", ".join(f"{n} double" for n in names) + ", confidence double"
-    linked = in_pieces(events.select(BY, "modality", "event_id", "t"), tolerance).groupBy(BY, "piece").applyInPandas(link, ddl)
-    number = F.row_number().over(Window.partitionBy(BY).orderBy("piece", "n")) - 1
-    return linked.select(BY, number.cast("long").alias("link_no"), *names, "confidence")
+                found.append((row, conf))
+        times = [[left[m][row[m]] if m in row else None for m in modalities] for row, _ in found]
+        order = sorted(range(len(found)), key=lambda k: next(v for v in times[k] if v is not None))
+        out = {by: pdf[by].iloc[0], "piece": pdf["piece"].iloc[0], "n": np.arange(len(found))}
+        out |= {f"t_{m}": [times[k][j] for k in order] for j, m in enumerate(modalities)}
+        for m in modalities:
+            for c in carry:
+                values = own[m][c].tolist()
+                out[f"{c}_{m}"] = [values[found[k][0][m]] if m in found[k][0] else None for k in order]
+        return pd.DataFrame(out | {"confidence": [found[k][1] for k in order]}, dtype=object)
+
+    kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    ddl = f"{by} {kind[by]}, piece long, n long, " + ", ".join([*(f"{n} double" for n in names), *(f"{c}_{m} {kind[c]}" for m in modalities for c in carry)]) + ", confidence double"
+    linked = in_pieces(events.select(by, "modality", "event_id", "t", *[c for c in carry if c != "event_id"]), tolerance, by).groupBy(by, "piece").applyInPandas(link, ddl)
+    number = F.row_number().over(Window.partitionBy(by).orderBy("piece", "n")) - 1
+    return linked.select(by, number.cast("long").alias("link_no"), *names, *carried, "confidence")
 
 
 def timing_delay(links: DataFrame, first: str, second: str, name: str = "delay") -> DataFrame:

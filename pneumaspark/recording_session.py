@@ -1,7 +1,9 @@
 """A session of recordings: a fluent front over the operators, all lazy.
 
 Tables are kept by name; every action is noted in ``provenance``.  Raw recordings
-are samples or frames; events are breaths with times on their own clock.
+are samples or frames; events are breaths with times on their own clock.  Recordings
+come together through the clock dimension (``operators.clocks``): files of one
+session share its ``session_id``, rows of a table share their ``recording_id``.
 """
 
 from __future__ import annotations
@@ -11,11 +13,11 @@ import time
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pneumaspark import export
-from pneumaspark.operators import filters, linking, metrics, peaks, pixels, quality, slicing
+from pneumaspark.operators import clocks, filters, linking, metrics, peaks, pixels, quality, slicing
 from pneumaspark.plans import steps
 from pneumaspark.sources import recordings
 from pneumaspark.sources.bindings import pack
@@ -26,6 +28,7 @@ MODALITIES = ("eit", "emg", "ventilator")
 @dataclasses.dataclass
 class RecordingSession:
     spark: SparkSession
+    session_id: str = "session"
     raw: dict[str, DataFrame] = dataclasses.field(default_factory=dict)
     fs: dict[str, float] = dataclasses.field(default_factory=dict)
     processed: dict[str, DataFrame] = dataclasses.field(default_factory=dict)
@@ -33,6 +36,8 @@ class RecordingSession:
     results: dict[str, DataFrame] = dataclasses.field(default_factory=dict)
     start_times: dict[str, float] = dataclasses.field(default_factory=dict)
     sync_methods: dict[str, str] = dataclasses.field(default_factory=dict)
+    sources: dict[str, str] = dataclasses.field(default_factory=dict)
+    session_keys: dict[str, Column] = dataclasses.field(default_factory=dict)
     provenance: list[dict] = dataclasses.field(default_factory=list)
 
     def _note(self, action: str, **parameters: Any) -> "RecordingSession":
@@ -41,22 +46,32 @@ class RecordingSession:
 
     # loading and slicing
 
-    def load(self, modality: str, source: str | DataFrame, fs: float, loader: Callable | None = None) -> "RecordingSession":
-        """Load a recording; loading anew forgets its synchronization."""
-        self.raw[modality] = recordings.load(self.spark, source, loader) if isinstance(source, str) else source
+    def load(self, modality: str, source: str | DataFrame, fs: float, loader: Callable | None = None, session: str | Column | None = None, **how: Any) -> "RecordingSession":
+        """Load a recording; loading anew forgets its synchronization.
+
+        ``session``: what the recording belongs to, a name or an expression over its rows (such as a part of ``path``).
+        Files belong to this session, rows of a table to the session that their recording_id names.
+        """
+        is_path = isinstance(source, str)
+        self.raw[modality] = recordings.load(self.spark, source, loader, **how) if is_path else source
+        self.sources.pop(modality, None)
+        if is_path and loader is None:
+            self.sources[modality] = source
+        default = F.lit(self.session_id) if is_path else F.col("recording_id")
+        self.session_keys[modality] = (F.lit(session) if isinstance(session, str) else default if session is None else session).cast("string")
         self.fs[modality] = fs
         self.start_times.pop(modality, None)
         self.sync_methods.pop(modality, None)
         return self._note("load", modality=modality)
 
-    def load_eit(self, source: str | DataFrame, fs: float = 20.0, loader: Callable | None = None) -> "RecordingSession":
-        return self.load("eit", source, fs, loader)
+    def load_eit(self, source: str | DataFrame, fs: float = 20.0, loader: Callable | None = None, session: str | Column | None = None, **how: Any) -> "RecordingSession":
+        return self.load("eit", source, fs, loader, session, **how)
 
-    def load_emg(self, source: str | DataFrame, fs: float = 2048.0, loader: Callable | None = None) -> "RecordingSession":
-        return self.load("emg", source, fs, loader)
+    def load_emg(self, source: str | DataFrame, fs: float = 2048.0, loader: Callable | None = None, session: str | Column | None = None, **how: Any) -> "RecordingSession":
+        return self.load("emg", source, fs, loader, session, **how)
 
-    def load_ventilator(self, source: str | DataFrame, fs: float = 100.0, name: str | None = None, loader: Callable | None = None) -> "RecordingSession":
-        return self.load(f"ventilator:{name}" if name else "ventilator", source, fs, loader)
+    def load_ventilator(self, source: str | DataFrame, fs: float = 100.0, name: str | None = None, loader: Callable | None = None, session: str | Column | None = None, **how: Any) -> "RecordingSession":
+        return self.load(f"ventilator:{name}" if name else "ventilator", source, fs, loader, session, **how)
 
     def slice(self, modality: str, start: float, end: float | None = None) -> "RecordingSession":
         """Cut a recording in seconds; its start on the shared clock moves with it."""
@@ -94,9 +109,31 @@ class RecordingSession:
         self._keep(self.processed, "eit", variant, overwrite, signal)
         return self._note("preprocess_eit", variant=variant, mode=mode)
 
-    def preprocess_emg(self, variant: str | None = None, overwrite: bool = False, envelope_seconds: float = 0.25, method: str = "rms", remove_ecg: str | None = "gating", bandpass: bool = True, **how: Any) -> "RecordingSession":
-        """Band-pass, heart-beat removal (gating, template or none), then the envelope."""
-        fs, x = self.fs["emg"], self.raw["emg"]
+    def channel_labels(self, modality: str) -> list[str]:
+        """The channels of a raw recording in order: of Poly5 files from their heads, else from the rows' labels."""
+        source = self.sources.get(modality, "")
+        if source.lower().endswith(".poly5"):
+            found = recordings.poly5_channels(self.spark, source).groupBy("channel").agg(F.min("number").alias("number"))
+            return [r.channel for r in found.orderBy("number", "channel").collect()]
+        return [r.channel for r in self.raw[modality].select("channel").distinct().orderBy("channel").collect()]
+
+    def one_channel(self, modality: str, channel: str | int | None = None) -> DataFrame:
+        """A raw recording's rows of one channel: the one named or numbered, else the only one that isn't an ECG; ``*`` keeps all."""
+        x = self.raw[modality]
+        if "channel" not in x.columns or channel == "*":
+            return x
+        labels = self.channel_labels(modality)
+        if isinstance(channel, int):
+            if not 0 <= channel < len(labels):
+                raise ValueError(f"channel {channel} isn't one of {len(labels)}")
+            channel = labels[channel]
+        elif channel is not None and channel not in labels:
+            raise ValueError(f"channel {channel!r} isn't one of {labels}")
+        return x.where(F.col("channel") == (recordings.only_channel(labels) if channel is None else channel))
+
+    def preprocess_emg(self, variant: str | None = None, overwrite: bool = False, channel: str | int | None = None, envelope_seconds: float = 0.25, method: str = "rms", remove_ecg: str | None = "gating", bandpass: bool = True, **how: Any) -> "RecordingSession":
+        """Band-pass, heart-beat removal (gating, template or none), then the envelope, of one channel."""
+        fs, x = self.fs["emg"], self.one_channel("emg", channel)
         x = steps.emg_preprocess(x, fs=fs, **how) if bandpass else x
         if remove_ecg == "gating":
             x = steps.ecg_gating(x, fs=fs)
@@ -104,11 +141,11 @@ class RecordingSession:
             x = steps.filtered(x, filters.subtract_ecg(pack(x), fs))
         x = steps.emg_envelope(x, fs=fs, window_seconds=envelope_seconds, method=method)
         self._keep(self.processed, "emg", variant, overwrite, x)
-        return self._note("preprocess_emg", variant=variant)
+        return self._note("preprocess_emg", variant=variant, channel=channel)
 
-    def preprocess_ventilator(self, name: str | None = None, variant: str | None = None, overwrite: bool = False, lowpass_hz: float | None = None, order: int = 4) -> "RecordingSession":
+    def preprocess_ventilator(self, name: str | None = None, variant: str | None = None, overwrite: bool = False, lowpass_hz: float | None = None, order: int = 4, channel: str | int | None = "*") -> "RecordingSession":
         key = f"ventilator:{name}" if name else "ventilator"
-        x, fs = self.raw[key], self.fs[key]
+        x, fs = self.one_channel(key, channel), self.fs[key]
         if lowpass_hz:
             x = steps.filtered(x, filters.butterworth(pack(x), "lowpass", min(lowpass_hz, 0.95 * fs / 2), fs, order))
         self._keep(self.processed, key, variant, overwrite, x)
@@ -194,23 +231,36 @@ class RecordingSession:
 
     align_modalities = synchronize_raw_modalities
 
+    def _recordings(self, modality: str) -> DataFrame:
+        """Rows that name a modality's recordings: heads or a listing of binary files, else the samples themselves."""
+        source = self.sources.get(modality, "")
+        about = {".poly5": recordings.poly5_channels, ".bin": recordings.frame_files}.get("." + source.rpartition(".")[2].lower())
+        return about(self.spark, source) if about else self.raw[modality]
+
+    def clocks(self) -> DataFrame:
+        """The clock dimension: a row for each recording that was loaded, with its session and start."""
+        rows = [clocks.clock_rows(self._recordings(m), m, self.session_keys.get(m, F.col("recording_id")), self.start_times.get(m, 0.0), self.sync_methods.get(m)) for m in self.raw]
+        # breath lists without a recording are on the clock of their modality
+        bare = {m: self.events[f"{m}_breaths"] for m in MODALITIES if f"{m}_breaths" in self.events and m not in self.raw}
+        rows += [clocks.clock_rows(x, m, F.col("recording_id"), self.start_times.get(m, 0.0), self.sync_methods.get(m)) for m, x in bare.items()]
+        return export.union_by_name(rows) if rows else self.spark.createDataFrame([], clocks.CLOCKS)
+
     def synchronize_multimodal_breaths(self) -> dict[str, DataFrame]:
-        """Breath lists on the shared clock."""
-        times = ("start_time", "extremum_time", "end_time")
-        return {m: linking.shift(self.events[f"{m}_breaths"], self.start_times.get(m, 0.0), times) for m in MODALITIES if f"{m}_breaths" in self.events}
+        """Breath lists on the shared clock, with their sessions."""
+        dimension = self.clocks()
+        return {m: clocks.on_shared_clock(self.events[f"{m}_breaths"], dimension.where(F.col("modality") == m)) for m in MODALITIES if f"{m}_breaths" in self.events}
 
     def link_breaths(self, time_tolerance: float = 0.5) -> DataFrame:
-        """Greedy links of the modalities' breaths by their extremum times."""
-        lists = self.synchronize_multimodal_breaths()
-        every = [df.select("recording_id", F.lit(m).alias("modality"), F.xxhash64("recording_id", "extremum_time").alias("event_id"), F.col("extremum_time").alias("t")) for m, df in lists.items()]
-        self.results["linked_breaths"] = linking.link_greedy(export.union_by_name(every), tuple(lists), time_tolerance)
+        """Greedy links of each session's breaths by their extremum times, whatever files they come from."""
+        lists = {m: self.events[f"{m}_breaths"] for m in MODALITIES if f"{m}_breaths" in self.events}
+        self.results["linked_breaths"] = clocks.link_sessions(lists, self.clocks(), time_tolerance)
         self._note("link_breaths", time_tolerance=time_tolerance)
         return self.results["linked_breaths"]
 
-    def compute_breath_timing_parameters(self) -> DataFrame:
-        links = self.results["linked_breaths"]
-        names = [c.removeprefix("t_") for c in links.columns if c.startswith("t_")]
-        self.results["timing_parameters"] = linking.timing_parameters(links, names)
+    def compute_breath_timing_parameters(self, delay_pairs=None, duration_pairs=None, anchor: str = "start") -> DataFrame:
+        """Delays, differences of durations and agreement of the linked breaths; replaces those computed before."""
+        self.results["timing_parameters"] = clocks.breath_timing(self.results["linked_breaths"], delay_pairs, duration_pairs, anchor)
+        self._note("compute_breath_timing_parameters", delay_pairs=delay_pairs, duration_pairs=duration_pairs, anchor=anchor)
         return self.results["timing_parameters"]
 
     # presets and exports

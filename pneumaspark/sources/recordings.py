@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pneumaspark.sources import binary_files
+from pneumaspark.sources import binary_files, storage
 
 BY = "recording_id"
 SAMPLES = "path string, channel string, unit string, fs double, idx long, t double, value double"
@@ -69,6 +69,11 @@ def read_frames(spark: SparkSession, path: str, n_extra: int = 52, first: int =
     return _identified((source if most is None else source.option("most", most)).load(path), "path")
 
 
+def frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """(recording_id, path, bytes) of frame files, from the listing alone."""
+    return _identified(spark.createDataFrame(storage.listed(path), "path string, bytes long"), "path")
+
+
 def embedded_channels(frames: DataFrame, channels: dict[str, int]) -> DataFrame:
     """Samples (recording_id, path, channel, idx, t, value) of channels that a frame file carries beside its pixels."""
     pairs = F.array(*[F.struct(F.lit(n).alias("channel"), F.get("extra", F.lit(k)).alias("value")) for n, k in channels.items()])
@@ -148,9 +153,8 @@ def load(spark: SparkSession, path: str, loader=None, **how) -> DataFrame:
     return loader(spark, path, **how)
 
 
-def choose_channel(samples: DataFrame) -> str:
+def only_channel(labels: list[str]) -> str:
     """The only channel, or the only one that isn't an ECG."""
-    labels = [r.channel for r in samples.select("channel").distinct().orderBy("channel").collect()]
     rest = [c for c in labels if not any(x in c.lower() for x in ("ecg", "ekg"))]
     for found in (labels, rest):
         if len(found) == 1:
@@ -158,6 +162,11 @@ def choose_channel(samples: DataFrame) -> str:
     raise ValueError(f"name one of the channels {labels}")
 
 
+def choose_channel(samples: DataFrame) -> str:
+    """``only_channel`` of the labels in a table of samples."""
+    return only_channel([r.channel for r in samples.select("channel").distinct().orderBy("channel").collect()])
+
+
 def join_sequences(parts: list[DataFrame]) -> DataFrame:
     """Frames of consecutive files as one recording: ``part`` and a running ``frame_idx`` in file order.
 

@@ -225,7 +225,9 @@ def test_file_to_envelope(spark, tmp_path):
     x[1] *= 1000
     (tmp_path / "a.poly5").write_bytes(binary_files.pack_poly5(x, 1000, ["left", "right"], ["uV", "uV"]))
     session = RecordingSession(spark).load_emg(str(tmp_path / "a.poly5"), fs=1000.0)
-    envelope = session.preprocess_emg(remove_ecg=None).processed["emg"]
+    with pytest.raises(ValueError):  # neither is an ECG, so one has to be named
+        session.preprocess_emg(remove_ecg=None)
+    envelope = session.preprocess_emg(remove_ecg=None, channel="*").processed["emg"]
     level = {r.recording_id: (r.n, r.m) for r in envelope.groupBy("recording_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
     assert [n for n, _ in level.values()] == [2000, 2000]
     low, high = sorted(m for _, m in level.values())
