@@ -39,12 +39,12 @@ gives no files and no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,7 @@ def _choices(classes: np.ndarray) -> np.ndarray:
         widest[c] = longer
     choice = np.full(n, ESCAPE, np.int8)
     for k in range(len(WIDTHS) - 1, -1, -1):
-        choice[widest[int(COUNTS[k])][:n] <= k] = k + 2
+        np.copyto(choice, k + 2, where=widest[int(COUNTS[k])][:n] <= k)
     return choice
 
 
@@ -109,20 +109,20 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     took = np.concatenate(([1, 1], COUNTS))[choice]
     at = np.arange(n)
 
-    def run_lengths(same: np.ndarray) -> np.ndarray:
-        """Positions until ``same``, whether an item goes with the next one, is false."""
-        ends = np.flatnonzero(np.concatenate((~same, [True])))
-        return ends[np.searchsorted(ends, at)] - at + 1
+    def left(apart: np.ndarray) -> np.ndarray:
+        """Positions from each one to the end of its run; ``apart``: whether a run ends before the next position."""
+        ends = np.concatenate((np.flatnonzero(apart), [n - 1]))
+        return np.repeat(ends, np.diff(ends, prepend=-1)) - at + 1
 
-    same = ids[1:] == ids[:-1]
-    if np.count_nonzero(same) >= LEAST_RUN - 1:
-        left = run_lengths(same)
-        run = (left >= LEAST_RUN) & (ids < _U(1 << 32))
-        choice[run], took[run] = RUN, left[run]
+    apart = ids[1:] != ids[:-1]
+    if n >= LEAST_RUN and np.diff(np.flatnonzero(apart), prepend=-1, append=n - 1).max() >= LEAST_RUN:
+        rest = left(apart)
+        run = (rest >= LEAST_RUN) & (ids < _U(1 << 32))
+        choice[run], took[run] = RUN, rest[run]
     escaped = choice == ESCAPE
     if escaped.any():
-        took[escaped] = run_lengths(escaped[1:] & escaped[:-1])[escaped]
-    starts, k, steps = [], 0, took.tolist()
+        took[escaped] = left(escaped[1:] != escaped[:-1])[escaped]
+    starts, k, steps = [], 0, took.astype(np.uint8).tobytes() if took.max(initial=0) < 256 else took.tolist()
     while k < n:
         starts.append(k)
         k += steps[k]
@@ -376,8 +376,8 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = ByteEncoder.of(tokenizer).encode, np.array([END_ID], "<u4").tobytes()
-        for ids, texts in blocks(batches, 4 << 20):
-            yield record_batch({"doc_id": ids, "ids": [x + end for x in encode(texts)]}, schema)
+        for ids, texts in blocks(batches, 2 << 20):
+            yield record_batch({"doc_id": ids, "ids": [encode(t) + end for t in texts]}, schema)
 
     return ordered.mapInArrow(run, ddl)
 
@@ -413,27 +413,37 @@ def token_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 # ---- byte-level encoding, each distinct piece of text once
 
+#: Printable ASCII and the Latin letters below U+0180, with a space or line feed before them at most.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+LATIN = re.compile(f"[ \\n]?[!-~{_LETTERS}]*").fullmatch
+#: The pre-tokenizer's items of such a piece after its letters have taken their byte-level names, which are letters or U+0100 to U+0142.
+ITEMS = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00a1-\u0143]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00a1-\u0143]+").findall
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
-class ByteEncoder:
-    """Ids of a text by encoding each distinct piece between single spaces once.
+
+class ByteEncoder(dict):
+    """Ids of a text by encoding each distinct piece between single spaces once: a table of pieces that fills itself.
 
     The pre-tokenizer cuts before a single space between two other characters, and
     before and after a line feed between two others, whatever comes next.  So the ids
     of a text are those of its pieces, unless a piece begins or ends with another kind
     of white space: such texts, and texts with runs of spaces or the special token's
-    name, are encoded as a whole.
+    name, are encoded as a whole.  Past ``most`` pieces the table begins again, which
+    bounds memory and changes nothing else.
     """
 
     _made: dict[str, "ByteEncoder"] = {}
     #: Characters that the pre-tokenizer's pattern takes for white space, and some that others do.
     WHITE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in range(0x2000, 0x200B)}
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[bytes, bytes] = {}
+        self.line_feed = self.whole(b"\n")
         self.most = most
 
     @classmethod
@@ -452,52 +462,34 @@ class ByteEncoder:
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes; null is empty."""
-        split = [self.pieces_of(t) if t else [] for t in texts]
-        known = self.pieces
-        new = {p for pieces in split if pieces for p in pieces if p not in known}
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = {p for pieces in split if pieces for p in pieces}
-            self.learn(new)
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(known.__getitem__, pieces)) if pieces is not None else self.whole(text))
-            except KeyError:  # a piece that can't be encoded alone
-                out.append(self.whole(text))
-        return out
-
-    def pieces_of(self, text: bytes) -> list[bytes] | None:
-        """Pieces, each with the space or line feed that it begins with; none where white space shows that they won't do."""
+    def encode(self, text: bytes | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit bytes; null is empty."""
+        if not text:
+            return b""
         if b"  " in text or b" \n" in text or b"\n " in text or b"\n\n\n" in text or b"\0" in text or text[:1] in b" \n" or text[-1:] in b" \n" or any(s in text for s in self.special):
-            return None
-        return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
+            return self.whole(text)
+        try:  # each piece keeps the space or line feed that it begins with
+            return b"".join(map(self.__getitem__, text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")))
+        except KeyError:
+            return self.whole(text)
 
-    def learn(self, new: set[bytes]) -> None:
-        """Encode pieces, but for those that begin or end with white space other than their own.
+    def __missing__(self, piece: bytes) -> bytes:
+        """Encode a piece; KeyError if it begins or ends with white space other than its own.
 
-        A word of Latin letters is one item to the pre-tokenizer, with a space before it, so
-        it goes straight to the model; a stop or comma after it and a line feed before it are
-        items of their own.  All other pieces take the tokenizer's full way.
+        Pieces of printable ASCII and Latin letters are cut to items as the pre-tokenizer does
+        and go straight to the model.  All others take the tokenizer's full way.
         """
-        plain: dict[bytes, tuple[str, bytes, bytes]] = {}
-        full: list[bytes] = [b"\n", b".", b","]
-        for p in new:
-            lead, stop = p[:1] if p[:1] in (b" ", b"\n") else b"", p[-1:] if p[-1:] in (b".", b",") else b""
-            word = p[len(lead) : len(p) - len(stop)].decode("utf-8", "replace")
-            if word.isalpha() and max(word) < "\u0180":
-                plain[p] = ("\u0120" if lead == b" " else "") + (word if word.isascii() else word.translate(_BYTE_NAMES)), lead, stop
-            elif word:
-                if word[0] not in self.WHITE and word[-1] not in self.WHITE:
-                    full.append(p)
-            elif stop or p == b"\n":
-                full.append(p)
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in full], add_special_tokens=False)
-        known, tokenize = self.pieces, self.tokenizer.model.tokenize
-        known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(full, encoded, strict=True))
-        ids = {name: pack(f"<{len(found)}I", *[t.id for t in found]) for name in {n for n, _, _ in plain.values()} for found in [tokenize(name)]}
-        for p, (name, lead, stop) in plain.items():
-            known[p] = (known[b"\n"] if lead == b"\n" else b"") + ids[name] + (known[stop] if stop else b"")
+        text = piece.decode("utf-8", "replace")
+        if LATIN(text):
+            items = ITEMS(text if text.isascii() else text.translate(_BYTE_NAMES))
+            ids = [t.id for item in items for t in self.tokenize(item.replace(" ", "\u0120"))] if piece != b"\n" else []
+            made = (self.line_feed if text[0] == "\n" else b"") + (PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes())
+        else:
+            inner = text[1:] if text[0] in " \n" else text
+            if not inner or inner[0] in self.WHITE or inner[-1] in self.WHITE:
+                raise KeyError(piece)
+            made = self.whole(piece)
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = made
+        return made
