@@ -716,13 +716,22 @@ for _fill in range(4):
 register("wavelet_denoise")(lambda s, d: summary(filters.wavelet_denoise(packed(s, d), 10.0, 6)))
 
 
-def queries() -> dict[str, Query]:
-    from pneumaspark.plans import workflow_queries
+def _more() -> list:
+    """Modules of queries that build on this one."""
+    from pneumaspark.plans import file_queries, workflow_queries
 
-    return _QUERIES | workflow_queries.QUERIES
+    return [workflow_queries, file_queries]
 
 
-def oracle_sql() -> dict[str, str]:
-    from pneumaspark.plans import workflow_queries
+def queries() -> dict[str, Query]:
+    out = dict(_QUERIES)
+    for module in _more():
+        out |= module.QUERIES
+    return out
 
-    return _SQL | workflow_queries.SQL
+
+def oracle_sql() -> dict[str, str]:
+    out = dict(_SQL)
+    for module in _more():
+        out |= module.SQL
+    return out
