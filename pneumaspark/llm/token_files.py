@@ -436,7 +436,7 @@ class ByteEncoder(dict):
     #: Characters that the pre-tokenizer's pattern takes for white space, and some that others do.
     WHITE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in range(0x2000, 0x200B)}
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         super().__init__()
