@@ -2,7 +2,8 @@
 
 Every operator takes ``samples`` (recording_id, idx, value, ...) and adds a
 column.  Nulls are skipped, as NaN is.  A window of one recording is one sorted
-partition; operators with a bounded frame can also run on chunks with a halo.
+partition; ``chunks.in_chunks`` runs those with a bounded frame on parts of a long
+recording, and baselines always go by chunk.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pneumaspark.operators import chunks
+from pneumaspark.operators.kernels import rolling
+
 BY = "recording_id"
 
 
@@ -127,24 +131,22 @@ def naive_rolling_rms(samples: DataFrame, length: int) -> DataFrame:
     return out.where(F.col("n") == length).drop("n")
 
 
-def moving_baseline(samples: DataFrame, window: int, step: int, percentile: float = 33.0, column: str = "baseline") -> DataFrame:
+def _steps(length: int, step: int) -> int:
+    """A chunk's length in whole steps, so that no step is in two chunks."""
+    return max(1, -(-length // step)) * step
+
+
+def moving_baseline(samples: DataFrame, window: int, step: int, percentile: float = 33.0, column: str = "baseline", length: int = chunks.LENGTH) -> DataFrame:
     """A percentile around each step's first sample, held over the step; cut short at the ends.
 
-    The percentile is computed at the anchors only: rows between anchors pass
-    through the window without an output.
+    Only the anchors' windows are ranked, chunk by chunk; rows of a step whose first sample isn't there have none and go.
     """
-    w = ordered().rowsBetween(-(window // 2), window // 2)
-    values = F.collect_list("value").over(w)
-    anchors = samples.select(BY, "idx", values.alias("near")).where(F.col("idx") % step == 0)
-    at = F.array_sort("near")
-    place = (F.size("near") - 1) * F.lit(percentile / 100)
-    low = F.floor(place).cast("int")
-    lerp = F.get(at, low) + (F.get(at, F.least(low + 1, F.size("near") - 1)) - F.get(at, low)) * (place - low)
-    anchors = anchors.select(BY, F.col("idx").alias("_anchor"), lerp.alias(column))
-    return samples.withColumn("_anchor", F.col("idx") - F.col("idx") % step).join(anchors, [BY, "_anchor"]).drop("_anchor")
-
-
-def slopesum_baseline(samples: DataFrame, window: int, step: int, average: int, near: int, percentile: float = 33.0, augmented: float = 25.0) -> DataFrame:
+    halo = window // 2
+    based = chunks.map_chunks(samples, lambda idx, x: {column: rolling.moving_baseline(idx, x, window, step, percentile)}, (column,), _steps(length, step), halo)
+    return based.where(F.col(column).isNotNull())
+
+
+def slopesum_baseline(samples: DataFrame, window: int, step: int, average: int, near: int, percentile: float = 33.0, augmented: float = 25.0, length: int = chunks.LENGTH) -> DataFrame:
     """Baseline over quiet samples, with running mean and deviation (our definition).
 
     The slope sum of a sample is the sum of absolute differences over ``average``
@@ -152,16 +154,9 @@ def slopesum_baseline(samples: DataFrame, window: int, step: int, average: int,
     percentile of the ``near`` samples around.  The baseline is the percentile of
     the quiet samples in the window, or of all where none is quiet.
     """
-    w = ordered()
-    slope = F.abs(F.col("value") - F.lag("value").over(w))
-    out = samples.withColumn("_slope", F.coalesce(slope, F.lit(0.0))).withColumn("slope_sum", F.sum("_slope").over(frame(average)))
-    out = out.withColumn("_quiet", F.when(F.col("slope_sum") <= F.percentile("slope_sum", F.lit(augmented / 100)).over(frame(near)), F.col("value")))
-    wide = w.rowsBetween(-(window // 2), window // 2)
-    held = F.coalesce(F.percentile("_quiet", F.lit(percentile / 100)).over(wide), F.percentile("value", F.lit(percentile / 100)).over(wide))
-    out = out.withColumn("_held", held)
-    anchors = out.where(F.col("idx") % step == 0).select(BY, F.col("idx").alias("_anchor"), F.col("_held").alias("baseline"))
-    out = out.withColumn("running_mean", F.avg("value").over(frame(near))).withColumn("running_std", F.stddev_pop("value").over(frame(near)))
-    return out.withColumn("_anchor", F.col("idx") - F.col("idx") % step).join(anchors, [BY, "_anchor"]).drop("_anchor", "_slope", "_quiet", "_held")
+    names = ("slope_sum", "baseline", "running_mean", "running_std")
+    halo = window // 2 + near + average + 1
+    return chunks.map_chunks(samples, lambda idx, x: rolling.slopesum_baseline(idx, x, window, step, average, near, percentile, augmented), names, _steps(length, step), halo)
 
 
 def local_extrema_flags(samples: DataFrame) -> DataFrame:
