@@ -7,6 +7,7 @@ the prices and quantities of its suppliers' line items, and another one its cust
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ FS = {"eit": 20.0, "emg": 10.0, "ventilator": 5.0}
 #: No two recordings have samples at equal distances from one of another, so nearest ones are no matter of rounding.
 STARTS = {"eit": 0.0, "emg": 1.537, "ventilator": -0.771}
 TOLERANCE = 0.5
+PAIRS = (("eit", "emg"), ("emg", "ventilator"))
 #: Line numbers repeat within an order.
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
@@ -94,19 +96,20 @@ def session_files_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = recordings.read_frames(spark, paths["eit"])
     raw = {"eit": pixels.global_impedance(frames), "emg": recordings.read_poly5(spark, paths["emg"], channels=["EMGdi"]), "ventilator": recordings.read_poly5(spark, paths["ventilator"])}
     heads = {"eit": recordings.frame_files(spark, paths["eit"]), "emg": recordings.poly5_channels(spark, paths["emg"]), "ventilator": recordings.poly5_channels(spark, paths["ventilator"])}
-    dimension = None
-    for modality, about in heads.items():
-        rows = clocks.clock_rows(about, modality, written_as())
-        dimension = rows if dimension is None else dimension.unionByName(rows)
+    dimension = reduce(DataFrame.unionByName, [clocks.clock_rows(about, modality, written_as()) for modality, about in heads.items()])
     dimension = materialize(clocks.moved(dimension, STARTS), "clocks")
     # each side of a match is read four times, files once
     placed = {m: materialize(clocks.on_shared_clock(_peaks(x, FS[m]), dimension.where(F.col("modality") == m), ("t",)).select(F.col("session_id").cast("long").alias("recording_id"), "t"), "peaks") for m, x in raw.items()}
-    out = None
-    for left, right in (("eit", "emg"), ("emg", "ventilator")):
-        pairs = linking.mutual_nearest(placed[left], placed[right], TOLERANCE)
-        rows = pairs.select(F.col("recording_id").alias("session_id"), F.lit(left).alias("left_modality"), F.lit(right).alias("right_modality"), F.round("left_t", 6).alias("left_t"), F.round("right_t", 6).alias("right_t"), F.round("confidence", 6).alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # both pairs of modalities are matched at once, under keys of their own
+    left, right = (
+        reduce(DataFrame.unionByName, [placed[pair[side]].select((F.col("recording_id") * len(PAIRS) + k).alias("recording_id"), "t") for k, pair in enumerate(PAIRS)]) for side in (0, 1)
+    )
+    pairs = linking.mutual_nearest(left, right, TOLERANCE)
+    names = [F.element_at(F.array(*[F.lit(pair[side]) for pair in PAIRS]), (F.col("recording_id") % len(PAIRS) + 1).cast("int")) for side in (0, 1)]
+    return pairs.select(
+        F.expr(f"recording_id div {len(PAIRS)}").alias("session_id"), names[0].alias("left_modality"), names[1].alias("right_modality"),
+        F.round("left_t", 6).alias("left_t"), F.round("right_t", 6).alias("right_t"), F.round("confidence", 6).alias("confidence"),
+    )
 
 
 _PRICES = f"""prices AS (
