@@ -122,8 +122,47 @@ def gate_ecg(packed: DataFrame, fs: float, width: int = 205, fill: int = 1) -> D
     return map_signals(packed, lambda x: ecg.gate(x, ecg.ecg_peaks(x, fs, band=False), width, fill))
 
 
-def subtract_ecg(packed: DataFrame, fs: float) -> DataFrame:
-    return map_signals(packed, lambda x: ecg.template_subtraction(x, fs))
+def subtract_ecg(packed: DataFrame, fs: float, strict: bool = True, **how) -> DataFrame:
+    """(recording_id, values, reason): each recording less its estimated ECG, see ``ecg.estimated_subtraction``.
+
+    A recording in which it can't be estimated fails the job, or, unless ``strict``, comes
+    back as it is with the reason.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out, reasons = [], []
+            for v in pdf["values"]:
+                x, reason = np.asarray(v, float), None
+                try:
+                    x = ecg.estimated_subtraction(x, fs, **how).cleaned
+                except ValueError as e:
+                    if strict:
+                        raise
+                    reason = str(e)
+                out.append(x)
+                reasons.append(reason)
+            yield pd.DataFrame({BY: pdf[BY], "values": out, "reason": reasons})
+
+    return packed.select(F.col(BY).cast("long").alias(BY), "values").mapInPandas(run, f"{BY} long, values array<double>, reason string")
+
+
+def ecg_complexes(packed: DataFrame, fs: float, **how) -> DataFrame:
+    """(recording_id, q_idx, r_idx, s_idx, restored): the complexes that make up each recording's template."""
+
+    def run(batches):
+        for pdf in batches:
+            for r, v in zip(pdf[BY], pdf["values"], strict=True):
+                found = ecg.estimated_subtraction(np.asarray(v, float), fs, **how)
+                over = found.detection > found.threshold
+                starts, ends = ecg.runs(over)
+                again = np.zeros(len(found.qrs), bool)
+                for k in found.restored:
+                    j = np.searchsorted(starts, k, side="right") - 1
+                    again |= (found.qrs[:, 1] >= starts[j]) & (found.qrs[:, 1] < ends[j])
+                yield pd.DataFrame({BY: r, "q_idx": found.qrs[:, 0], "r_idx": found.qrs[:, 1], "s_idx": found.qrs[:, 2], "restored": again})
+
+    return packed.select(F.col(BY).cast("long").alias(BY), "values").mapInPandas(run, f"{BY} long, q_idx long, r_idx long, s_idx long, restored boolean")
 
 
 def wavelet_denoise(packed: DataFrame, fs: float, width: int, levels: int = 4, factor: float = 4.5, hard: bool = True) -> DataFrame:

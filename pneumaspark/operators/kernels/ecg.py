@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from pneumaspark.operators.kernels import iir, peaks
@@ -43,22 +45,192 @@ def gate(x: np.ndarray, at: np.ndarray, width: int = 205, fill: int = 1) -> np.n
     return y
 
 
-def template_subtraction(x: np.ndarray, fs: float, window: float = 0.3, fewest: int = 3) -> np.ndarray:
-    """Subtract the mean normalised beat, scaled to each beat; unchanged with fewer beats than ``fewest``."""
-    beats = ecg_peaks(x, fs)
-    half = int(round(window * fs / 2))
-    whole = [p for p in beats if p - half >= 0 and p + half < len(x)]
-    if len(whole) < fewest:
-        return np.asarray(x, float).copy()
-    cut = np.stack([x[p - half : p + half + 1] for p in whole])
-    level, scale = cut.mean(axis=1, keepdims=True), np.ptp(cut, axis=1)
-    good = scale >= 0.25 * np.median(scale)
-    template = ((cut - level) / np.where(scale > 0, scale, 1)[:, None])[good].mean(axis=0)
-    model, count = np.zeros(len(x)), np.zeros(len(x))
-    for p, s in zip(np.array(whole)[good], scale[good], strict=True):
-        model[p - half : p + half + 1] += template * s
-        count[p - half : p + half + 1] += 1
-    return x - model / np.maximum(count, 1)
+# ---- estimated ECG subtraction
+
+
+@dataclass(frozen=True)
+class Subtraction:
+    """What a subtraction found; places are indices of the signal, ``qrs`` has Q, R and S of each beat of the template."""
+
+    cleaned: np.ndarray
+    estimate: np.ndarray
+    detection: np.ndarray
+    threshold: np.ndarray
+    candidates: np.ndarray
+    peaks: np.ndarray
+    rejected: np.ndarray
+    restored: np.ndarray
+    qrs: np.ndarray
+    template: np.ndarray
+
+
+#: Beats whose Q-R or R-S scale is below this share of the median scale aren't averaged: their Q or S lies wrong.
+LEAST_SCALE = 0.25
+
+
+def smooth(x: np.ndarray, width: int) -> np.ndarray:
+    """Centred mean over an odd width, at most the signal's; ends are repeated."""
+    width += 1 - width % 2
+    if width > len(x):
+        width = (len(x) - 1) // 2 * 2 + 1
+    return np.convolve(np.pad(x, width // 2, mode="edge"), np.full(width, 1 / width), "valid")
+
+
+def midrange(x: np.ndarray, interval: int, smoothing: int) -> np.ndarray:
+    """A threshold that follows the signal: the middle between least and greatest of each interval, on lines between the intervals' centres."""
+    starts = np.arange(0, len(x), interval)
+    ends = np.minimum(starts + interval, len(x))
+    middle = (np.minimum.reduceat(x, starts) + np.maximum.reduceat(x, starts)) / 2
+    return smooth(np.interp(np.arange(len(x)), (starts + ends - 1) / 2, middle), smoothing)
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the stretches where the mask holds."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def run_tops(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The first place of the greatest value of each run: of all places sorted by run and falling value, each run's first."""
+    starts, ends = runs(mask)
+    on = np.flatnonzero(mask)
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    order = np.lexsort((on, -x[on], run))
+    first = np.concatenate(([True], run[order][1:] != run[order][:-1])) if len(on) else np.empty(0, bool)
+    return on[order][first]
+
+
+def steady_beats(tops: np.ndarray, strength: np.ndarray, threshold: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(peaks, rejected, restored): of two beats too close, the stronger stays; a beat that is missing is looked for where it is expected.
+
+    Too close is under 1 - tolerance of the median interval, missing over 1 + tolerance of it, counted anew.
+    """
+    tops = np.unique(tops)
+    period = float(np.median(np.diff(tops)))
+    least = max(1.0, (1 - tolerance) * period)
+    kept = tops[:1].tolist()
+    for place in tops[1:].tolist():
+        if place - kept[-1] >= least:
+            kept.append(place)
+        elif strength[place] > strength[kept[-1]]:
+            kept[-1] = place
+    rejected = np.setdiff1d(tops, kept)
+    if len(kept) > 1:
+        period = float(np.median(np.diff(kept)))
+    found: list[int] = []
+
+    def expected(place: int, before: int) -> int | None:
+        """The strongest place over the threshold around a period after ``place``, before the next beat."""
+        a = max(place + 1, round(place + period - tolerance * period))
+        b = min(before, round(place + period + tolerance * period) + 1)
+        over = a + np.flatnonzero(strength[a:b] > threshold[a:b]) if b > a else np.empty(0, int)
+        return int(over[np.argmax(strength[over])]) if len(over) else None
+
+    for place, following in zip(kept[:-1], kept[1:], strict=True):
+        while following - place > (1 + tolerance) * period:
+            place = expected(place, following)
+            if place is None:
+                break
+            found.append(place)
+    return np.array(sorted([*kept, *found])), rejected, np.array(found, int)
+
+
+def qrs_complexes(x: np.ndarray, peaks: np.ndarray, over: np.ndarray, half: int) -> np.ndarray:
+    """(Q, R, S) rows: the top of each peak's run over the threshold, strictly inside it, and the lows on both sides; whole windows only."""
+    starts, ends = runs(over)
+    rows = []
+    for k in np.searchsorted(starts, peaks, side="right") - 1:
+        a, b = int(starts[k]), int(ends[k])
+        r = a + int(np.argmax(x[a:b]))
+        if b - a < 3 or not a < r < b - 1 or r - half < 0 or r + half + 1 > len(x):
+            continue
+        rows.append((a + int(np.argmin(x[a:r])), r, r + 1 + int(np.argmin(x[r + 1 : b]))))
+    qrs = np.array(rows, int).reshape(-1, 3)
+    q, r, s = x[qrs].T if len(qrs) else np.empty((3, 0))
+    tiny = np.finfo(float).eps
+    qrs = qrs[(r - q > tiny) & (r - s > tiny)]
+    if not len(qrs):
+        return qrs
+    q, r, s = x[qrs].T
+    return qrs[(r - q >= LEAST_SCALE * np.median(r - q)) & (r - s >= LEAST_SCALE * np.median(r - s))]
+
+
+def estimate_ecg(x: np.ndarray, qrs: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate, template): the mean beat, scaled from Q to R before its top and from S to R after it, put back at each beat; overlaps are averaged."""
+    level = x[qrs]
+    around = qrs[:, 1:2] + np.arange(-half, half + 1)
+    after = np.arange(-half, half + 1) >= 0
+    foot = np.where(after, level[:, 2:], level[:, :1])
+    scale = level[:, 1:2] - foot
+    template = ((x[around] - foot) / scale).mean(axis=0)
+    total, count = np.zeros(len(x)), np.zeros(len(x))
+    np.add.at(total, around, template * scale + foot)
+    np.add.at(count, around, 1)
+    return np.divide(total, count, out=np.zeros(len(x)), where=count > 0), template
+
+
+def estimated_subtraction(
+    x: np.ndarray,
+    fs: float,
+    band: tuple[float, float] = (4.0, 50.0),
+    order: int = 4,
+    smoothing: float = 0.0167,
+    interval: float = 0.5,
+    threshold_smoothing: float = 0.0125,
+    window: float = 0.3,
+    tolerance: float = 0.66,
+    fewest: int = 3,
+    shortest: float | None = 0.25,
+    longest: float | None = 2.0,
+    output_band: tuple[float, float] | None = None,
+    output_stage: str = "after_subtraction",
+    output_order: int = 4,
+) -> Subtraction:
+    """Estimate the repeating ECG in a muscle signal and subtract it; times in seconds.
+
+    Beats are the tops of the rectified, smoothed band where it exceeds ``midrange``; their period is made steady, their
+    complexes averaged (``estimate_ecg``).  ``output_band`` filters the signal before, or the result
+    after the subtraction.  Raises ValueError with fewer than ``fewest`` beats or complexes, for a median interval of complexes
+    outside ``shortest`` to ``longest``, and for settings that make no sense.
+    """
+    x = np.asarray(x, float)
+    if x.ndim != 1 or len(x) < 3 or not np.all(np.isfinite(x)) or np.ptp(x) <= np.finfo(float).eps:
+        raise ValueError("a signal of three finite samples or more, not all alike, is needed")
+    for name, pair in (("band", band), ("output_band", output_band)):
+        if pair is not None and not 0 < pair[0] < pair[1] < fs / 2:
+            raise ValueError(f"{name} must rise and lie between 0 and half the sampling rate")
+    if not 0 <= tolerance < 1 or min(smoothing, interval, threshold_smoothing, window, fs) <= 0 or fewest < 1 or min(order, output_order) < 1:
+        raise ValueError("times, orders and counts must be positive, the tolerance from 0 to below 1")
+    if output_stage not in ("before_subtraction", "after_subtraction"):
+        raise ValueError(f"unknown output stage {output_stage!r}")
+    if min(shortest or 1, longest or 1) <= 0 or (shortest and longest and shortest >= longest):
+        raise ValueError("the shortest interval must be positive and below the longest")
+
+    def n(seconds: float) -> int:
+        return max(1, round(seconds * fs))
+
+    detection = smooth(np.abs(iir.zero_phase(iir.butterworth(order, band, fs, "bandpass"), x)), n(smoothing)) / np.ptp(x)
+    threshold = midrange(detection, n(interval), n(threshold_smoothing))
+    over = detection > threshold
+    candidates = run_tops(detection, over)
+    if len(candidates) < max(fewest, 2):
+        raise ValueError(f"{len(candidates)} beats were found; {fewest} are needed")
+    peaks_, rejected, restored = steady_beats(candidates, detection, threshold, tolerance)
+    half = n(window) // 2
+    qrs = qrs_complexes(x, peaks_, over, half)
+    if len(qrs) < fewest:
+        raise ValueError(f"{len(qrs)} whole QRS complexes were found; {fewest} are needed")
+    if len(qrs) > 1:
+        seconds = float(np.median(np.diff(qrs[:, 1]))) / fs
+        if (shortest is not None and seconds < shortest) or (longest is not None and seconds > longest):
+            raise ValueError(f"a median interval of {seconds:.3f} s between beats isn't plausible")
+    estimate, template = estimate_ecg(x, qrs, half)
+    out = None if output_band is None else iir.butterworth(output_order, output_band, fs, "bandpass")
+    if out is not None and output_stage == "before_subtraction":
+        cleaned = iir.zero_phase(out, x) - estimate
+    else:
+        cleaned = x - estimate if out is None else iir.zero_phase(out, x - estimate)
+    return Subtraction(cleaned, estimate, detection, threshold, candidates, peaks_, rejected, restored, qrs, template)
 
 
 DB2 = np.array([1 + np.sqrt(3), 3 + np.sqrt(3), 3 - np.sqrt(3), 1 - np.sqrt(3)]) / (4 * np.sqrt(2))

@@ -710,7 +710,24 @@ register("harmonic_notch_filter")(lambda s, d: summary(filters.harmonic_notch(pa
 register("mdn_filter")(lambda s, d: summary(filters.multiple_digital_notch(packed(s, d), 0.25, 1.2, 10.0)))
 register("power_loss")(lambda s, d: filters.power_loss(packed(s, d), 1.0, "lowpass", 0.1).select("recording_id", F.round("loss", 4).alias("loss")))
 register("detect_rates")(lambda s, d: filters.detect_rates(packed(s, d), 10.0).select("recording_id", r6("respiratory_hz", "respiratory_hz"), r6("heart_hz", "heart_hz")))
-register("ecg_template_subtraction")(lambda s, d: summary(filters.subtract_ecg(packed(s, d), 10.0)))
+#: A heart beat of seven samples, which recurs every 160.
+BEAT = (-0.1, -0.4, 1.0, 3.0, 0.8, -0.6, -0.1)
+
+
+def beating(spark: SparkSession, d: str) -> DataFrame:
+    """A recording for each region: prices as the muscle's noise, and a beat every 0.8 s at 200 Hz."""
+    beat = F.array(*[F.lit(x) for x in BEAT])
+    prices = bindings.region_prices(spark, d)
+    return prices.withColumn("value", F.col("value") / 1e6 + F.coalesce(F.get(beat, (F.col("idx") % 160 - 40).cast("int")), F.lit(0.0)))
+
+
+register("ecg_template_subtraction")(lambda s, d: summary(filters.subtract_ecg(bindings.pack(beating(s, d)), 200.0, strict=False)))
+register(
+    "ecg_complexes",
+    """SELECT r_regionkey AS recording_id, count(*) AS n FROM (
+  SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) t,
+unnest(range(43, n, 160)) AS u(r) WHERE r >= 30 AND r + 31 <= n GROUP BY 1""",
+)(lambda s, d: filters.ecg_complexes(bindings.pack(beating(s, d)), 200.0).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")))
 for _fill in range(4):
     register(f"ecg_gating_{_fill}")(lambda s, d, f=_fill: summary(filters.gate_ecg(packed(s, d), 10.0, 6, f)))
 register("wavelet_denoise")(lambda s, d: summary(filters.wavelet_denoise(packed(s, d), 10.0, 6)))

@@ -34,6 +34,15 @@ def price_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("recording_id", "idx", F.col("idx").cast("double").alias("t"), "value")
 
 
+def region_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long recording for each region of the suppliers: its line items' prices."""
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("recording_id"))
+    w = Window.partitionBy("recording_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").join(nation, "n_nationkey")
+    return li.select("recording_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("l_extendedprice").alias("value"))
+
+
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 8 x 8 pixels: a recording for each label, in the order of vec_id."""
     w = Window.partitionBy("label").orderBy("vec_id")

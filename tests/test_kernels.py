@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pneumaspark.operators import filters
 from pneumaspark.operators.kernels import ecg, iir, peaks, spectrum
 from pneumaspark.operators.pixels import label_regions, watershed
 from pneumaspark.operators.windows import student_t
@@ -173,10 +174,109 @@ def test_gating_fills():
     assert ecg.gate(np.ones(20), np.array([10]), 4, 3)[9] == pytest.approx(1)
 
 
-def test_template_subtraction_removes_beats():
-    t = np.arange(0, 10, 1 / 500)
-    beat = sum(np.exp(-(((t - c) / 0.01) ** 2)) for c in np.arange(0.5, 10, 0.8))
-    assert np.abs(ecg.template_subtraction(beat, 500.0))[400:-400].max() < 0.2
+def test_threshold_follows_the_midranges():
+    x = np.array([0.0, 2, 4, 6, 8, 10])
+    assert ecg.midrange(x, 3, 1).tolist() == [2, 2, 4, 6, 8, 8]  # 2 at place 1, 8 at place 4
+    assert np.allclose(ecg.midrange(x, 3, 2), [2, 8 / 3, 4, 6, 22 / 3, 8])
+    assert ecg.midrange(x[:4], 3, 1).tolist() == [2, 2, 4, 6]  # the last interval is the one sample 6, at place 3
+    assert np.allclose(ecg.smooth(np.array([1.0, 2, 6]), 99), [4 / 3, 3, 14 / 3])  # an odd width within the signal
+
+
+def test_runs_and_their_tops():
+    x = np.array([3.0, 1, 2, 2, 0, 5, 4, 9])
+    over = np.array([1, 0, 1, 1, 0, 1, 1, 1], bool)
+    assert [a.tolist() for a in ecg.runs(over)] == [[0, 2, 5], [1, 4, 8]]
+    assert ecg.run_tops(x, over).tolist() == [0, 2, 7]
+    assert ecg.run_tops(x, np.zeros(8, bool)).tolist() == []
+
+
+def test_beats_are_made_steady():
+    strength = np.zeros(500)
+    strength[[0, 100, 120, 200, 400]] = 5, 5, 4, 5, 5
+    strength[[250, 300, 380]] = 2, 3, 9  # 380 lies beyond 366, where the next beat is expected at the latest
+    peaks_, rejected, restored = ecg.steady_beats(np.array([0, 100, 120, 200, 400]), strength, np.full(500, 1.0), 0.66)
+    assert peaks_.tolist() == [0, 100, 200, 300, 400] and rejected.tolist() == [120] and restored.tolist() == [300]
+    strength[120] = 6  # of two beats too close, the stronger stays
+    # the median interval is then 120, so the next beat may come until 399
+    peaks_, rejected, restored = ecg.steady_beats(np.array([0, 100, 120, 200, 400]), strength, np.full(500, 4.5), 0.66)
+    assert peaks_.tolist() == [0, 120, 200, 380, 400] and rejected.tolist() == [100] and restored.tolist() == [380]
+    assert ecg.steady_beats(np.array([0, 100, 200, 400]), strength, np.full(500, 99.0), 0.66)[2].tolist() == []
+
+
+#: A complex from five samples before R to five after, with Q two before and S two after.
+COMPLEX = np.array([0, 0.1, 0, -1, 2, 9, 3, -2, -0.5, 0.2, 0])
+
+
+def beats(n=3940, period=100, scale=lambda k: 1.0):
+    """A beat in each interval of the threshold, which is then the same for all; the first and the last have no whole window."""
+    x = np.zeros(n)
+    for k, r in enumerate(range(20, n, period)):
+        x[r - 5 : r + 6] += scale(k) * COMPLEX
+    return x
+
+
+def test_equal_beats_are_taken_away_whole():
+    x = beats()
+    found = ecg.estimated_subtraction(x, 200.0)
+    r = np.arange(120, 3900, 100)
+    assert found.qrs[:, 1].tolist() == r.tolist() and len(found.template) == 61
+    (before,), (after,) = np.unique(found.qrs[:, 0] - r), np.unique(found.qrs[:, 2] - r)
+    assert before in (-2, -1) and after in (1, 2)
+    q, s = COMPLEX[5 + before], COMPLEX[5 + after]
+    assert np.allclose(found.template[25:30], (COMPLEX[:5] - q) / (9 - q)) and np.allclose(found.template[30:36], (COMPLEX[5:] - s) / (9 - s))
+    inside = slice(60, 3820)
+    assert np.abs(found.cleaned[inside]).max() < 1e-9 and np.allclose(found.estimate[inside], x[inside], atol=1e-9)
+    assert np.array_equal(found.cleaned[:60], x[:60])
+
+
+def test_noise_stays_between_beats():
+    rng = np.random.default_rng(4)
+    noise = 0.01 * rng.standard_normal(3940)
+    x = beats() + noise
+    found = ecg.estimated_subtraction(x, 200.0)
+    assert len(found.qrs) == 38 and np.std(found.cleaned[60:3820]) < 0.5 * np.std(x)
+    away = np.ones(3940, bool)
+    for k in found.qrs[:, 1]:
+        away[k - 30 : k + 31] = False
+    assert np.array_equal(found.cleaned[away], x[away])  # nothing is touched between the beats
+
+
+def test_output_band_before_or_after():
+    x = beats() + 0.1 * np.sin(np.arange(3940) / 3)
+    plain = ecg.estimated_subtraction(x, 200.0)
+    sections = iir.butterworth(4, (10.0, 40.0), 200.0, "bandpass")
+    before = ecg.estimated_subtraction(x, 200.0, output_band=(10.0, 40.0), output_stage="before_subtraction")
+    after = ecg.estimated_subtraction(x, 200.0, output_band=(10.0, 40.0))
+    assert np.allclose(before.cleaned, iir.zero_phase(sections, x) - plain.estimate) and np.allclose(after.cleaned, iir.zero_phase(sections, plain.cleaned))
+
+
+@pytest.mark.parametrize(
+    ("x", "how", "says"),
+    [
+        (np.zeros(500), {}, "not all alike"),
+        (np.r_[beats(), np.nan], {}, "finite"),
+        (beats(), {"band": (4.0, 150.0)}, "half the sampling rate"),
+        (beats(), {"tolerance": 1.0}, "tolerance"),
+        (beats(), {"fewest": 40}, "are needed"),
+        (beats(), {"longest": 0.4}, "isn't plausible"),
+        (beats(), {"shortest": 0.9}, "isn't plausible"),
+        (beats(), {"shortest": 3.0}, "below the longest"),
+        (beats(), {"output_band": (1.0, 9.0), "output_stage": "now"}, "stage"),
+    ],
+)
+def test_what_cannot_be_estimated(x, how, says):
+    with pytest.raises(ValueError, match=says):
+        ecg.estimated_subtraction(x, 200.0, **how)
+
+
+def test_subtraction_in_spark_tells_why_not(spark):
+    packed = spark.createDataFrame([(1, beats().tolist()), (2, [0.0] * 100)], "recording_id long, values array<double>")
+    got = {r.recording_id: r for r in filters.subtract_ecg(packed, 200.0, strict=False).collect()}
+    assert got[1].reason is None and max(map(abs, got[1]["values"][60:3820])) < 1e-9 and "alike" in got[2].reason and got[2]["values"] == [0.0] * 100
+    with pytest.raises(Exception, match="alike"):
+        filters.subtract_ecg(packed, 200.0).collect()
+    rows = filters.ecg_complexes(packed.where("recording_id = 1"), 200.0).collect()
+    assert [(r.r_idx, r.restored) for r in rows] == [(k, False) for k in range(120, 3900, 100)]
 
 
 def test_wavelet_rebuilds():
