@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,38 @@ def on_shared_clock(events: DataFrame, clocks: DataFrame, columns: Sequence[str]
     return placed.withColumns({c: F.col(c) + F.coalesce("_start", F.lit(0.0)) for c in there}).drop("_recording", "_start")
 
 
+def estimate_offsets(reference: DataFrame, other: DataFrame, window: tuple[float, float], reference_fs: float, other_fs: float, by: str = SESSION, margin: float = 20.0, search: float = 30.0, **how) -> DataFrame:
+    """(session_id, offset, correlation, reason): where each session's other recording begins on the reference's clock.
+
+    Both sides are (session_id, idx, value) of one quantity, such as airway pressure; see ``offset.clock_offset``.
+    What can't matter for the window is pruned before sessions are grouped, so a group holds the
+    window, the margins and the search, whatever the recordings' lengths.  A session without an estimate has the reason.
+    """
+    from pneumaspark.operators.kernels import offset
+
+    first = max(0, int((window[0] - margin) * reference_fs) - int(reference_fs))
+    near = reference.where((F.col("idx") >= first) & (F.col("idx") <= int((window[1] + margin + 1) * reference_fs)))
+    # beyond this its samples fall behind the margin for every offset that is searched
+    pruned = other.where(F.col("idx") <= int((window[1] + margin + search + 1) * other_fs))
+    kind = reference.schema[by].dataType.simpleString()
+
+    def estimate(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found, r, reason = None, None, None
+        try:
+            if not len(a) or not len(b):
+                raise ValueError("one of the recordings isn't there")
+            a, b = a.sort_values("idx"), b.sort_values("idx")
+            x, y = a["value"].to_numpy(float), b["value"].to_numpy(float)
+            found, r = offset.clock_offset(x, reference_fs, y, other_fs, window, float(a["idx"].iloc[0]) / reference_fs, margin=margin, search=search, **how)
+        except ValueError as e:
+            reason = str(e)
+        return pd.DataFrame({by: [key[0]], "offset": [found], "correlation": [r], "reason": [reason]})
+
+    # the second side's key has a name of its own, as both may come from one table
+    sides = [x.select(F.col(by).alias(name), F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")) for name, x in ((by, near), ("_other", pruned))]
+    return sides[0].groupBy(by).cogroup(sides[1].groupBy("_other")).applyInPandas(estimate, f"{by} {kind}, offset double, correlation double, reason string")
+
+
 def session_breaths(lists: Mapping[str, DataFrame], clocks: DataFrame) -> DataFrame:
     """Breaths of all modalities as rows (session_id, recording_id, modality, event_id, t, start_time, extremum_time, end_time) on the shared clock.
 

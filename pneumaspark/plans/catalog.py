@@ -735,9 +735,9 @@ register("wavelet_denoise")(lambda s, d: summary(filters.wavelet_denoise(packed(
 
 def _more() -> list:
     """Modules of queries that build on this one."""
-    from pneumaspark.plans import file_queries, workflow_queries
+    from pneumaspark.plans import file_queries, long_queries, workflow_queries
 
-    return [workflow_queries, file_queries]
+    return [workflow_queries, file_queries, long_queries]
 
 
 def queries() -> dict[str, Query]:
