@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pneumaspark.operators.kernels import iir
 
@@ -99,6 +99,33 @@ def map_chunks(samples: DataFrame, kernel: Kernel, names: tuple[str, ...], lengt
     return placed.mapInArrow(run, made_of)
 
 
+def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], length: int = 4096, halo: int = 0) -> DataFrame:
+    """Frames with the pixels that ``kernel(frame_idx, grid)`` gives, chunk by chunk; a missing pixel is null, and NaN for the kernel.
+
+    A chunk's frames have the same number of pixels; ``grid`` is (frame, pixel).
+    """
+    kept = frames.drop("pixels").columns
+    made_of = StructType([*frames.drop("pixels").schema.fields, StructField("pixels", ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(made_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, (BY, CHUNK)):
+            own = table[OWN].to_numpy()
+            if not own.any():
+                continue
+            flat = table["_grid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            if len(flat) % table.num_rows:
+                raise ValueError("frames of one recording differ in their number of pixels")
+            grid = np.asarray(kernel(table["idx"].to_numpy(), flat.reshape(table.num_rows, -1)), float)[own]
+            offsets = np.arange(0, grid.size + 1, grid.shape[1], dtype=np.int32) if grid.shape[1] else np.zeros(len(grid) + 1, np.int32)
+            rows = table.filter(pa.array(own)).select(kept).append_column("pixels", pa.ListArray.from_arrays(offsets, pa.array(grid.ravel(), from_pandas=True)))
+            yield from rows.cast(arrow).to_batches(1 << 10)
+
+    wide = spread(frames.withColumns({"idx": F.col("frame_idx"), "_grid": F.col("pixels").cast("array<double>")}), length, halo)
+    placed = wide.select(*kept, *([] if "idx" in kept else ["idx"]), "_grid", CHUNK, OWN).repartition(BY, CHUNK).sortWithinPartitions(BY, CHUNK, "frame_idx")
+    return placed.mapInArrow(run, made_of).select(*frames.columns)
+
+
 def in_chunks(samples: DataFrame, operator: Callable[[DataFrame], DataFrame], length: int = LENGTH, halo: int = 0) -> DataFrame:
     """A window operator that goes by recording_id, run by chunk: ``operator`` must keep rows and look no further than the halo."""
     kind = samples.schema[BY].dataType

@@ -138,17 +138,22 @@ def run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y
 
 
+def edge(sections: np.ndarray) -> int:
+    """Samples by which a signal is extended at both ends; it has to have more."""
+    return int(3 * (2 * len(sections) + 1 - min((sections[:, 2] == 0).sum(), (sections[:, 4] == 0).sum())))
+
+
 def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward over the signal extended by odd reflection at both ends."""
     x = np.asarray(x, float)
     if not np.all(np.isfinite(x)):
         raise ValueError("the signal has missing values")
-    edge = 3 * (2 * len(sections) + 1 - min((sections[:, 2] == 0).sum(), (sections[:, 4] == 0).sum()))
-    if len(x) <= edge:
-        raise ValueError(f"the signal needs more than {edge} samples")
-    padded = np.concatenate([2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]])
+    n = edge(sections)
+    if len(x) <= n:
+        raise ValueError(f"the signal needs more than {n} samples")
+    padded = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]])
     y = run(sections, run(sections, padded)[::-1])[::-1]
-    return y[edge:-edge]
+    return y[n:-n]
 
 
 def harmonic_notch(x: np.ndarray, base: float, fs: float, top: float | None = None, distance: float | None = None, order: int = 4, quality: float = 30.0) -> np.ndarray:

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pneumaspark.operators import chunks
+from pneumaspark.operators.kernels import gaps, iir
+
 BY = "recording_id"
 
 
@@ -154,3 +157,27 @@ def watershed_lungspace(amplitude: DataFrame, tiv: DataFrame, threshold: float =
         return pd.DataFrame({BY: pdf[BY], "pixel": pdf["pixel"], "included": good[labels] & (a >= threshold * a.max())})
 
     return both.groupBy(BY).applyInPandas(keep, f"{BY} long, pixel int, included boolean")
+
+
+def partly_missing(frames: DataFrame) -> DataFrame:
+    """(recording_id, pixel, n_missing, n_frames) of pixels that are missing in some of a recording's frames, but not in all."""
+    z = frames.select("recording_id", F.posexplode(F.col("pixels").cast("array<double>")).alias("pixel", "z"))
+    gone = F.col("z").isNull() | F.isnan("z")
+    counts = z.groupBy("recording_id", "pixel").agg(F.count_if(gone).alias("n_missing"), F.count(F.lit(1)).alias("n_frames"))
+    return counts.where("n_missing > 0 AND n_missing < n_frames")
+
+
+def filter_preserving_gaps(frames: DataFrame, kind: str, cutoff: float | tuple[float, float], fs: float, order: int = 4, strict: bool = True, keep_short: bool = False, length: int = 4096) -> DataFrame:
+    """Frames with each pixel filtered forward and backward where it was measured; what wasn't stays missing.
+
+    A filter can't span a gap.  ``strict``: a pixel that is missing in part of a recording is an error, as it would have to be
+    repaired first.  Otherwise each run of measured frames is filtered by itself, and runs too short for it
+    become missing, or stay unfiltered if ``keep_short``.  Long recordings are filtered in chunks.
+    """
+    if strict:
+        found = partly_missing(frames).limit(5).collect()
+        if found:
+            raise ValueError(f"pixels are missing in part of a recording, such as {[(r.recording_id, r.pixel) for r in found]}; repair or drop them first")
+    sections = iir.butterworth(order, cutoff, fs, kind)
+    least = iir.edge(sections) + 1
+    return chunks.map_frames(frames, lambda idx, grid: gaps.filter_runs(grid, lambda x: iir.zero_phase(sections, x), least, keep_short), length, chunks.settled(sections))
