@@ -2,7 +2,8 @@
 
 Only DataFrame functions run here.  A line's tokens are what single spaces
 separate once its ends are trimmed; a token with a digit is a variable field and
-becomes ``<*>``.  The tree sends a line down by its token count and its first
+becomes ``<*>``, if another token of the line has a letter: a row of numbers or a rule of
+dashes is no template of anything but itself.  The tree sends a line down by its token count and its first
 ``DEPTH`` tokens to a leaf.  Within a leaf, a position is constant if one token
 stands there in more than half of the leaf's distinct lines; other positions are
 variable fields.  A line belongs to its leaf's template if it agrees with the
@@ -40,6 +41,8 @@ MIN_DOCS = 3
 #: Lines of so many tokens go from the second document on, since chance doesn't repeat them.
 LONG_LINE = 10
 VARIABLE = "<*>"
+#: A token with a digit, and what a constant token has to have.
+FIELD, LETTER = "[^ ]*[0-9][^ ]*", r"\p{L}"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -48,19 +51,24 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
+def fieldless(line: Column) -> Column:
+    """Whether a trimmed line has no constant token with a letter, as rows of numbers and rules of dashes have none."""
+    return F.when(line.rlike("[0-9]"), ~F.regexp_replace(line, FIELD, "").rlike(LETTER)).otherwise(~line.rlike(LETTER))
+
+
 def masked(line: Column) -> Column:
-    """The line with its variable fields generalised."""
+    """The line with its variable fields generalised; a line without a constant token stays as it is."""
     line = trimmed(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(line)
+    return F.when(line.rlike("[0-9]") & ~fieldless(line), F.regexp_replace(line, FIELD, VARIABLE)).otherwise(line)
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, at, masked, line, n_tokens, leaf): every line with a word, and its leaf."""
+    """(key, doc_id, at, masked, line, n_tokens, leaf): every line with a word, and its leaf; a line without a constant token has a leaf of its own."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     lines = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("at", "raw"))
     lines = lines.select("doc_id", "key", "at", masked(F.col("raw")).alias("masked")).where("masked != ''")
     n_tokens = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
-    head = F.substring_index(F.col("masked"), " ", DEPTH)
+    head = F.when(fieldless(F.col("masked")), F.col("masked")).otherwise(F.substring_index(F.col("masked"), " ", DEPTH))
     return lines.select("doc_id", "key", "at", "masked", F.xxhash64("masked").alias("line"), n_tokens.alias("n_tokens"), F.xxhash64(head, n_tokens).alias("leaf"))
 
 

@@ -23,13 +23,14 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 _TRIM = "trim(x, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13)))"
-_MASK = f"CASE WHEN regexp_matches({_TRIM}, '[0-9]') THEN regexp_replace({_TRIM}, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE {_TRIM} END"
+_BARE = "NOT regexp_matches(regexp_replace({x}, '[^ ]*[0-9][^ ]*', '', 'g'), '\\p{{L}}')"
+_MASK = f"CASE WHEN regexp_matches({_TRIM}, '[0-9]') AND NOT ({_BARE.format(x=_TRIM)}) THEN regexp_replace({_TRIM}, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE {_TRIM} END"
 
 LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS k FROM documents),
 l AS (SELECT r, k, doc_id, u.i AS i, string_split(text, chr(10))[u.i] AS x FROM d, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE text IS NOT NULL),
 e AS (SELECT r, k, doc_id, i, {_MASK} AS m FROM l),
-t AS (SELECT *, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:3], ' ') AS head FROM e WHERE m <> ''),
+t AS (SELECT *, len(string_split(m, ' ')) AS n, CASE WHEN {_BARE.format(x="m")} THEN m ELSE array_to_string(string_split(m, ' ')[1:3], ' ') END AS head FROM e WHERE m <> ''),
 u AS (SELECT DISTINCT m, n, head FROM t),
 g AS (SELECT *, count(*) OVER (PARTITION BY n, head) AS size FROM u WHERE n > 3),
 p AS (SELECT g.m, g.n, g.head, g.size, v.j, string_split(g.m, ' ')[v.j] AS token FROM g, unnest(range(1, g.n + 1)) AS v(j) WHERE size >= 2),

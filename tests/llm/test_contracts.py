@@ -877,13 +877,17 @@ def test_automaton_equals_regexes():
 
 
 def brute_lines(docs, depth=line_dedup.DEPTH, share=line_dedup.SIMILARITY, least=line_dedup.MIN_DOCS):
+    def bare(line):
+        return not any(c.isalpha() for x in line.split(" ") if not re.search("[0-9]", x) for c in x)
+
     def mask(line):
-        return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", line.strip(line_dedup.BLANKS))
+        line = line.strip(line_dedup.BLANKS)
+        return line if bare(line) else re.sub(r"[^ ]*[0-9][^ ]*", "<*>", line)
 
     lines = {m for _, t in docs if t is not None for x in t.split("\n") if (m := mask(x))}
     leaves = collections.defaultdict(list)
     for m in lines:
-        leaves[(m.count(" ") + 1, " ".join(m.split(" ")[:depth]))].append(m)
+        leaves[(m.count(" ") + 1, m if bare(m) else " ".join(m.split(" ")[:depth]))].append(m)
     template = {}
     for key, members in leaves.items():
         if key[0] <= depth or len(members) < 2:
@@ -952,6 +956,18 @@ def test_clashing_columns_of_line_dedup(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in got}[2] == ("own c", 5)
 
 
+def test_rows_of_numbers_stay(spark):
+    tables = ["\n".join(["a table of numbers follows"] + [f"| {d}.{k} | {d * k} | {k} |" for k in range(20)] + [f"{d} {k} {d + k} {k * k} {d} {k}" for k in range(20)]) for d in range(5)]
+    rows = [(d, t) for d, t in enumerate(tables)] + [(9, "1 2 3 4\n-----\nw1x w2y")] * 2 + [(k, "1 2 3 4\n-----\nabc1 def2") for k in (10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbers = "\n".join(tables[1].split("\n")[1:])
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept[0] == tables[0] and kept[1] == numbers and kept[4].count("\n") == 39
+    assert kept[9] == "1 2 3 4\n-----\nw1x w2y" and kept[10] == "abc1 def2" and kept[11] == "abc1 def2"  # equal rows of numbers are lines like others
+    assert {r.doc_id for r in line_dedup.strip_lines(docs).collect()} == {0, 1, 2, 3, 4, 9, 10, 11}
+    assert deduped(docs) == brute_lines(rows)
+
+
 def test_several_templates_in_a_leaf(spark):
     first = [(k, f"You are now reading {n} in our free archive") for k, n in enumerate(NAMES)]
     second = [(10 + k, f"You are now leaving the old {n} web site") for k, n in enumerate(NAMES)]
