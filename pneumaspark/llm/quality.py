@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import itertools
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
+#: Texts are measured together up to about so many bytes.
+BLOCK_BYTES = 4 << 20
 
 DDL = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -133,27 +137,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; the join is on doc_id.
-
-    Rows that share a doc_id are judged each by its own text: a rejected text is
-    dropped wherever it stands, since the join also compares the text's hash.
-    """
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-    def verdict(ids: list, texts: list) -> dict:
-        good = measure(texts)["kept"]
-        return {"doc_id": [i for i, g in zip(ids, good, strict=True) if g], "text": [t for t, g in zip(texts, good, strict=True) if g]}
-
-    if sorted(docs.columns) == ["doc_id", "text"]:
-        return map_docs(docs, verdict, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
-    kept = quality_rules_keyed(docs).where("kept").select("_id", "_key").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (key == kept["_key"]), "left_semi").select(docs.columns)
-
-
-def quality_rules_keyed(docs: DataFrame) -> DataFrame:
-    import xxhash
-
-    def judged(ids: list, texts: list) -> dict:
-        return {"_id": ids, "_key": [xxhash.xxh64_intdigest(t or b"", 42) - (1 << 64) * (xxhash.xxh64_intdigest(t or b"", 42) >> 63) for t in texts], "kept": measure(texts)["kept"]}
-
-    return map_docs(docs, judged, "_id long, _key long, kept boolean")
+    """The rows of ``docs``, all columns, that the rules keep: one pass over the rows, each judged by its own text."""
+    at = docs.columns.index("text")
+    own = docs.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            ends = np.cumsum([len(t) + 64 for t in texts.fill_null(b"").to_pylist()]) // BLOCK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    yield batch.slice(a, b - a).filter(pa.array(measure(texts.slice(a, b - a).to_pylist())["kept"], pa.bool_()))
+
+    return own.mapInArrow(run, own.schema)
