@@ -126,6 +126,26 @@ def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.
     return placed.mapInArrow(run, made_of).select(*frames.columns)
 
 
+def reduce_frames(frames: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], Mapping[str, np.ndarray]], ddl: str, length: int = 4096, halo: int = 0) -> DataFrame:
+    """Rows (recording_id, ...) that ``kernel(frame_idx, grid, own)`` gives for each chunk of frames; ``ddl`` names the columns after recording_id."""
+    made_of = StructType([frames.schema[BY], *StructType.fromDDL(ddl).fields])
+    arrow = to_arrow_schema(made_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, (BY, CHUNK)):
+            own = table[OWN].to_numpy()
+            if not own.any():
+                continue
+            flat = table["_grid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            made = kernel(table["idx"].to_numpy(), flat.reshape(table.num_rows, -1), own)
+            n = len(next(iter(made.values())))
+            columns = [pa.repeat(table[BY][0], n), *(pa.array(made[f.name], from_pandas=True) for f in made_of.fields[1:])]
+            yield from pa.table(columns, names=arrow.names).cast(arrow).to_batches(1 << 16)
+
+    own_columns = frames.select(BY, F.col("frame_idx").alias("idx"), F.col("pixels").cast("array<double>").alias("_grid"))
+    return spread(own_columns, length, halo).repartition(BY, CHUNK).sortWithinPartitions(BY, CHUNK, "idx").mapInArrow(run, made_of)
+
+
 def in_chunks(samples: DataFrame, operator: Callable[[DataFrame], DataFrame], length: int = LENGTH, halo: int = 0) -> DataFrame:
     """A window operator that goes by recording_id, run by chunk: ``operator`` must keep rows and look no further than the halo."""
     kind = samples.schema[BY].dataType
@@ -148,5 +168,11 @@ def zero_phase(samples: DataFrame, sections: np.ndarray, length: int = LENGTH) -
     return map_chunks(samples, lambda idx, x: {"value": iir.zero_phase(sections, x)}, ("value",), length, settled(sections), replace=True)
 
 
+def harmonic_notch(samples: DataFrame, base: float, fs: float, top: float | None = None, distance: float | None = None, length: int = LENGTH) -> DataFrame:
+    """Samples without the multiples of a frequency, chunk by chunk; each filter of the chain needs a halo of its own."""
+    halo = sum(settled(sections) for sections in iir.harmonics(base, fs, top, distance))
+    return map_chunks(samples, lambda idx, x: {"value": iir.harmonic_notch(x, base, fs, top, distance)}, ("value",), length, halo, replace=True)
+
+
 def butterworth(samples: DataFrame, kind: str, cutoff: float | tuple[float, float], fs: float, order: int = 4, length: int = LENGTH) -> DataFrame:
     return zero_phase(samples, iir.butterworth(order, cutoff, fs, kind), length)

@@ -156,11 +156,15 @@ def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[n:-n]
 
 
+def harmonics(base: float, fs: float, top: float | None = None, distance: float | None = None, order: int = 4, quality: float = 30.0) -> list[np.ndarray]:
+    """A notch, or a band-stop of +- distance, for every multiple of ``base`` strictly below the top and half the rate."""
+    limit = min(top or fs / 2, fs / 2)
+    places = [k * base for k in range(1, int(limit / base) + 2) if k * base < limit]
+    return [butterworth(order, (f - distance, f + distance), fs, "bandstop") if distance else notch(f, fs, quality) for f in places]
+
+
 def harmonic_notch(x: np.ndarray, base: float, fs: float, top: float | None = None, distance: float | None = None, order: int = 4, quality: float = 30.0) -> np.ndarray:
-    """Notch, or band-stop of +- distance, at every multiple of ``base`` strictly below the top and half the rate."""
-    limit, k = min(top or fs / 2, fs / 2), 1
-    while k * base < limit:
-        f = k * base
-        x = zero_phase(butterworth(order, (f - distance, f + distance), fs, "bandstop") if distance else notch(f, fs, quality), x)
-        k += 1
+    """``harmonics`` one after another."""
+    for sections in harmonics(base, fs, top, distance, order, quality):
+        x = zero_phase(sections, x)
     return x

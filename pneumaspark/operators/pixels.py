@@ -69,23 +69,74 @@ def pixel_amplitude(frames: DataFrame, breaths: DataFrame) -> DataFrame:
     return z.groupBy(BY, "breath_no", "pixel").agg((F.max("z") - F.min("z")).alias("amplitude"))
 
 
-def pixel_breaths(frames: DataFrame, breaths: DataFrame) -> DataFrame:
+_SUMS = ("n", "a", "aa", "b", "bb", "ab")
+
+
+def pixel_lags(frames: DataFrame, most: int, length: int = 4096) -> DataFrame:
+    """(recording_id, pixel, lag, correlation): by how many frames each pixel comes after the sum of all, ``most`` either way.
+
+    The lag at which the pixel is most alike, over all frames that have both; of equal ones the
+    least, the earlier first.  Sums of products are taken chunk by chunk and added, so a recording is never in one place.
+    A pixel that never changes has no lag.
+    """
+    lags = np.arange(-most, most + 1)
+
+    def kernel(idx: np.ndarray, grid: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
+        total, at = np.nansum(grid, axis=1), np.flatnonzero(own)
+        out = {name: [] for name in _SUMS}
+        for lag in lags:
+            there = at[(at + lag >= 0) & (at + lag < len(grid))]
+            z = grid[there + lag]
+            known = np.isfinite(z)
+            z, g = np.where(known, z, 0.0), np.where(known, total[there][:, None], 0.0)
+            for name, v in zip(_SUMS, (known, g, g * g, z, z * z, g * z), strict=True):
+                out[name].append(v.sum(axis=0, dtype=float))
+        made = {name: np.concatenate(v) for name, v in out.items()}
+        return made | {"pixel": np.tile(np.arange(grid.shape[1], dtype=np.int32), len(lags)), "lag": np.repeat(lags.astype(np.int32), grid.shape[1])}
+
+    parts = chunks.reduce_frames(frames, kernel, "pixel int, lag int, " + ", ".join(f"{name} double" for name in _SUMS), length, most)
+    s = parts.groupBy(BY, "pixel", "lag").agg(*[F.sum(name).alias(name) for name in _SUMS])
+    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    r = (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb)
+    good = s.where("n > 1").withColumns({"va": va, "vb": vb, "r": r}).where("va > 1e-12 * aa AND vb > 1e-12 * bb")
+    best = good.groupBy(BY, "pixel").agg(F.max(F.struct("r", (-F.abs("lag")).alias("near"), (-F.col("lag")).alias("early"))).alias("m"))
+    return best.select(BY, "pixel", (-F.col("m.early")).cast("int").alias("lag"), F.col("m.r").alias("correlation"))
+
+
+PHASES = ("negative amplitude", "phase shift", "none")
+
+
+def pixel_breaths(frames: DataFrame, breaths: DataFrame, phase: str | None = "negative amplitude", lags: DataFrame | None = None, most: int = 20) -> DataFrame:
     """(recording_id, breath_no, pixel, start_idx, middle_idx, end_idx) within each global breath (our definition).
 
-    The middle is the greatest value, or the least where the pixel falls while the
-    whole rises; start and end are the extremes of the other kind before and after.
+    The middle is the greatest value; start and end are the least before and after.  ``phase`` says what becomes of pixels out
+    of step with the whole: ``negative amplitude`` takes the extremes of the other kind where a pixel falls while the whole rises;
+    ``phase shift`` looks in the breath moved by the pixel's lag (``pixel_lags``, ``most`` frames either way, unless given); ``none`` does nothing.
     """
     from pneumaspark.operators.rangejoin import in_intervals
 
-    z = in_intervals(pixel_samples(frames), breaths)
+    phase = phase or "none"
+    if phase not in PHASES:
+        raise ValueError(f"unknown phase correction {phase!r}; choose from {PHASES}")
+    samples = pixel_samples(frames)
+    if phase == "phase shift":
+        found = (pixel_lags(frames, most) if lags is None else lags).select(BY, "pixel", "lag")
+        samples = samples.join(found, [BY, "pixel"], "left").withColumn("lag", F.coalesce("lag", F.lit(0))).withColumn("idx", F.col("idx") - F.col("lag"))
+    else:
+        samples = samples.withColumn("lag", F.lit(0))
+    z = in_intervals(samples, breaths)
     w = Window.partitionBy(BY, "breath_no", "pixel")
-    sign = F.signum(F.max(F.when(F.col("idx") == F.col("peak_idx"), F.col("z"))).over(w) - F.max(F.when(F.col("idx") == F.col("start_idx"), F.col("z"))).over(w))
-    z = z.withColumn("u", F.col("z") * F.when(sign < 0, -1.0).otherwise(1.0))
+    u = F.col("z")
+    if phase == "negative amplitude":
+        sign = F.signum(F.max(F.when(F.col("idx") == F.col("peak_idx"), F.col("z"))).over(w) - F.max(F.when(F.col("idx") == F.col("start_idx"), F.col("z"))).over(w))
+        u = F.col("z") * F.when(sign < 0, -1.0).otherwise(1.0)
+    z = z.withColumn("u", u)
     z = z.withColumn("mid", F.max(F.struct("u", (-F.col("idx")).alias("i"))).over(w)).withColumn("middle_idx", -F.col("mid.i"))
     before = F.min(F.when(F.col("idx") <= F.col("middle_idx"), F.struct("u", "idx")))
     after = F.min(F.when(F.col("idx") >= F.col("middle_idx"), F.struct("u", "idx")))
-    out = z.groupBy(BY, "breath_no", "pixel").agg(before.alias("b"), F.first("middle_idx").alias("middle_idx"), after.alias("a"))
-    return out.select(BY, "breath_no", "pixel", F.col("b.idx").alias("start_idx"), "middle_idx", F.col("a.idx").alias("end_idx"))
+    out = z.groupBy(BY, "breath_no", "pixel").agg(before.alias("b"), F.first("middle_idx").alias("middle_idx"), after.alias("a"), F.first("lag").alias("lag"))
+    lag = F.col("lag")
+    return out.select(BY, "breath_no", "pixel", (F.col("b.idx") + lag).alias("start_idx"), (F.col("middle_idx") + lag).alias("middle_idx"), (F.col("a.idx") + lag).alias("end_idx"))
 
 
 def label_regions(mask: np.ndarray, connectivity: int = 1) -> np.ndarray:

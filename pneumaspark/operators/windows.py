@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from pneumaspark.operators import chunks
 from pneumaspark.operators.kernels import rolling
@@ -28,6 +30,10 @@ def frame(length: int, center: bool = True) -> Window:
     return ordered().rowsBetween(-(length // 2), (length - 1) // 2) if center else ordered().rowsBetween(1 - length, 0)
 
 
+#: Windows of more samples go by chunk and kernel: an expression would visit a window's samples one by one for every row.
+WIDE = 64
+
+
 def rolling_envelope(samples: DataFrame, length: int, method: str = "rms", center: bool = True, min_periods: int = 1, column: str = "envelope") -> DataFrame:
     """Rolling root mean square, mean absolute value or median absolute value."""
     w, v = frame(length, center), F.col("value")
@@ -38,7 +44,17 @@ def rolling_envelope(samples: DataFrame, length: int, method: str = "rms", cente
     }
     if method not in made:
         raise ValueError(f"unknown envelope method {method!r}; choose from {sorted(made)}")
-    return samples.withColumn(column, F.when(F.count(v).over(w) >= min_periods, made[method]))
+    if length <= WIDE or not isinstance(samples.schema[BY].dataType, AtomicType):
+        return samples.withColumn(column, F.when(F.count(v).over(w) >= min_periods, made[method]))
+    before, after = (length // 2, (length - 1) // 2) if center else (length - 1, 0)
+    kernels = {"rms": rolling.rms, "arv": rolling.arv, "median": lambda x, a, b: rolling.running_percentile(np.abs(x), a, b, 50)}
+
+    def kernel(idx: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        y = kernels[method](x, before, after)
+        there = rolling.sums(~np.isnan(x), before, after) if min_periods > 1 else None
+        return {column: y if there is None else np.where(there >= min_periods, y, np.nan)}
+
+    return chunks.map_chunks(samples, kernel, (column,), halo=length)
 
 
 def student_t(p: float, df: int) -> float:

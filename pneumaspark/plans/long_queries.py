@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pneumaspark.operators import channels, chunks, clocks, pixels, rangejoin, windows
+from pneumaspark.operators import channels, clocks, pixels, rangejoin, windows
 from pneumaspark.operators.kernels import iir
-from pneumaspark.plans.catalog import FRAMES, SAMPLES, samples, with_
+from pneumaspark.plans.catalog import FRAMES, SAMPLES, WHOLE, samples, with_
 from pneumaspark.session import table
 from pneumaspark.sources.bindings import embedding_frames, region_prices
 
@@ -25,7 +25,7 @@ def moving_baseline_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_rms_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The envelope of a quarter of a second, by chunk, at each step."""
     length = FS // 4
-    enveloped = chunks.in_chunks(region_prices(spark, sf_dir), lambda x: windows.rolling_envelope(x, length, "rms"), 1 << 13, length)
+    enveloped = windows.rolling_envelope(region_prices(spark, sf_dir), length, "rms")
     return enveloped.where(F.col("idx") % STEP == 0).select("recording_id", F.expr(f"idx div {STEP}").alias("step_no"), F.round("envelope", 2).alias("envelope"))
 
 
@@ -85,6 +85,16 @@ def frames_with_gaps_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("recording_id", "pixel").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("z").isNull()).alias("n_missing"))
 
 
+#: Frames by which a pixel may come before or after the whole.
+MOST_LAG = 3
+
+
+def pixel_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how many frames each pixel comes after the sum of all, and how alike they are then."""
+    found = pixels.pixel_lags(embedding_frames(spark, sf_dir), MOST_LAG, length=64)
+    return found.select("recording_id", "pixel", "lag", F.round("correlation", 6).alias("correlation"))
+
+
 def _quoted(text: str | None) -> str:
     return "NULL" if text is None else f"'{text}'"
 
@@ -96,7 +106,7 @@ _REGION = """prices AS (
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
 _PIECES = "SELECT recording_id, idx AS k, t AS start_time, t + pow(CAST({base} AS DOUBLE), idx % {powers}) AS end_time FROM samples WHERE event_type = '{kind}'"
 
-QUERIES = {f.__name__: f for f in (moving_baseline_2048, rolling_rms_2048, interval_overlaps, clock_offsets, resolved_channels, frames_with_gaps_filtered)}
+QUERIES = {f.__name__: f for f in (moving_baseline_2048, rolling_rms_2048, interval_overlaps, clock_offsets, resolved_channels, frames_with_gaps_filtered, pixel_lags)}
 SQL: dict[str, str] = {
     "moving_baseline_2048": with_(_REGION, f"steps AS (SELECT recording_id, idx // {STEP} AS step_no, idx AS at FROM prices WHERE idx % {STEP} = 0)")
     + f"""SELECT s.recording_id, s.step_no, round(quantile_cont(p.value, 0.33), 4) AS baseline FROM steps s
@@ -128,4 +138,11 @@ FROM a JOIN b ON b.recording_id = a.recording_id AND a.start_time <= b.end_time
         "sized AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY recording_id, pixel, run) AS size FROM runs)",
     )
     + f"SELECT recording_id, CAST(pixel AS INTEGER) AS pixel, count(*) AS n_frames, count(*) FILTER (gone OR size < {_SHORTEST}) AS n_missing FROM sized GROUP BY recording_id, pixel",
+    "pixel_lags": with_(
+        FRAMES,
+        WHOLE,
+        "z AS (SELECT recording_id, frame_idx AS idx, CAST(u.i - 1 AS INTEGER) AS pixel, pixels[u.i] AS z FROM frames, (SELECT unnest(range(1, 65)) AS i) u)",
+        f"r AS (SELECT w.recording_id, pixel, CAST(l.lag AS INTEGER) AS lag, corr(w.value, z.z) AS r FROM whole w, range({-MOST_LAG}, {MOST_LAG + 1}) l(lag) JOIN z ON z.recording_id = w.recording_id AND z.idx = w.idx + l.lag GROUP BY ALL)",
+    )
+    + "SELECT recording_id, pixel, lag, round(r, 6) AS correlation FROM r QUALIFY row_number() OVER (PARTITION BY recording_id, pixel ORDER BY r DESC, abs(lag), lag) = 1",
 }

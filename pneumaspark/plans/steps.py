@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pneumaspark import export
-from pneumaspark.operators import filters, linking, metrics, peaks, pixels, quality, slicing, windows
+from pneumaspark.operators import chunks, filters, linking, metrics, peaks, pixels, quality, slicing, windows
 from pneumaspark.plans.workflow import step
 from pneumaspark.sources import recordings
 from pneumaspark.sources.bindings import pack, unpack
@@ -75,7 +75,7 @@ def mdn_filter(signal: DataFrame, *, respiratory_rate_hz, heart_rate_hz, fs=20.0
 @step("eit.butterworth_filter", choices={"mode": ("lowpass", "highpass", "bandpass", "bandstop")})
 def eit_butterworth(signal: DataFrame, *, fs=20.0, mode="lowpass", lowpass_hz=1.0, highpass_hz=0.05, order=4) -> DataFrame:
     cutoff = {"lowpass": lowpass_hz, "highpass": highpass_hz}.get(mode, (highpass_hz, lowpass_hz))
-    return filtered(signal, filters.butterworth(pack(signal), mode, cutoff, fs, order))
+    return chunks.butterworth(signal, mode, cutoff, fs, order)
 
 
 @step("eit.global_impedance")
@@ -124,9 +124,9 @@ def pixel_tiv(frames: DataFrame, breath_intervals: DataFrame) -> DataFrame:
     return pixels.pixel_tiv(frames, breath_intervals)
 
 
-@step("eit.pixel_breaths")
-def pixel_breaths(frames: DataFrame, breath_intervals: DataFrame) -> DataFrame:
-    return pixels.pixel_breaths(frames, breath_intervals)
+@step("eit.pixel_breaths", choices={"phase_correction_mode": pixels.PHASES})
+def pixel_breaths(frames: DataFrame, breath_intervals: DataFrame, *, phase_correction_mode="negative amplitude") -> DataFrame:
+    return pixels.pixel_breaths(frames, breath_intervals, phase_correction_mode)
 
 
 @step("eit.roi_tiv_lungspace")
@@ -154,12 +154,12 @@ def roi_size(mask: DataFrame, *, min_region_size=10, connectivity=1, n_cols=32)
 
 @step("emg.notch_filter")
 def emg_notch(samples: DataFrame, *, base_frequency, fs=2048.0, max_frequency=None) -> DataFrame:
-    return filtered(samples, filters.harmonic_notch(pack(samples), base_frequency, fs, max_frequency or None))
+    return chunks.harmonic_notch(samples, base_frequency, fs, max_frequency or None)
 
 
 @step("emg.bandpass_filter")
 def emg_bandpass(samples: DataFrame, *, fs=2048.0, high_pass_hz=20.0, low_pass_hz=None) -> DataFrame:
-    return filtered(samples, filters.butterworth(pack(samples), "bandpass", (high_pass_hz, low_pass_hz or min(0.95 * fs / 2, 500.0)), fs, 3))
+    return chunks.butterworth(samples, "bandpass", (high_pass_hz, low_pass_hz or min(0.95 * fs / 2, 500.0)), fs, 3)
 
 
 @step("emg.preprocess")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pneumaspark import export
-from pneumaspark.operators import clocks, filters, linking, metrics, peaks, pixels, quality, slicing
+from pneumaspark.operators import chunks, clocks, filters, linking, metrics, peaks, pixels, quality, slicing
 from pneumaspark.plans import steps
 from pneumaspark.sources import recordings
 from pneumaspark.sources.bindings import pack
@@ -147,7 +147,7 @@ class RecordingSession:
         key = f"ventilator:{name}" if name else "ventilator"
         x, fs = self.one_channel(key, channel), self.fs[key]
         if lowpass_hz:
-            x = steps.filtered(x, filters.butterworth(pack(x), "lowpass", min(lowpass_hz, 0.95 * fs / 2), fs, order))
+            x = chunks.butterworth(x, "lowpass", min(lowpass_hz, 0.95 * fs / 2), fs, order)
         self._keep(self.processed, key, variant, overwrite, x)
         return self._note("preprocess_ventilator", name=name, variant=variant)
 

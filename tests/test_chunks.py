@@ -74,6 +74,26 @@ def test_window_operators_in_chunks(spark):
         assert whole.keys() == found.keys() and all(whole[k][0] == pytest.approx(found[k][0], abs=1e-12) for k in whole)
 
 
+def test_wide_envelopes_equal_windows(spark):
+    samples = recording(spark, 3000).withColumn("value", F.when(F.col("idx") % 211 > 1, F.col("value"))).cache()
+    for method in ("rms", "arv", "median"):
+        for center, least in ((True, 1), (False, 90)):
+            windows.WIDE = 10**9
+            try:
+                want = values(windows.rolling_envelope(samples, 101, method, center, least), "envelope")
+            finally:
+                windows.WIDE = 64
+            got = values(windows.rolling_envelope(samples, 101, method, center, least), "envelope")
+            assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+
+
+def test_a_chain_of_notches_by_chunk(spark):
+    samples = recording(spark, 4000, (1,))
+    whole = values(unpack(filters.harmonic_notch(pack(samples), 5.0, 40.0), "values", "value"), "value")
+    found = values(chunks.harmonic_notch(samples, 5.0, 40.0, length=1500), "value")
+    assert found.keys() == whole.keys() and max(abs(found[k][0] - whole[k][0]) for k in whole) < 1e-8
+
+
 def test_baselines_by_chunk(spark):
     samples = recording(spark).withColumn("value", F.when(F.col("idx") % 97 != 5, F.col("value"))).cache()
     for operator, columns in (
