@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pneumaspark import archive
 from pneumaspark.operators import channels, clocks, pixels, rangejoin, windows
 from pneumaspark.operators.kernels import iir
 from pneumaspark.plans.catalog import FRAMES, SAMPLES, WHOLE, samples, with_
-from pneumaspark.session import table
+from pneumaspark.session import shared_dir, table
 from pneumaspark.sources.bindings import embedding_frames, region_prices
 
 FS = 2048
@@ -95,6 +98,19 @@ def pixel_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("recording_id", "pixel", "lag", F.round("correlation", 6).alias("correlation"))
 
 
+def archived_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of 8 x 8 and scalars of all labels, written as rows and arrays and read back: how many, and their sums."""
+    frames = embedding_frames(spark, sf_dir)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("pixels"), i * 8 + 1, 8))
+    name = F.concat(F.lit("label_"), F.col("recording_id").cast("string"))
+    arrays = frames.select(name.alias("name"), "frame_idx", F.lit(None).cast("double").alias("value"), grid.alias("values"))
+    scalars = frames.select(F.lit("first_pixel").alias("name"), "frame_idx", F.get("pixels", F.lit(0)).alias("value"), F.lit(None).cast("array<array<double>>").alias("values"))
+    out = archive.write(arrays.unionByName(scalars), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    back = archive.read(spark, out, ("values",), ("values",))
+    total = F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x)
+    return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("values").alias("n_arrays"), F.round(F.sum(F.coalesce("value", total)), 4).alias("total"), F.max(F.size(F.get("values", F.lit(7)))).alias("width"))
+
+
 def _quoted(text: str | None) -> str:
     return "NULL" if text is None else f"'{text}'"
 
@@ -106,7 +122,7 @@ _REGION = """prices AS (
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
 _PIECES = "SELECT recording_id, idx AS k, t AS start_time, t + pow(CAST({base} AS DOUBLE), idx % {powers}) AS end_time FROM samples WHERE event_type = '{kind}'"
 
-QUERIES = {f.__name__: f for f in (moving_baseline_2048, rolling_rms_2048, interval_overlaps, clock_offsets, resolved_channels, frames_with_gaps_filtered, pixel_lags)}
+QUERIES = {f.__name__: f for f in (moving_baseline_2048, rolling_rms_2048, interval_overlaps, clock_offsets, resolved_channels, frames_with_gaps_filtered, pixel_lags, archived_results)}
 SQL: dict[str, str] = {
     "moving_baseline_2048": with_(_REGION, f"steps AS (SELECT recording_id, idx // {STEP} AS step_no, idx AS at FROM prices WHERE idx % {STEP} = 0)")
     + f"""SELECT s.recording_id, s.step_no, round(quantile_cont(p.value, 0.33), 4) AS baseline FROM steps s
@@ -145,4 +161,7 @@ FROM a JOIN b ON b.recording_id = a.recording_id AND a.start_time <= b.end_time
         f"r AS (SELECT w.recording_id, pixel, CAST(l.lag AS INTEGER) AS lag, corr(w.value, z.z) AS r FROM whole w, range({-MOST_LAG}, {MOST_LAG + 1}) l(lag) JOIN z ON z.recording_id = w.recording_id AND z.idx = w.idx + l.lag GROUP BY ALL)",
     )
     + "SELECT recording_id, pixel, lag, round(r, 6) AS correlation FROM r QUALIFY row_number() OVER (PARTITION BY recording_id, pixel ORDER BY r DESC, abs(lag), lag) = 1",
+    "archived_results": with_(FRAMES)
+    + """SELECT 'label_' || recording_id AS name, count(*) AS n, count(*) AS n_arrays, round(sum(list_sum(pixels)), 4) AS total, 8 AS width FROM frames GROUP BY recording_id
+UNION ALL SELECT 'first_pixel', count(*), 0, round(sum(pixels[1]), 4), NULL FROM frames""",
 }
