@@ -373,7 +373,13 @@ def amplitude(s: SparkSession, d: str) -> DataFrame:
 AMPLITUDE = """amp AS (SELECT b.recording_id, b.breath_no, z.pixel, max(z.z) - min(z.z) AS amplitude FROM breaths b JOIN z ON z.recording_id = b.recording_id AND z.idx BETWEEN b.start_idx AND b.end_idx GROUP BY ALL),
 ameans AS (SELECT recording_id, pixel, avg(amplitude) AS mean FROM amp GROUP BY ALL)"""
 _PIX = (FRAMES, WHOLE, FRAME_BREATHS, PIXELS)
-register("pixel_tiv", with_(*_PIX, TIV) + "SELECT recording_id, breath_no, pixel, round(tiv, 6) AS tiv FROM tiv")(
+register(
+    "pixel_tiv",
+    # both frames of a breath are joined before their pixels are taken apart
+    with_(*[p for p in _PIX if p != PIXELS])
+    + """SELECT b.recording_id, b.breath_no, CAST(u.i - 1 AS INTEGER) AS pixel, round(m.pixels[u.i] - s.pixels[u.i], 6) AS tiv FROM breaths b
+JOIN frames m ON m.recording_id = b.recording_id AND m.frame_idx = b.peak_idx JOIN frames s ON s.recording_id = b.recording_id AND s.frame_idx = b.start_idx, unnest(range(1, 65)) AS u(i)""",
+)(
     lambda s, d: tiv(s, d).select("recording_id", "breath_no", "pixel", r6("tiv", "tiv"))
 )
 register("tiv_lungspace", with_(*_PIX, TIV, TIVMASK) + "SELECT recording_id, pixel, round(mean, 6) AS mean, included FROM tmask")(
