@@ -56,7 +56,7 @@ def scratch() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN.pop()
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
