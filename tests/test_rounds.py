@@ -2,7 +2,10 @@
 
 import math
 
+import numpy as np
+
 from pneumaspark.operators import quality
+from pneumaspark.operators.kernels import bell
 from pneumaspark.plans import catalog
 
 
@@ -18,3 +21,25 @@ def test_a_share_at_the_limit_passes_whatever_its_last_bit(spark):
     products = spark.createDataFrame([(1, k, 3.0) for k in range(3)], "recording_id long, breath_no long, time_product double")
     found = {r.breath_no: r.passed for r in quality.percentage_under_baseline(areas, products).collect()}
     assert found == {0: True, 1: True, 2: False}
+
+
+def test_many_bells_are_fitted_at_once_and_a_missing_sample_is_no_failure(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FITTED_AT_ONCE", 64)
+    values = {r: [10 * math.exp(-((k - 15 - r) ** 2) / (2 * (3 + r) ** 2)) for k in range(40)] for r in range(5)}
+    values[5] = [*values[0][:12], None, *values[0][13:]]
+    samples = spark.createDataFrame([(r, k, v) for r, x in values.items() for k, v in enumerate(x)], "recording_id long, idx long, value double")
+    breaths = spark.createDataFrame([(r, 0, 0, 15 + r, 39) for r in range(6)], "recording_id long, breath_no long, start_idx long, peak_idx long, end_idx long")
+    found = {r.recording_id: (r.error, r.passed) for r in quality.bell_curve_error(samples, breaths, 10.0).collect()}
+    assert found[5] == (None, False)
+    assert all(found[r][0] < 10 and found[r][1] for r in range(5))
+
+
+def test_bells_of_all_lengths_are_fitted_as_one_by_one():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(20, 90, 40)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    x = np.concatenate([np.arange(n, dtype=float) for n in lengths])
+    y = np.concatenate([np.exp(-((np.arange(n) - n / 2) ** 2) / n) + rng.normal(0, 0.02, n) for n in lengths])
+    peak = lengths // 2
+    one = [bell.errors(x[a : a + n], y[a : a + n], np.array([0]), np.array([p]), 1.0)[0] for a, n, p in zip(starts, lengths, peak, strict=True)]
+    assert np.allclose(bell.errors(x, y, starts, peak, 1.0), one, rtol=1e-6)
