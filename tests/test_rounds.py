@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pneumaspark.operators import quality
 from pneumaspark.operators.kernels import bell
 from pneumaspark.plans import catalog
+from pneumaspark.sources import bindings
 
 
 def test_shares_between_two_decimals_dont_hang_on_the_last_bit(spark):
@@ -43,3 +45,16 @@ def test_bells_of_all_lengths_are_fitted_as_one_by_one():
     peak = lengths // 2
     one = [bell.errors(x[a : a + n], y[a : a + n], np.array([0]), np.array([p]), 1.0)[0] for a, n, p in zip(starts, lengths, peak, strict=True)]
     assert np.allclose(bell.errors(x, y, starts, peak, 1.0), one, rtol=1e-6)
+
+
+def test_rows_are_numbered_by_runs_as_in_one_sort(spark):
+    rng = np.random.default_rng(2)
+    keys = [(int(g) if g < 3 else None, int(k) if k else None, n) for n, (g, k) in enumerate(zip(rng.integers(0, 4, 500), rng.integers(0, 60, 500), strict=True))]
+    rows = spark.createDataFrame(keys, "g long, k long, n long")
+    found = bindings.numbered(rows, "g", ("k", "n"), F.floor(F.col("k") / 7))
+    assert found.columns == ["g", "k", "n", "idx"]
+    want = {}
+    for g in {r[0] for r in keys}:
+        own = sorted((r for r in keys if r[0] == g), key=lambda r: (-1 if r[1] is None else r[1], r[2]))
+        want |= {r[2]: i for i, r in enumerate(own)}
+    assert {r.n: r.idx for r in found.collect()} == want
