@@ -9,14 +9,14 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pneumaspark.operators import clocks, linking, peaks, pixels
 from pneumaspark.plans.catalog import FRAMES, WHOLE, with_
 from pneumaspark.session import materialize, shared_dir, table
 from pneumaspark.sources import binary_files, recordings
-from pneumaspark.sources.bindings import embedding_frames
+from pneumaspark.sources.bindings import embedding_frames, numbered, order_run
 
 FS = {"eit": 20.0, "emg": 10.0, "ventilator": 5.0}
 #: No two recordings have samples at equal distances from one of another, so nearest ones are no matter of rounding.
@@ -48,8 +48,8 @@ def frame_files(spark: SparkSession, sf_dir: str) -> str:
 def price_files(spark: SparkSession, sf_dir: str) -> str:
     """A Poly5 file for each nation of the suppliers: prices as EMGdi, quantities as ECG."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("recording_id"))
-    number = F.row_number().over(Window.partitionBy("recording_id").orderBy(*LINE_ORDER)) - 1
-    rows = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").withColumn("idx", number.cast("long"))
+    lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").select("recording_id", *LINE_ORDER)
+    rows = numbered(lines, "recording_id", LINE_ORDER, order_run("l_orderkey"))
     both = F.explode(F.array(F.struct(F.lit("EMGdi").alias("channel"), F.col("l_extendedprice").alias("value")), F.struct(F.lit("ECG").alias("channel"), F.col("l_quantity").alias("value"))))
     path = _folder(spark, "prices")
     recordings.write_poly5(rows.select("recording_id", "idx", both.alias("c")).select("recording_id", "idx", "c.channel", "c.value"), path, FS["emg"], {"ECG": "mV", "EMGdi": "uV"})
@@ -59,8 +59,8 @@ def price_files(spark: SparkSession, sf_dir: str) -> str:
 def order_files(spark: SparkSession, sf_dir: str) -> str:
     """A Poly5 file for each nation of the customers: order totals as Paw."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("recording_id"))
-    number = F.row_number().over(Window.partitionBy("recording_id").orderBy("o_orderkey")) - 1
-    rows = table(spark, sf_dir, "orders").join(customer, "o_custkey").select("recording_id", number.cast("long").alias("idx"), F.lit("Paw").alias("channel"), F.col("o_totalprice").alias("value"))
+    totals = table(spark, sf_dir, "orders").join(customer, "o_custkey").select("recording_id", "o_orderkey", "o_totalprice")
+    rows = numbered(totals, "recording_id", ("o_orderkey",), order_run("o_orderkey")).select("recording_id", "idx", F.lit("Paw").alias("channel"), F.col("o_totalprice").alias("value"))
     path = _folder(spark, "orders")
     recordings.write_poly5(rows, path, FS["ventilator"], {"Paw": "cmH2O"})
     return path

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -292,6 +292,34 @@ class Poly5Reader(DataSourceReader):
                     )
 
 
+def packed_runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (recording, run, values) in order to a row for each run, with its values as little-endian floats."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["recording_id", "run", "data"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            recording, run = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            values = table_of(batch.column(2), width).astype("<f4")
+            cuts = [0, *(np.flatnonzero((recording[1:] != recording[:-1]) | (run[1:] != run[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = (int(recording[a]), int(run[a]))
+                if held and key != last:
+                    yield row()
+                    held = []
+                last = key
+                held.append(values[a:b].tobytes())
+        if held:
+            yield row()
+
+    return pack
+
+
 class Poly5Writer(RecordingWriter):
     suffix = ".poly5"
 
@@ -304,7 +332,8 @@ class Poly5Writer(RecordingWriter):
         self.held, self.number = np.empty((0, len(self.channels))), 0
 
     def rows(self, out, batch: pa.RecordBatch) -> None:
-        values = np.concatenate([self.held, table_of(batch.column(2), len(self.channels)).astype(float)])
+        width = len(self.channels)
+        values = np.concatenate([self.held, *(np.frombuffer(x.as_buffer(), "<f4").reshape(-1, width).astype(float) for x in batch.column(2))])
         cut = len(values) - len(values) % BLOCK_SAMPLES
         for a in range(0, cut, BLOCK_SAMPLES):
             out.write(poly5_block(self.number, values[a : a + BLOCK_SAMPLES]))

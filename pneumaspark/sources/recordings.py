@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pneumaspark.sources import binary_files, storage
 
 BY = "recording_id"
+#: Values of a run that is packed to a row: 8 KB, so that a batch of rows stays small.
+PACKED = 1 << 11
 SAMPLES = "path string, channel string, unit string, fs double, idx long, t double, value double"
 
 
@@ -112,13 +114,18 @@ def write_frames(frames: DataFrame, path: str, n_extra: int = 52) -> None:
 def write_poly5(samples: DataFrame, path: str, fs: float, channels: dict[str, str]) -> None:
     """One Poly5 file for each recording_id of (recording_id, channel, idx, value); ``channels``: unit by label, in the file's order.
 
-    A recording is written by one task, block by block; a value that isn't there is a NaN.
+    A recording is written by one task, block by block; a value that isn't there is a NaN.  Samples come to
+    it in runs, packed as floats by many tasks, so that it sorts a row for thousands of samples.
     """
     samples.sparkSession.dataSource.register(binary_files.Poly5Files)
     values = F.array(*[F.max(F.when(F.col("channel") == c, F.col("value").cast("double"))) for c in channels])
     rows = samples.where(F.col("channel").isin(*channels)).groupBy(F.col(BY).cast("long").alias(BY), F.col("idx").cast("long").alias("idx")).agg(values.alias("values"))
+    # idx may have gaps, so runs are of places, not of samples
+    cut = F.floor(F.col("idx") / F.lit(max(1, PACKED // len(channels)))).cast("long")
     sizes = rows.groupBy(BY).agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(sizes, BY).repartition(BY).sortWithinPartitions(BY, "idx").select(BY, "n", "values")
+    placed = rows.withColumn("run", cut).repartition(BY, "run").sortWithinPartitions(BY, "run", "idx").select(BY, "run", "values")
+    packed = placed.mapInArrow(binary_files.packed_runs(len(channels)), f"{BY} long, run long, data binary")
+    placed = packed.join(sizes, BY).repartition(BY).sortWithinPartitions(BY, "run").select(BY, "n", "data")
     placed.write.format("poly5").option("fs", fs).option("channels", json.dumps(channels)).mode("append").save(path)
 
 

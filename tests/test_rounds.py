@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pneumaspark.operators import quality
 from pneumaspark.operators.kernels import bell
 from pneumaspark.plans import catalog
-from pneumaspark.sources import bindings
+from pneumaspark.sources import bindings, recordings
 
 
 def test_shares_between_two_decimals_dont_hang_on_the_last_bit(spark):
@@ -58,3 +58,15 @@ def test_rows_are_numbered_by_runs_as_in_one_sort(spark):
         own = sorted((r for r in keys if r[0] == g), key=lambda r: (-1 if r[1] is None else r[1], r[2]))
         want |= {r[2]: i for i, r in enumerate(own)}
     assert {r.n: r.idx for r in found.collect()} == want
+
+
+def test_poly5_samples_reach_the_writer_as_packed_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(recordings, "PACKED", 20)
+    rows = [(r, c, k, None if k == 5 else float(k * 2 + r)) for r in (1, 2) for c in ("a", "b") for k in range(300 + r) if k != 7]
+    recordings.write_poly5(spark.createDataFrame(rows, "recording_id long, channel string, idx long, value double"), str(tmp_path / "p"), 10.0, {"a": "mV", "b": "V"})
+    found = recordings.read_poly5(spark, str(tmp_path / "p")).collect()
+    for r in (1, 2):
+        want = [(k, None if k == 5 else k * 2.0 + r) for k in range(300 + r) if k != 7]
+        for c in ("a", "b"):
+            own = sorted((x for x in found if f"recording-{r}-" in x.path and x.channel == c), key=lambda x: x.idx)
+            assert [None if x.value is None or math.isnan(x.value) else x.value for x in own] == [v for _, v in want]
