@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from pneumaspark.operators import quality
+from pneumaspark.operators import filters, quality
 from pneumaspark.operators.kernels import bell
 from pneumaspark.plans import catalog
 from pneumaspark.sources import bindings, recordings
@@ -70,3 +70,13 @@ def test_poly5_samples_reach_the_writer_as_packed_runs(spark, tmp_path, monkeypa
         for c in ("a", "b"):
             own = sorted((x for x in found if f"recording-{r}-" in x.path and x.channel == c), key=lambda x: x.idx)
             assert [None if x.value is None or math.isnan(x.value) else x.value for x in own] == [v for _, v in want]
+
+
+def test_packed_signals_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(filters, "HELD_VALUES", 10)
+    rows = [(r, [float(k + r) for k in range(r % 7)]) for r in range(40)]
+    packed = spark.createDataFrame([*rows, (40, [1.0, None])], "recording_id long, values array<double>").coalesce(1)
+    found = {r.recording_id: r["values"] for r in filters.map_signals(packed, lambda x: 2 * x).collect()}
+    assert found == {**{r: [2 * v for v in x] for r, x in rows}, 40: [2.0, None]}
+    places = sorted((r.recording_id, r.idx) for r in filters.map_indices(packed, lambda x: np.arange(len(x))).collect())
+    assert places == [(r, k) for r, x in [*rows, (40, [1, 1])] for k in range(len(x))]
