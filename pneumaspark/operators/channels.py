@@ -108,15 +108,17 @@ def resolve_channels(heads: DataFrame, requested: Sequence[str] = USUAL, origin:
     named = rows.withColumn("_label", plain_label(F.col("label"))).join(F.broadcast(dimension), "_label", "left").drop("_label")
     # what each recording asks for: few rows, one for each requested channel
     order = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(c).alias("channel"), F.lit(names.channels[c][0]).alias("category"), F.lit(names.channels[c][1]).alias("usual_unit"), F.lit(positions.get(c)).cast("int").alias("given"), F.lit(POSITIONS.get(c) if fallback else None).cast("int").alias("usual")) for k, c in enumerate(requested)])
-    files = named.groupBy(BY).agg(F.max("_source").alias("_source"), F.bool_or(F.col("_named").isNotNull()).alias("_any"), F.collect_set("_named").alias("_names"))
-    asked = files.withColumn("_ask", F.explode(order)).select(BY, "_source", "_any", "_names", "_ask.*")
+    # a recording's columns are few and travel with it: one shuffle, and no join of the table with itself
+    columns = F.collect_list(F.struct("number", "label", "_unit", "_named")).alias("_columns")
+    files = named.groupBy(BY).agg(F.max("_source").alias("_source"), F.bool_or(F.col("_named").isNotNull()).alias("_any"), F.collect_set("_named").alias("_names"), columns)
+    asked = files.withColumn("_ask", F.explode(order)).select(BY, "_source", "_any", "_names", "_columns", "_ask.*")
     place = F.when(F.col("given").isNotNull(), F.col("given")).when(~F.array_contains("_names", F.col("channel")) & ~F.col("_any"), F.col("usual"))
     asked = asked.withColumn("_place", place)
-    columns = named.select(F.col(BY).alias("_path"), "number", "label", "_unit", "_named")
-    same = F.col(BY) == F.col("_path")
-    at_place = asked.where("_place IS NOT NULL").join(columns, same & (F.col("number") == F.col("_place")), "left").withColumn("number", F.col("_place"))
-    by_name = asked.where("_place IS NULL").join(columns, same & (F.col("_named") == F.col("channel")))
-    found = at_place.unionByName(by_name)
+    fits = F.filter("_columns", lambda c: F.when(F.col("_place").isNotNull(), c["number"] == F.col("_place")).otherwise(c["_named"] == F.col("channel")))
+    nothing = F.array(F.lit(None).cast(named.select(F.struct("number", "label", "_unit", "_named").alias("c")).schema["c"].dataType))
+    # a channel at a place has a row even where the recording has no such column
+    found = asked.withColumn("_fits", fits).withColumn("_column", F.explode(F.when(F.col("_place").isNotNull() & (F.size("_fits") == 0), nothing).otherwise(F.col("_fits"))))
+    found = found.select(BY, "_source", "rank", "channel", "category", "usual_unit", F.coalesce("_place", "_column.number").alias("number"), "_column.label", "_column._unit")
     nth = F.row_number().over(Window.partitionBy(BY, "rank").orderBy("number"))
     tag = qualifier(F.col("label"))
     first = F.when(F.lit(qualify) & F.col("_source").isNotNull(), F.concat("channel", F.lit("__"), "_source")).otherwise(F.col("channel"))

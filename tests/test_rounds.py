@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from pneumaspark.operators import filters, quality
+from pneumaspark.operators import channels, filters, quality
 from pneumaspark.operators.kernels import bell
 from pneumaspark.plans import catalog
 from pneumaspark.sources import bindings, recordings
@@ -80,3 +80,12 @@ def test_packed_signals_leave_in_bounded_batches(spark, monkeypatch):
     assert found == {**{r: [2 * v for v in x] for r, x in rows}, 40: [2.0, None]}
     places = sorted((r.recording_id, r.idx) for r in filters.map_indices(packed, lambda x: np.arange(len(x))).collect())
     assert places == [(r, k) for r, x in [*rows, (40, [1, 1])] for k in range(len(x))]
+
+
+def test_channels_are_resolved_without_joining_the_columns_with_themselves(spark):
+    heads = spark.createDataFrame([("a", 0, "Paw", "mbar"), ("a", 1, "Paw", None), ("b", 0, "x", None), ("b", 1, "y", None)], "path string, number int, label string, unit string")
+    found = channels.resolve_channels(heads)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the known names
+    rows = {(r.path, r.key, r.label, r.unit, r.number) for r in found.collect()}
+    assert rows == {("a", "airway_pressure", "Paw", "mbar", 0), ("a", "airway_pressure__col1", "Paw", "cmH2O", 1), ("b", "airway_pressure", "x", "cmH2O", 0), ("b", "flow", "y", "L/min", 1), ("b", "volume", None, "L", 2)}
