@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -419,6 +420,13 @@ LATIN = re.compile(f"[ \\n]?[!-~{_LETTERS}]*").fullmatch
 #: The pre-tokenizer's items of such a piece after its letters have taken their byte-level names, which are letters or U+0100 to U+0142.
 ITEMS = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\u00a1-\u0143]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00a1-\u0143]+").findall
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+PUNCTUATION = string.punctuation.encode()
+
+
+def _latin_letter(piece: bytes) -> bool:
+    """Whether a piece ends in a letter of U+0080 to U+017F."""
+    last = piece[-2:].decode("utf-8", "replace")
+    return len(last) == 1 and last < "\u0180" and last.isalpha()
 
 
 class ByteEncoder(dict):
@@ -476,16 +484,26 @@ class ByteEncoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         """Encode a piece; KeyError if it begins or ends with white space other than its own.
 
-        Pieces of printable ASCII and Latin letters are cut to items as the pre-tokenizer does
-        and go straight to the model.  All others take the tokenizer's full way.
+        A word is one item of the pre-tokenizer, and an item always ends between a letter or
+        digit and punctuation: a piece with punctuation behind it has the ids of the piece
+        without it, which are looked up, and those of the punctuation.  Other pieces of
+        printable ASCII and Latin letters are cut to items as the pre-tokenizer does.  Items
+        go straight to the model.  All other pieces take the tokenizer's full way.
         """
         text = piece.decode("utf-8", "replace")
-        if LATIN(text):
+        inner = text[1:] if text[:1] in (" ", "\n") else text
+        stem = piece.rstrip(PUNCTUATION)
+        if inner.isalpha() and (inner.isascii() or max(inner) < "\u0180"):
+            item = inner if inner.isascii() else inner.translate(_BYTE_NAMES)
+            ids = [t.id for t in self.tokenize("\u0120" + item if text[0] == " " else item)]
+            made = (self.line_feed if text[0] == "\n" else b"") + (PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes())
+        elif len(stem) < len(piece) and (stem[-1:].isalnum() or _latin_letter(stem)):
+            made = self[stem] + self[piece[len(stem) :]]
+        elif LATIN(text):
             items = ITEMS(text if text.isascii() else text.translate(_BYTE_NAMES))
             ids = [t.id for item in items for t in self.tokenize(item.replace(" ", "\u0120"))] if piece != b"\n" else []
             made = (self.line_feed if text[0] == "\n" else b"") + (PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes())
         else:
-            inner = text[1:] if text[0] in " \n" else text
             if not inner or inner[0] in self.WHITE or inner[-1] in self.WHITE:
                 raise KeyError(piece)
             made = self.whole(piece)

@@ -67,6 +67,18 @@ def test_pieces_give_the_tokenizers_ids(text):
     assert encoder.encode(text.encode()) == want == encoder.encode(text.encode()) and encoder.encode(None) == b""
 
 
+def test_words_before_punctuation_are_tokenized_once():
+    import public_tokenizers
+
+    encoder = ByteEncoder(public_tokenizers.path(token_files.TOKENIZER))
+    asked, tokenize = [], encoder.tokenize
+    encoder.tokenize = lambda item: asked.append(item) or tokenize(item)
+    for text in (b"A mending mending, mending. mending!!", "né né. né,%% don't. don't, x'. 9. €. . 你好. \"né\"".encode()):
+        assert encoder.encode(text) == encoder.whole(text)
+    assert asked.count("\u0120mending") == 1
+    assert asked.count("\u0120n\u00c3\u00a9") == 1
+
+
 def brute(rows):
     encoder = ByteEncoder.of()
     out, start = [], 0
