@@ -30,7 +30,6 @@ is a vertex of its own that links with nothing and has a null component.
 
 from __future__ import annotations
 
-import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -244,7 +243,8 @@ def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFra
 
     Documents of a cluster are dealt by size, in steps in which sizes grow to 1 / 0.8, and
     then by hash to blocks of about ``BLOCK_DOCS``.  Only blocks of the same or of
-    neighbouring steps can hold links, and meet.  A task gets two blocks.
+    neighbouring steps can hold links, and meet.  A task gets two blocks.  Only the
+    members' texts move.
     """
     step = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")
     sized = members.withColumn("step", step)
@@ -258,7 +258,9 @@ def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFra
     meet = materialize(meet, "block_pairs")
     firsts = numbered.join(meet, ["cluster", "block"]).select("cluster", "block", "block2", "doc_id", F.lit(0).alias("side"))
     seconds = meet.where("block < block2").join(numbered.withColumnRenamed("block", "block2"), ["cluster", "block2"]).select("cluster", "block", "block2", "doc_id", F.lit(1).alias("side"))
-    rows = firsts.unionByName(seconds).join(docs.select("doc_id", "text"), "doc_id").join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left")
+    involved = small(materialize(numbered.select("doc_id").distinct(), "involved"))
+    texts = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")
+    rows = firsts.unionByName(seconds).join(texts, "doc_id").join(comp.withColumnRenamed("v", "doc_id"), "doc_id", "left")
     rows = rows.select("cluster", "block", "block2", "doc_id", "side", F.col("text").cast("binary").alias("text"), F.coalesce("root", "doc_id").alias("root"))
     schema = arrow_schema("a long, b long")
 
@@ -299,9 +301,44 @@ def block_links(members: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFra
     return materialize(rows.groupBy("cluster", "block", "block2").applyInArrow(compare, "a long, b long"), "block_links")
 
 
+def headed(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (token, size class, doc_id, n) whose token is not alone, each with the first row (a, na) of its token and class.
+
+    The batches are sorted by token, class and doc_id; the last row of one waits for the next.
+    """
+    last, kept = [np.empty(0, np.int64)] * 6, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, size_class, doc, n = (np.concatenate([last[k], batch.column(k).to_numpy()]) for k in range(4))
+        same = t[1:] == t[:-1]
+        first = np.ones(len(t), bool)
+        first[1:] = ~same | (size_class[1:] != size_class[:-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+        a, na = doc[at], n[at]
+        if len(last[0]):
+            a[at == 0], na[at == 0] = last[4], last[5]
+        keep = np.zeros(len(t), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= kept
+        kept, keep[-1] = bool(keep[-1]), False
+        last = [x[-1:] for x in (t, size_class, doc, n, a, na)]
+        if keep.any():
+            yield record_batch({"token": t[keep], "doc_id": doc[keep], "n": n[keep], "a": a[keep], "na": na[keep]}, schema)
+    if kept:
+        yield record_batch({"token": last[0], "doc_id": last[2], "n": last[3], "a": last[4], "na": last[5]}, schema)
+
+
 def token_lists(reps: DataFrame, heavy) -> DataFrame:
-    """Written (token, doc_id, n): prefix tokens that several classes have; two classes that link share one."""
+    """Written (token, doc_id, n, a, na): prefix tokens that several classes have; two classes that link share one.
+
+    ``a`` is the head of the row's list, its first member of the size class that the row can
+    link within.  Heads come with the rows' one sort, so no list is joined with its heads.
+    """
     schema = arrow_schema("token long, doc_id long, n int")
+    ddl = "token long, doc_id long, n int, a long, na int"
+    listed = arrow_schema(ddl)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches, 4 << 20):
@@ -313,32 +350,9 @@ def token_lists(reps: DataFrame, heavy) -> DataFrame:
             for at in range(0, found.num_rows, 200_000):
                 yield found.slice(at, 200_000)
 
-    def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose token is not alone; the batches are sorted by token."""
-        last: pa.RecordBatch | None = None
-        last_kept = False
-        for batch in itertools.chain(batches, [None]):
-            if batch is None or batch.num_rows:
-                if batch is None:
-                    if last is not None and last_kept:
-                        yield last
-                    break
-                rows = pa.Table.from_batches([b for b in (last, batch) if b is not None]).combine_chunks()
-                t = rows.column(0).to_numpy()
-                same = t[1:] == t[:-1]
-                keep = np.zeros(len(t), bool)
-                keep[1:] |= same
-                keep[:-1] |= same
-                keep[0] |= last_kept and last is not None
-                last_kept = bool(keep[-1])
-                last = rows.slice(rows.num_rows - 1).to_batches()[0]
-                keep[-1] = False
-                if keep.any():
-                    yield from rows.filter(pa.array(keep)).to_batches()
-
-    ddl = "token long, doc_id long, n int"
-    postings = id_text(reps).mapInArrow(post, ddl).repartition("token").sortWithinPartitions("token")
-    return materialize(postings.mapInArrow(several, ddl), "lists")
+    postings = id_text(reps).mapInArrow(post, "token long, doc_id long, n int").repartition("token")
+    placed = postings.select("token", F.floor(F.log2("n") * 2).alias("class"), "doc_id", "n").sortWithinPartitions("token", "class", "doc_id")
+    return materialize(placed.mapInArrow(lambda batches: headed(batches, listed), ddl), "lists")
 
 
 def heavy_of(reps: DataFrame):
@@ -353,11 +367,7 @@ def links_and_components(docs: DataFrame, reps: DataFrame, sets: DataFrame) -> D
     heavy = heavy_of(reps)
     lists = token_lists(reps, heavy)
 
-    # the head of a list is its first member of the size class that a member can link within
-    hubs = lists.groupBy("token", F.floor(F.log2("n") * 2).alias("class")).agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    hubs = materialize(hubs.select("token", "class", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na")), "list_heads")
-    near = lists.select("token", "doc_id", "n", F.floor(F.log2("n") * 2).alias("class")).join(hubs, ["token", "class"])
-    star = near.where(f"doc_id <> a AND 100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", F.col("doc_id").alias("b")).distinct()
+    star = lists.where(f"doc_id <> a AND 100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", F.col("doc_id").alias("b")).distinct()
     star = materialize(star, "star_pairs")
     texts = id_text(reps)
     links = verify(possible(star, sets), texts, heavy)

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pneumaspark.llm import (
@@ -633,6 +634,35 @@ def test_components_of_a_chain(spark, monkeypatch):
     assert near(df) == brute_components(rows)
 
 
+def test_rows_of_lists_carry_their_heads():
+    r = np.random.default_rng(3)
+    schema, out = pa.schema([(c, pa.int64()) for c in ("token", "class", "doc_id", "n")]), pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("na", pa.int32())])
+    for _ in range(50):
+        n = int(r.integers(0, 60))
+        rows = sorted({(int(t), int(c), int(d)) for t, c, d in zip(r.integers(0, 12, n), r.integers(0, 3, n), r.integers(0, 40, n), strict=True)})
+        rows = [(t, c, d, 10 * c + d % 7) for t, c, d in rows]
+        cuts = sorted(r.integers(0, len(rows) + 1, 6).tolist())
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in part], schema) for part in parts]
+        got = [tuple(x.values()) for b in jaccard_join.headed(batches, out) for x in b.to_pylist()]
+        want = []
+        for t, c, d, k in rows:
+            head = min((x[2], x[3]) for x in rows if x[:2] == (t, c))
+            if sum(x[0] == t for x in rows) > 1:
+                want.append((t, d, k, *head))
+        assert got == want
+
+
+def test_blocks_move_the_texts_of_their_members_alone(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, " ".join(f"w{k % 2}_{j}" for j in range(30 + k))) for k in range(12)], "doc_id long, text string")
+    members = spark.createDataFrame([(1, 2, 28), (1, 4, 30)], "cluster long, doc_id long, n int")
+    none = spark.createDataFrame([], "v long, root long")
+    plans, write = {}, jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, label))
+    assert {(r.a, r.b) for r in jaccard_join.block_links(members, texts, none).collect()} == {(2, 4)}
+    assert "LeftSemi" in plans["block_links"]
+
+
 def test_links_inside_components(spark):
     base = [f"near{k}" for k in range(120)]
     docs = [(k, " ".join([*base, f"tail{k}"])) for k in range(6)] + [(6, " ".join([*base, "tail0"])), (7, "far away from all the others")]
