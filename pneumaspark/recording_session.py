@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pneumaspark import export
-from pneumaspark.operators import chunks, clocks, filters, linking, metrics, peaks, pixels, quality, slicing
+from pneumaspark.operators import chunks, clocks, filters, heartbeats, linking, metrics, peaks, pixels, quality, slicing
 from pneumaspark.plans import steps
 from pneumaspark.sources import recordings
 from pneumaspark.sources.bindings import pack
@@ -138,7 +138,7 @@ class RecordingSession:
         if remove_ecg == "gating":
             x = steps.ecg_gating(x, fs=fs)
         elif remove_ecg == "template":
-            x = steps.filtered(x, filters.subtract_ecg(pack(x), fs))
+            x = x.drop("value").join(heartbeats.subtract(x, fs).drop("reason"), ["recording_id", "idx"])
         x = steps.emg_envelope(x, fs=fs, window_seconds=envelope_seconds, method=method)
         self._keep(self.processed, "emg", variant, overwrite, x)
         return self._note("preprocess_emg", variant=variant, channel=channel)
