@@ -7,8 +7,8 @@ like frequency.  The layer's outputs add to the log frequencies of groups and cl
 after the class before; within a class, ids after the end of a word and others are
 counted apart.  One attention layer with a residual path looks back over a window of ids.
 
-1. One pass over the training documents writes the distinct words of each block with
-   their counts, and every document's ids.
+1. One pass over the documents writes every document's ids and, of the training documents,
+   the distinct words of each block with their counts.  No later pass tokenizes.
 2. Ids, and how often a class follows another, are counted over all ids of all training
    documents and their ends.
 3. The model trains on every id of every training document: texts with begin and end
@@ -16,8 +16,8 @@ counted apart.  One attention layer with a residual path looks back over a windo
    documents are dealt to rounds that grow; in a round every task trains a copy on the
    documents of its partition as they stream by, and the copies' mean starts the next
    round.  Means are taken in tasks, file by file, until few rows are left for the driver.
-4. All documents are scored in windows that overlap: each id is scored once, with
-   at least ``CONTEXT - STRIDE`` ids before it where the document has them.
+4. The written ids of all documents are scored in windows that overlap: each id is scored once, with
+   at least ``CONTEXT - STRIDE`` ids before it where the document has them.  Scores meet the rows by the hash of id and text.
 
 The base score is a word unigram with add-one counts.  Counts of the most frequent
 words are broadcast (``FREQUENT`` at most); the other words of a document meet
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pneumaspark.llm.common import WordEncoder, arrow_schema, blocks, id_text, record_batch
+from pneumaspark.llm.common import WordEncoder, arrow_schema, id_text, record_batch
 from pneumaspark.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
@@ -138,19 +138,20 @@ class Model:
         weights = {"E": make(vocabulary.begin + 1, WIDTH) * 3, "P": make(CONTEXT, WIDTH), "QKV": make(WIDTH, 3 * WIDTH) * 2, "O": make(WIDTH, WIDTH) * 2}
         return weights | {"U": make(WIDTH, GROUPS) * np.float32(0.1), "C": make(GROUPS, WIDTH, GROUP_CLASSES) * np.float32(0.1)}
 
-    def states(self, rows: np.ndarray) -> tuple:
-        """Hidden states after each place of windows of embedding rows, and what the gradient needs."""
+    def states(self, rows: np.ndarray, skip: int = 0) -> tuple:
+        """Hidden states after each place of windows of embedding rows, from place ``skip`` on, and what the gradient needs."""
         w, (n, length) = self.w, rows.shape
         x = w["E"][rows]
         x += w["P"][:length]
         qkv = (x.reshape(-1, WIDTH) @ w["QKV"]).reshape(n, length, 3 * WIDTH)
         q, k, v = (qkv[:, :, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
+        x, q = x[:, skip:], q[:, skip:]
         s = q @ k.transpose(0, 2, 1)
         s *= s.dtype.type(WIDTH**-0.5)
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s *= np.tri(length, dtype=s.dtype)
-        s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length, 1)
+        s *= np.tri(length, dtype=s.dtype)[skip:]
+        s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length - skip, 1)
         o = s @ v
         return x + (o.reshape(-1, WIDTH) @ w["O"]).reshape(x.shape), x, q, k, v, s, o
 
@@ -296,15 +297,18 @@ class Model:
         place = np.arange(CONTEXT)
         out = np.zeros(len(inputs))
         short = stop - start
-        order = np.argsort(short, kind="stable")
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            length = int(short[some].max())
-            cells = start[some][:, None] + place[:length]
-            h = self.states(inputs[np.minimum(cells, len(inputs) - 1)])[0]
-            use = (place[:length] >= fresh[some][:, None]) & (cells < stop[some][:, None])
-            cells = cells[use]
-            out[cells] = self.log_probabilities(h[use], before[cells], classes[cells])
+        for skip in (0, CONTEXT - STRIDE):
+            alike = np.flatnonzero(fresh == skip)
+            alike = alike[np.argsort(short[alike], kind="stable")]
+            for at in range(0, len(alike), batch):
+                some = alike[at : at + batch]
+                length = int(short[some].max())
+                cells = start[some][:, None] + place[:length]
+                h = self.states(inputs[np.minimum(cells, len(inputs) - 1)], skip)[0]
+                cells = cells[:, skip:]
+                use = cells < stop[some][:, None]
+                cells = cells[use]
+                out[cells] = self.log_probabilities(h[use], before[cells], classes[cells])
         out += vocabulary.log_within[after, wanted]
         return np.add.reduceat(out, base).tolist()
 
@@ -324,32 +328,52 @@ def windows_of(coded: list[np.ndarray], end: int) -> np.ndarray:
     return np.where(cells < (base + sizes)[doc][:, None], every[np.minimum(cells, len(every) - 1)], PAD)
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """Written (kind, key, n) of the training documents: each block's distinct words with counts, each document's ids.
+def with_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): rows of equal id and text have one key."""
+    return id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
-    ``kind`` is "word", or "ids" and the round that trains on the document.
+
+def gather(docs: DataFrame, held_out: bool = False) -> DataFrame:
+    """Written (kind, key, n) of the training documents: each block's distinct words with their counts n, each document's ids with its key as n.
+
+    ``kind`` is "word", or "ids" and the round that trains on the document.  With ``held_out`` the ids of documents that are held out come too, as "held".
     """
     schema = arrow_schema("kind string, key binary, n long")
     rounds = np.repeat(np.arange(len(ROUNDS)), ROUNDS).tolist()
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder.of().encode
-        for ids, texts in blocks(batches, COUNT_BYTES):
-            counts: Counter = Counter()
-            kinds, coded = [], []
-            for doc_id, text in zip(ids, texts, strict=True):
-                if is_held_out(doc_id):
-                    continue
-                counts.update(tokens_of(text))
-                found = np.frombuffer(encode(text), "<u4").astype(ID).tobytes()
-                kinds.append(f"ids{rounds[zlib.crc32(found) % len(rounds)]}")
-                coded.append(found)
-            for at in range(0, len(coded), 2000):
-                some = coded[at : at + 2000]
-                yield record_batch({"kind": kinds[at : at + 2000], "key": some, "n": [1] * len(some)}, schema)
-            yield record_batch({"kind": ["word"] * len(counts), "key": list(counts), "n": list(counts.values())}, schema)
-
-    return materialize(id_text(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered", "kind")
+        counts: Counter = Counter()
+        size = 0
+
+        def words() -> pa.RecordBatch:
+            return record_batch({"kind": ["word"] * len(counts), "key": list(counts), "n": list(counts.values())}, schema)
+
+        for big in batches:
+            for at in range(0, big.num_rows, 2000):
+                batch = big.slice(at, 2000)
+                kinds, coded, keys = [], [], []
+                for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    held = is_held_out(doc_id)
+                    if held and not held_out:
+                        continue
+                    found = np.frombuffer(encode(text), "<u4").astype(ID).tobytes()
+                    coded.append(found)
+                    keys.append(key)
+                    if held:
+                        kinds.append("held")
+                        continue
+                    kinds.append(f"ids{rounds[zlib.crc32(found) % len(rounds)]}")
+                    counts.update(tokens_of(text))
+                    size += len(text or b"") + 64
+                    if size >= COUNT_BYTES:
+                        yield words()
+                        counts.clear()
+                        size = 0
+                yield record_batch({"kind": kinds, "key": coded, "n": keys}, schema)
+        yield words()
+
+    return materialize(with_key(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered", "kind")
 
 
 def coded_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -466,8 +490,9 @@ def train_model(gathered: DataFrame, vocabulary: Vocabulary) -> dict[str, np.nda
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    gathered = gather(docs)
-    coded = gathered.where("kind <> 'word'")
+    numbered = with_key(docs)
+    gathered = gather(docs, held_out=True)
+    coded = gathered.where("kind LIKE 'ids%'")
     words = gathered.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n"))
     words = materialize(words.select("key", F.xxhash64("key").alias("h"), "n"), "word_counts")
     n_train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -484,7 +509,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = train_model(gathered, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, weights))
 
-    numbered = id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     rare_schema = arrow_schema("doc_key long, word binary, times int")
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,25 +532,30 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     copies = numbered.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("key").alias("doc_key"), "copies")
     sums = sums.join(copies, "doc_key", "left").select("doc_key", (F.col("rare_sum") / F.coalesce("copies", F.lit(1))).alias("rare_sum"), (F.col("rare_known") / F.coalesce("copies", F.lit(1))).cast("long").alias("rare_known"))
 
-    ddl = "doc_id long, doc_key long, held_out boolean, n_tokens long, known long, known_sum double, score double"
-    schema = arrow_schema(ddl)
+    ddl = "doc_id long, doc_key long, held_out boolean, n_tokens long, known long, known_sum double"
+    schema, score_schema = arrow_schema(ddl), arrow_schema("doc_key long, score double")
+
+    def frequent_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value.get
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                ids, tokens = batch.column(0).to_pylist(), [tokens_of(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                found = [list(filter(None, map(known, ws))) for ws in tokens]  # a count's logarithm isn't 0
+                cols = {"doc_id": ids, "doc_key": batch.column(2), "held_out": [is_held_out(i) for i in ids], "n_tokens": [len(ws) for ws in tokens]}
+                yield record_batch(cols | {"known": [len(f) for f in found], "known_sum": [sum(f) for f in found]}, schema)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = model.value
-        net, encode, known = Model(weights, vocabulary.log_next), WordEncoder.of().encode, table.value
+        net = Model(weights, vocabulary.log_next)
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-                tokens = [tokens_of(t) for t in texts]
-                found = [[v for w in ws if (v := known.get(w)) is not None] for ws in tokens]
-                coded = [np.frombuffer(encode(t), "<u4").astype(np.int64) for t in texts]
-                cols = {"doc_id": ids, "doc_key": batch.column(2), "held_out": [is_held_out(i) for i in ids], "n_tokens": [len(ws) for ws in tokens]}
-                cols |= {"known": [len(f) for f in found], "known_sum": [sum(f) for f in found]}
-                cols["score"] = np.array(net.score(coded, vocabulary)) / np.log(10)
-                yield record_batch(cols, schema)
+                yield record_batch({"doc_key": batch.column(1), "score": np.array(net.score(coded_of(batch), vocabulary)) / np.log(10)}, score_schema)
 
-    scored = numbered.mapInArrow(score, ddl).join(sums, "doc_key", "left")
+    scores = gathered.where("kind <> 'word'").select("key", "n").mapInArrow(score, "doc_key long, score double")
+    scores = scores.groupBy("doc_key").agg(F.max("score").alias("score"))  # rows that repeat have one score
+    scored = numbered.mapInArrow(frequent_words, ddl).join(sums, "doc_key", "left").join(scores, "doc_key")
     return scored.select(
         "doc_id",
         "held_out",
