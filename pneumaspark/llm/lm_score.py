@@ -8,7 +8,7 @@ after the class before; within a class, ids after the end of a word and others a
 counted apart.  One attention layer with a residual path looks back over a window of ids.
 
 1. One pass over the documents writes every document's ids and, of the training documents,
-   the distinct words of each block with their counts.  No later pass tokenizes.
+   distinct words with their counts.  A word is looked up once for both, by a number.  No later pass tokenizes.
 2. Ids, and how often a class follows another, are counted over all ids of all training
    documents and their ends.
 3. The model trains on every id of every training document: texts with begin and end
@@ -20,8 +20,8 @@ counted apart.  One attention layer with a residual path looks back over a windo
    at least ``CONTEXT - STRIDE`` ids before it where the document has them.  Scores meet the rows by the hash of id and text.
 
 The base score is a word unigram with add-one counts.  Counts of the most frequent
-words are broadcast (``FREQUENT`` at most); the other words of a document meet
-their counts in a join on the word's hash, where no key is hot.
+words are broadcast (``FREQUENT`` at most); a second pass over the documents sums them and writes the
+hashes of the other words, which meet their counts in a join, where no key is hot.
 
 Documents whose crc32 of the doc_id as text has remainder 2 by 7 are held out.  Null
 and empty texts have the end alone.  A null doc_id counts as the text "null".  Rows
@@ -31,8 +31,8 @@ that share a doc_id are scored each, in rows of their own.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,10 @@ RATE = 2e-2
 #: Rows of weights that reach the driver at most.
 MOST_COPIES = 64
 FREQUENT = 50_000
-COUNT_BYTES = 24 << 20
+#: Of Spark's xxhash64.
+HASH_SEED = 42
+#: Words that a worker numbers at once, and bytes of texts that it encodes together.
+WORDS, BLOCK_BYTES = 1_000_000, 4 << 20
 END = b""
 #: The ids of word_bpe_49k fit 16 bits, and so does the end behind them.
 ID = "<u2"
@@ -117,7 +120,7 @@ class Vocabulary:
         """Embedding rows and classes of ids, among which BEGIN may be."""
         known = np.maximum(ids, 0)
         begin = ids == BEGIN
-        return np.where(begin, self.begin, self.row[known]), np.where(begin, self.n_classes, self.of_class[known])
+        return np.where(begin, self.begin, self.row.take(known)), np.where(begin, self.n_classes, self.of_class.take(known))
 
 
 class Model:
@@ -129,7 +132,8 @@ class Model:
         inner = log_next.reshape(len(log_next), GROUPS, GROUP_CLASSES)
         top = inner.max(axis=2, keepdims=True)
         total = np.log(np.exp(inner - top).sum(axis=2, keepdims=True)) + top
-        self.next_group, self.next_inner = total[:, :, 0], inner - total
+        # groups first: rows in the order of their groups read one group's table after another
+        self.next_group, self.next_inner = total[:, :, 0], np.ascontiguousarray((inner - total).transpose(1, 0, 2))
 
     @staticmethod
     def fresh(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -138,27 +142,34 @@ class Model:
         weights = {"E": make(vocabulary.begin + 1, WIDTH) * 3, "P": make(CONTEXT, WIDTH), "QKV": make(WIDTH, 3 * WIDTH) * 2, "O": make(WIDTH, WIDTH) * 2}
         return weights | {"U": make(WIDTH, GROUPS) * np.float32(0.1), "C": make(GROUPS, WIDTH, GROUP_CLASSES) * np.float32(0.1)}
 
-    def states(self, rows: np.ndarray, skip: int = 0) -> tuple:
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Q K' with its scale, and V O: the layer is x + softmax(mask(x M x')) x N."""
+        q, k, v = (self.w["QKV"][:, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
+        return q @ k.T * q.dtype.type(WIDTH**-0.5), v @ self.w["O"]
+
+    def states(self, rows: np.ndarray, skip: int = 0, folded: tuple | None = None) -> tuple:
         """Hidden states after each place of windows of embedding rows, from place ``skip`` on, and what the gradient needs."""
         w, (n, length) = self.w, rows.shape
-        x = w["E"][rows]
+        m, v = folded or self.folded()
+        x = w["E"].take(rows, axis=0)
         x += w["P"][:length]
-        qkv = (x.reshape(-1, WIDTH) @ w["QKV"]).reshape(n, length, 3 * WIDTH)
-        q, k, v = (qkv[:, :, a : a + WIDTH] for a in (0, WIDTH, 2 * WIDTH))
-        x, q = x[:, skip:], q[:, skip:]
-        s = q @ k.transpose(0, 2, 1)
-        s *= s.dtype.type(WIDTH**-0.5)
-        np.minimum(s, 60, out=s)
+        given = x[:, skip:]
+        t = (given.reshape(-1, WIDTH) @ m).reshape(given.shape)
+        s = t @ x.transpose(0, 2, 1)
+        if s.max(initial=0) > 60:
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s *= np.tri(length, dtype=s.dtype)[skip:]
         s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length - skip, 1)
-        o = s @ v
-        return x + (o.reshape(-1, WIDTH) @ w["O"]).reshape(x.shape), x, q, k, v, s, o
+        o = s @ x
+        h = (o.reshape(-1, WIDTH) @ v).reshape(given.shape)
+        h += given
+        return h, x, t, s, o
 
     @staticmethod
     def spread(z: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log probability of the wanted column of rows of logits, and exponentials with their sums."""
-        picked = z[np.arange(len(z)), wanted]
+        picked = z.ravel().take(np.arange(len(z)) * z.shape[1] + wanted)
         ones = np.ones(z.shape[1], z.dtype)
         with np.errstate(over="ignore"):
             e = np.exp(z)
@@ -172,18 +183,21 @@ class Model:
 
     def outputs(self, h: np.ndarray, before: np.ndarray, classes: np.ndarray) -> tuple:
         """Rows in the order of their groups: the order, group edges, states, groups, classes in them, log probabilities and what both softmaxes are made of."""
-        group = classes // GROUP_CLASSES
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        h, before, group, slot = h[order], before[order], group[order], classes[order] % GROUP_CLASSES
+        group = (classes // GROUP_CLASSES).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        h, before, classes = h.take(order, axis=0), before.take(order), classes.take(order)
+        group = group.take(order).astype(np.int64)
+        slot = classes - group * GROUP_CLASSES
         z = h @ self.w["U"]
-        z += self.next_group[before]
+        z += self.next_group.take(before, axis=0)
         first, *p = self.spread(z, group)
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
-        y = self.next_inner[before, group]
+        edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        y = np.empty_like(z)
         for g in range(GROUPS):
             a, b = edges[g], edges[g + 1]
             if a < b:
-                y[a:b] += h[a:b] @ self.w["C"][g]
+                np.matmul(h[a:b], self.w["C"][g], out=y[a:b])
+        y += self.next_inner.reshape(-1, GROUP_CLASSES).take(group * len(self.next_group) + before, axis=0)
         second, *q = self.spread(y, slot)
         return order, edges, h, group, slot, first + second, p, q
 
@@ -198,49 +212,57 @@ class Model:
     def gradient(self, rows: np.ndarray, before: np.ndarray, classes: np.ndarray, use: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Gradient of the mean loss over the places in ``use`` (all by default)."""
         w, n = self.w, rows.size
-        h, x, q, k, v, a, o = self.states(rows)
+        m, v = folded = self.folded()
+        h, x, t, a, o = self.states(rows, folded=folded)
         order, edges, hs, group, slot, _, (p, p_sum), (c, c_sum) = self.outputs(h.reshape(n, WIDTH), before.ravel(), classes.ravel())
-        scale = np.full(n, 1 / n, p.dtype) if use is None else (use.ravel()[order] / max(1, int(use.sum()))).astype(p.dtype)
-        every = np.arange(n)
+        scale = np.full(n, 1 / n, p.dtype) if use is None else (use.ravel().take(order) / max(1, int(use.sum()))).astype(p.dtype)
+        every = np.arange(n) * p.shape[1]
         p *= (scale / p_sum)[:, None]
         c *= (scale / c_sum)[:, None]
-        p[every, group] -= scale
-        c[every, slot] -= scale
+        p.ravel()[every + group] -= scale
+        c.ravel()[every + slot] -= scale
         g = {"U": hs.T @ p, "C": np.zeros_like(w["C"])}
         ds = p @ w["U"].T
+        inner = np.empty_like(ds)
         for k_group in range(GROUPS):
             i, j = edges[k_group], edges[k_group + 1]
             if i < j:
-                g["C"][k_group] = hs[i:j].T @ c[i:j]
-                ds[i:j] += c[i:j] @ w["C"][k_group].T
-        dh = np.empty_like(ds)
-        dh[order] = ds
-        g["O"] = o.reshape(n, WIDTH).T @ dh
-        do = (dh @ w["O"].T).reshape(h.shape)
-        d = np.empty((*rows.shape, 3 * WIDTH), ds.dtype)
-        d[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ do
-        da = do @ v.transpose(0, 2, 1)
+                np.matmul(hs[i:j].T, c[i:j], out=g["C"][k_group])
+                np.matmul(c[i:j], w["C"][k_group].T, out=inner[i:j])
+        ds += inner
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        dh = ds.take(back, axis=0)
+        flat = x.reshape(n, WIDTH)
+        do = (dh @ v.T).reshape(x.shape)
+        da = do @ x.transpose(0, 2, 1)
         da -= ((da * a).reshape(-1, a.shape[2]) @ np.ones(a.shape[2], a.dtype)).reshape(*rows.shape, 1)
         da *= a
-        da *= da.dtype.type(WIDTH**-0.5)
-        d[:, :, :WIDTH], d[:, :, WIDTH : 2 * WIDTH] = da @ k, da.transpose(0, 2, 1) @ q
-        d = d.reshape(n, 3 * WIDTH)
-        g["QKV"] = x.reshape(n, WIDTH).T @ d
-        dx = dh + d @ w["QKV"].T
+        dt = (da @ x).reshape(n, WIDTH)
+        dx = a.transpose(0, 2, 1) @ do
+        dx += da.transpose(0, 2, 1) @ t
+        dx = dx.reshape(n, WIDTH)
+        dx += dt @ m.T
+        dx += dh
+        dm, dv = flat.T @ dt, o.reshape(n, WIDTH).T @ dh
+        dm *= dm.dtype.type(WIDTH**-0.5)
+        query, key, value = (w["QKV"][:, i : i + WIDTH] for i in (0, WIDTH, 2 * WIDTH))
+        g["QKV"] = np.concatenate([dm @ key, dm.T @ query, dv @ w["O"].T], axis=1)
+        g["O"] = value.T @ dv
         g["P"] = np.zeros_like(w["P"])
         g["P"][: rows.shape[1]] = dx.reshape(h.shape).sum(axis=0)
-        by_row = np.argsort(rows.ravel(), kind="stable")
-        sorted_rows = rows.ravel()[by_row]
+        by_row = np.argsort(rows.ravel().astype(np.int16), kind="stable")  # 16 bits sort by radix
+        sorted_rows = rows.ravel().take(by_row)
         first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
         g["E"] = np.zeros_like(w["E"])
-        g["E"][sorted_rows[first]] = np.add.reduceat(dx[by_row], first, axis=0)
+        g["E"][sorted_rows[first]] = np.add.reduceat(dx.take(by_row, axis=0), first, axis=0)
         return g
 
     def step(self, windows: np.ndarray, vocabulary: Vocabulary, moments: dict, rate: float) -> None:
         """A step of Adam over windows of ids; ``moments`` carries its state and the number of steps."""
         given, wanted = windows[:, :-1], windows[:, 1:]
         rows, before = vocabulary.inputs(given)
-        g = self.gradient(rows, before, vocabulary.of_class[np.maximum(wanted, 0)], wanted != PAD)
+        g = self.gradient(rows, before, vocabulary.of_class.take(np.maximum(wanted, 0)), wanted != PAD)
         done = moments["steps"] = moments.get("steps", 0) + 1
         now = rate * min(1, done / 20) / (1 + done / 400) ** 0.5
         for k, w in self.w.items():
@@ -274,7 +296,7 @@ class Model:
         for at in range(0, len(windows), BATCH):
             self.step(windows[at : at + BATCH], vocabulary, moments, rate)
 
-    def score(self, ids: list[np.ndarray], vocabulary: Vocabulary, batch: int = 384) -> list[float]:
+    def score(self, ids: list[np.ndarray], vocabulary: Vocabulary, batch: int = 340) -> list[float]:
         """Natural-log probability of each text's ids and its end.
 
         The texts' windows of CONTEXT inputs go through the layer in batches; a
@@ -333,8 +355,84 @@ def with_key(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
+class WordNumbers:
+    """Numbers, ids and counts of the words of this worker's texts: a word is looked up once for its ids and its count.
+
+    ``number`` maps a word to its number in 4 bytes; the ids of word k are ``flat[start[k] : start[k] + length[k]]``.
+    Once there are ``most`` words, the caller takes the counts and clears the table before the next block.
+    """
+
+    _made: "WordNumbers | None" = None
+
+    def __init__(self, encoder: WordEncoder, most: int = WORDS):
+        self.encoder, self.most = encoder, most
+        self.clear()
+
+    @classmethod
+    def of(cls) -> "WordNumbers":
+        """The numbers of this worker process, kept from task to task; counts begin at nothing."""
+        cls._made = cls._made or cls(WordEncoder.of())
+        cls._made.counts[:] = 0
+        return cls._made
+
+    def clear(self) -> None:
+        self.number: dict[bytes, bytes] = {}
+        self.words: list[bytes] = []
+        self.flat, self.n_flat = np.empty(1 << 16, ID), 0
+        self.start, self.length, self.counts = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Number words; the encoder's own table gives them up again."""
+        self.encoder.learn(new)
+        made = list(new)
+        ids = [self.encoder.words[w] for w in made]
+        self.encoder.words.clear()
+        first, end = len(self.words), len(self.words) + len(made)
+        packed = np.arange(first, end, dtype="<u4").tobytes()
+        self.number.update((w, packed[k : k + 4]) for w, k in zip(made, range(0, len(packed), 4), strict=True))
+        self.words += made
+        while len(self.start) < end:
+            self.start, self.length, self.counts = (np.append(x, np.zeros_like(x)) for x in (self.start, self.length, self.counts))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        every = np.frombuffer(b"".join(ids), "<u4")
+        while len(self.flat) < self.n_flat + len(every):
+            self.flat = np.append(self.flat, np.empty_like(self.flat))
+        self.flat[self.n_flat : self.n_flat + len(every)] = every
+        self.length[first:end] = length
+        self.start[first:end] = self.n_flat + np.cumsum(length) - length
+        self.n_flat += len(every)
+
+    def take(self, splits: list[list[bytes]], train: list[bool]) -> list[bytes]:
+        """Ids of each text from its words; the words of training texts are counted."""
+        known = self.number
+        packed = []
+        for split in splits:
+            try:
+                packed.append(b"".join(map(known.__getitem__, split)))
+            except KeyError:
+                self.learn({w for w in split if w not in known})
+                packed.append(b"".join(map(known.__getitem__, split)))
+        counted = np.frombuffer(b"".join([x for x, use in zip(packed, train, strict=True) if use]), "<u4")
+        found = np.bincount(counted)
+        self.counts[: len(found)] += found
+        every = np.frombuffer(b"".join(packed), "<u4")
+        length = self.length.take(every)
+        stop = np.append(0, np.cumsum(length))
+        ids = self.flat.take(np.repeat(self.start.take(every) - stop[:-1], length) + np.arange(stop[-1]))
+        edges = stop[np.append(0, np.cumsum([len(s) for s in splits], dtype=np.int64))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def counted(self, rows: int = 200_000) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Counted words and their counts, which begin again."""
+        seen = np.flatnonzero(self.counts)
+        for at in range(0, len(seen), rows):
+            some = seen[at : at + rows]
+            yield [self.words[k] for k in some.tolist()], self.counts[some]
+        self.counts[:] = 0
+
+
 def gather(docs: DataFrame, held_out: bool = False) -> DataFrame:
-    """Written (kind, key, n) of the training documents: each block's distinct words with their counts n, each document's ids with its key as n.
+    """Written (kind, key, n) of the training documents: distinct words of texts that follow each other with their counts n, each document's ids with its key as n.
 
     ``kind`` is "word", or "ids" and the round that trains on the document.  With ``held_out`` the ids of documents that are held out come too, as "held".
     """
@@ -342,38 +440,54 @@ def gather(docs: DataFrame, held_out: bool = False) -> DataFrame:
     rounds = np.repeat(np.arange(len(ROUNDS)), ROUNDS).tolist()
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder.of().encode
-        counts: Counter = Counter()
-        size = 0
+        numbers, n_train = WordNumbers.of(), 0
+
+        def words() -> Iterator[pa.RecordBatch]:
+            for some, n in numbers.counted():
+                yield record_batch({"kind": ["word"] * len(some), "key": some, "n": n}, schema)
+
+        for texts, keys, train in blocks_of(batches, held_out):
+            lowered = [t.lower() for t in texts]
+            splits = [t.split() for t in lowered]
+            if len(numbers.words) >= numbers.most:
+                yield from words()
+                numbers.clear()
+            coded = numbers.take(splits, train)
+            for k, low in enumerate(lowered):
+                if b"<|" in low:  # a special token's name must keep its case
+                    coded[k] = np.frombuffer(numbers.encoder.encode(texts[k]), "<u4").astype(ID).tobytes()
+            n_train += sum(train)
+            kinds = [f"ids{rounds[zlib.crc32(c) % len(rounds)]}" if use else "held" for c, use in zip(coded, train, strict=True)]
+            yield record_batch({"kind": kinds, "key": coded, "n": keys}, schema)
+        yield from words()
+        if n_train:
+            yield record_batch({"kind": ["word"], "key": [END], "n": [n_train]}, schema)
 
-        def words() -> pa.RecordBatch:
-            return record_batch({"kind": ["word"] * len(counts), "key": list(counts), "n": list(counts.values())}, schema)
+    return materialize(with_key(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered", "kind")
 
-        for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                batch = big.slice(at, 2000)
-                kinds, coded, keys = [], [], []
-                for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    held = is_held_out(doc_id)
-                    if held and not held_out:
-                        continue
-                    found = np.frombuffer(encode(text), "<u4").astype(ID).tobytes()
-                    coded.append(found)
-                    keys.append(key)
-                    if held:
-                        kinds.append("held")
-                        continue
-                    kinds.append(f"ids{rounds[zlib.crc32(found) % len(rounds)]}")
-                    counts.update(tokens_of(text))
-                    size += len(text or b"") + 64
-                    if size >= COUNT_BYTES:
-                        yield words()
-                        counts.clear()
-                        size = 0
-                yield record_batch({"kind": kinds, "key": coded, "n": keys}, schema)
-        yield words()
 
-    return materialize(with_key(docs).mapInArrow(collect, "kind string, key binary, n long"), "gathered", "kind")
+def blocks_of(batches: Iterable[pa.RecordBatch], held_out: bool) -> Iterator[tuple[list[bytes], list[int], list[bool]]]:
+    """Texts, keys and whether they train, in blocks of about BLOCK_BYTES; without ``held_out``, texts that train alone."""
+    texts: list[bytes] = []
+    keys: list[int] = []
+    train: list[bool] = []
+    size = 0
+    for big in batches:
+        for at in range(0, big.num_rows, 1000):
+            batch = big.slice(at, 1000)
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held = is_held_out(doc_id)
+                if held and not held_out:
+                    continue
+                texts.append(text or b"")
+                keys.append(key)
+                train.append(not held)
+                size += len(text or b"") + 64
+                if size >= BLOCK_BYTES:
+                    yield texts, keys, train
+                    texts, keys, train, size = [], [], [], 0
+    if texts:
+        yield texts, keys, train
 
 
 def coded_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -509,41 +623,36 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = train_model(gathered, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, weights))
 
-    rare_schema = arrow_schema("doc_key long, word binary, times int")
-
-    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for batch in batches:
-            out: dict[str, list] = {"doc_key": [], "word": [], "times": []}
-            for text, key in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                left = Counter(w for w in tokens_of(text) if w not in known)
-                out["doc_key"] += [key] * len(left)
-                out["word"] += left
-                out["times"] += left.values()
-                if len(out["word"]) > 200_000:
-                    yield record_batch(out, rare_schema)
-                    out = {"doc_key": [], "word": [], "times": []}
-            yield record_batch(out, rare_schema)
-
-    # rows that repeat a text meet the counts once
-    asked = numbered.mapInArrow(rare, "doc_key long, word binary, times int").select("doc_key", F.xxhash64("word").alias("h"), "times")
-    met = asked.join(words.select("h", "n"), "h")
-    sums = met.groupBy("doc_key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_sum"), F.sum("times").alias("rare_known"))
-    copies = numbered.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("key").alias("doc_key"), "copies")
-    sums = sums.join(copies, "doc_key", "left").select("doc_key", (F.col("rare_sum") / F.coalesce("copies", F.lit(1))).alias("rare_sum"), (F.col("rare_known") / F.coalesce("copies", F.lit(1))).cast("long").alias("rare_known"))
-
-    ddl = "doc_id long, doc_key long, held_out boolean, n_tokens long, known long, known_sum double"
+    ddl = "doc_id long, doc_key long, held_out boolean, n_tokens long, known long, known_sum double, rare array<long>"
     schema, score_schema = arrow_schema(ddl), arrow_schema("doc_key long, score double")
 
-    def frequent_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row the sum over its frequent words, and the hashes of its other words as Spark's xxhash64 has them."""
+        from xxhash import xxh64_intdigest
+
         known = table.value.get
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
                 ids, tokens = batch.column(0).to_pylist(), [tokens_of(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                found = [list(filter(None, map(known, ws))) for ws in tokens]  # a count's logarithm isn't 0
+                sums, n_known, rare = [], [], []
+                for ws in tokens:
+                    found = list(map(known, ws, repeat(0.0)))  # a count's logarithm isn't 0
+                    left = [xxh64_intdigest(w, HASH_SEED) for w, f in zip(ws, found, strict=True) if not f]
+                    rare.append(np.array(left, np.uint64).view(np.int64))
+                    sums.append(sum(found))
+                    n_known.append(len(ws) - len(left))
                 cols = {"doc_id": ids, "doc_key": batch.column(2), "held_out": [is_held_out(i) for i in ids], "n_tokens": [len(ws) for ws in tokens]}
-                yield record_batch(cols | {"known": [len(f) for f in found], "known_sum": [sum(f) for f in found]}, schema)
+                yield record_batch(cols | {"known": n_known, "known_sum": sums, "rare": rare}, schema)
+
+    rows = materialize(numbered.mapInArrow(meet, ddl), "base_sums")
+    # a word's hash is a key once among the counts, so no key is hot
+    asked = rows.select("doc_key", F.explode("rare").alias("h"))
+    met = asked.join(words.select("h", "n").hint("shuffle_hash"), "h")
+    sums = met.groupBy("doc_key").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("rare_sum"), F.count(F.lit(1)).alias("rare_known"))
+    # rows that repeat a text meet the counts once
+    copies = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    sums = sums.join(copies, "doc_key", "left").select("doc_key", (F.col("rare_sum") / F.coalesce("copies", F.lit(1))).alias("rare_sum"), (F.col("rare_known") / F.coalesce("copies", F.lit(1))).cast("long").alias("rare_known"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = model.value
@@ -555,7 +664,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     scores = gathered.where("kind <> 'word'").select("key", "n").mapInArrow(score, "doc_key long, score double")
     scores = scores.groupBy("doc_key").agg(F.max("score").alias("score"))  # rows that repeat have one score
-    scored = numbered.mapInArrow(frequent_words, ddl).join(sums, "doc_key", "left").join(scores, "doc_key")
+    scored = rows.drop("rare").join(sums, "doc_key", "left").join(scores, "doc_key")
     return scored.select(
         "doc_id",
         "held_out",
